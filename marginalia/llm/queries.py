@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ngram_join
+from . import embed_dedup, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
 }
 
 OP1_SQL = r"""
@@ -53,4 +61,27 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.m) AS component_i
 FROM sets s JOIN reach r ON r.n = s.doc_id GROUP BY ALL
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT vec_id AS n, vec_id AS m FROM v
+  UNION
+  SELECT r.n, e.b FROM reach r JOIN both_ways e ON e.a = r.m),
+least AS (SELECT n, min(m) AS c FROM reach GROUP BY n),
+degree AS (SELECT a, count(*) AS k FROM both_ways GROUP BY a)
+SELECT l.n AS vec_id, CAST(coalesce(d.k, 0) AS BIGINT) AS n_links, l.c AS component_id, l.n = l.c AS kept
+FROM least l LEFT JOIN degree d ON d.a = l.n
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_embedding_near_dedup": OP2_SQL,
+}
