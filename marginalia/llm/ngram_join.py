@@ -33,6 +33,8 @@ from .common import LOWER_ASCII, byte_chunks, materialize
 from .components import connected_components
 
 TABLE_BITS = 20
+#: So many document ids at most are broadcast (some MB); more are joined by a shuffle of the texts.
+BROADCAST_IDS = 200_000
 BLOCKS = 64
 #: A frequency-table cell is frequent from this count, and from this many times the mean cell.
 FREQUENT_LEAST, FREQUENT_TIMES = 64, 8
@@ -187,17 +189,22 @@ def indexed(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int)
     schema = "id long, n_shingles int, set_key long, sigs array<long>, places array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # keys of this task's sets: only the first of its copies is indexed
         for b in batches:
             for start, texts in byte_chunks(b.column(1), 1 << 20):
                 sets = shingle_sets(texts, n)
-                found = [entries(s, shared.value, frequent, num, den) if len(s) > 1 else (s[:0], s[:0]) for s in sets]
+                keys, found = [set_key(s) for s in sets], []
+                for s, key in zip(sets, keys, strict=True):
+                    new = len(s) > 1 and key not in seen
+                    found.append(entries(s, shared.value, frequent, num, den) if new else (s[:0], s[:0]))
+                    seen.add(key)
                 offsets = pa.array(np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32))
                 sigs, places = (np.concatenate([x[k] for x in found]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(start, len(texts)),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([set_key(s) for s in sets], pa.int64()),
+                        pa.array(keys, pa.int64()),
                         pa.ListArray.from_arrays(offsets, pa.array(sigs.view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32))),
                     ],
@@ -256,19 +263,14 @@ def ngram_jaccard_groups(
     """
     index = materialize(indexed(docs, id_col, text, n, num, den), "ngram-index")
     classes_of = index.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
-    # Copies are one set: of each, the entries of one row go on.
-    rows = index.where("n_shingles > 1").select(
-        F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), F.arrays_zip("sigs", "places").alias("e")
+    rows = index.select(
+        F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("sigs", "places")).alias("e")
     )
-    rows = rows.groupBy("k").agg(F.first("n").alias("n"), F.first("e").alias("e"))
-    rows = rows.select("k", "n", F.explode("e").alias("e")).select("k", "n", "e.sigs", "e.places")
-    rows = rows.toDF("k", "n", "sig", "place")
+    rows = rows.select("k", "n", F.col("e.sigs").alias("sig"), F.col("e.places").alias("place"))
     shared = rows.groupBy("sig").agg(F.min("k").alias("least"), F.max("k").alias("most"))
     shared = shared.where("least < most").select("sig", "least")
-    # The least member comes with its size and place, in the same join.
-    entry = materialize(rows.join(shared, "sig"), "ngram-entries")
+    entry = materialize(rows.join(shared, "sig").dropDuplicates(["sig", "k"]), "ngram-entries")
     lead = entry.where("k = least").select("sig", F.col("k").alias("a"), "n", "place")
-    # A signature may stand twice in a set's entries (pairs of either band differ, so only by a hash collision).
     first = entry.where("k <> least").alias("y").join(lead.alias("x"), "sig").where(near("x", "y", num, den))
     first = materialize(first.select("a", F.col("k").alias("b")).distinct(), "ngram-pairs")
 
@@ -307,7 +309,9 @@ def _sets_of(docs: DataFrame, index: DataFrame, pairs: DataFrame, id_col: str, t
     """The whole sets that the pairs name: the texts of one row each, shingled again."""
     keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
     rep = index.where("n_shingles > 1").groupBy("set_key").agg(F.min(F.coalesce("id", F.lit(-1))).alias("rep"))
-    ids = rep.join(keys, "set_key", "left_semi").select("rep").distinct()
+    ids = materialize(rep.join(keys, "set_key", "left_semi").select("rep").distinct(), "ngram-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rep"), F.col(text).alias("text"))
     found = whole_sets(rows.join(ids, "rep", "left_semi"), "text", n)
     return found.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
