@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import embed_dedup, ngram_join
+from . import decontam, embed_dedup, ngram_join, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,20 +30,51 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda x: F.array_join(
+        F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("findings", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *map(count, secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans")
+    )
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select(
+        "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+        F.col("_verdict").alias("verdict"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_secret_scan": op7_secret_scan,
+    "op10_url_filter": op10_url_filter,
 }
 
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
   FROM words),
 items AS (SELECT doc_id, unnest(s) AS x FROM sets),
 pairs AS (
@@ -64,8 +95,8 @@ FROM sets s JOIN reach r ON r.n = s.doc_id GROUP BY ALL
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
-    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok
+    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
   FROM embeddings),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
@@ -81,7 +112,105 @@ SELECT l.n AS vec_id, CAST(coalesce(d.k, 0) AS BIGINT) AS n_links, l.c AS compon
 FROM least l LEFT JOIN degree d ON d.a = l.n
 """
 
+OP4_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n,
+    unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) AS s
+  FROM item WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM lowered, lens WHERE len(w) >= n),
+occur AS (
+  SELECT p.doc_id, p.i, p.n, x.item_id FROM places p JOIN windows x ON x.n = p.n AND x.s = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+hit AS (SELECT doc_id, count(*) AS k FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) FROM occur) GROUP BY 1),
+found AS (
+  SELECT doc_id, count(*) AS k, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occur) GROUP BY 1)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.k, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(f.k, 0) AS BIGINT) AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256,
+  coalesce(h.k, 0) > 0 AND 20 * coalesce(h.k, 0) >= len(w) AS contaminated
+FROM lowered l LEFT JOIN hit h USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+_KINDS = [(k, p, g, n) for k, _, p, g, n in secrets.RULES]
+OP7_SQL = (
+    "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ("
+    + " UNION ALL ".join(
+        "SELECT doc_id, '{k}' AS kind, {r} AS rank, {n} AS least, string_split_regex(text, '{p}') AS g, "
+        "regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {i}) AS c FROM t".format(
+            k=k, r=r, n=n, i=g, p=p.replace("'", "''")
+        )
+        for r, (k, p, g, n) in enumerate(_KINDS)
+    )
+    + """),
+spans AS (
+  SELECT doc_id, kind, rank, least, unnest(list_transform(range(1, len(m) + 1), lambda k: {
+    'a': list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0),
+    'n': length(m[k]), 'c': length(c[k])})) AS s FROM m WHERE len(m) > 0),
+ok AS (
+  SELECT doc_id, kind, rank, CAST(s.a AS BIGINT) AS a, kind || ':' || CAST(s.a AS BIGINT) || ':' || CAST(s.a + s.n AS BIGINT) AS t
+  FROM spans WHERE s.c >= least),
+found AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(t, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
+    string_agg(t, ',' ORDER BY a, rank) AS spans
+  FROM ok GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN found f ON f.doc_id = t.doc_id
+"""
+)
+
+_FIT = """least(greatest(1 / ((q - x) / y) - 1, 0.5), 1000.0)"""
+_LEVEL = """
+{name}_g AS (SELECT c.{name}, any_value(a.a / (a.a + a.b)) AS p, sum(good) AS good, sum(n) AS n
+  FROM counts c JOIN {above} a ON a.{above_key} = c.{above_key} GROUP BY c.{name}),
+{name}_w AS (SELECT CASE WHEN y > 0 AND q > x THEN {fit} ELSE 1000.0 END AS w FROM (
+  SELECT sum((good - n * p) * (good - n * p)) AS q, sum(n * p * (1 - p)) AS x, sum(n * (n - 1) * p * (1 - p)) AS y
+  FROM {name}_g WHERE n > 0)),
+{name}_l AS (SELECT {name}, w * p + good AS a, w * (1 - p) + n - good AS b FROM {name}_g, {name}_w)"""
+OP10_SQL = (
+    r"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts),
+outcome AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS good FROM ruled),
+counts AS (
+  SELECT host, 1 AS "all", split_part(regexp_replace(host, ':\d*$', ''), '.', -1) AS suffix,
+    array_to_string(string_split(regexp_replace(host, ':\d*$', ''), '.')[-2:], '.') AS domain,
+    CAST(coalesce(sum(good), 0) AS DOUBLE) AS good, CAST(count(good) AS DOUBLE) AS n FROM outcome GROUP BY host),
+root AS (SELECT 1 AS "all", sum(good) + 1.0 AS a, sum(n) - sum(good) + 1.0 AS b FROM counts),"""
+    + ",".join(
+        _LEVEL.format(name=n, above=a, above_key=k, fit=_FIT)
+        for n, a, k in (("suffix", "root", '"all"'), ("domain", "suffix_l", "suffix"), ("host", "domain_l", "domain"))
+    )
+    + """
+SELECT page_id, o.host, path, rule, CASE WHEN good = 1 THEN 'allow' WHEN good = 0 THEN 'block'
+  WHEN a / (a + b) - sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) >= 0.4 THEN 'allow' ELSE 'block' END AS verdict
+FROM outcome o JOIN host_l h ON h.host = o.host
+"""
+)
+
 ORACLE: dict[str, str] = {
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op7_secret_scan": OP7_SQL,
+    "op10_url_filter": OP10_SQL,
+
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_embedding_near_dedup": OP2_SQL,
 }
