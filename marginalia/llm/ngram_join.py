@@ -26,13 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, byte_chunks, materialize
 from .components import connected_components
 
 TABLE_BITS = 20
+#: More bands than sets of 2**31 shingles need at the least useful similarity steps (1.25 ** 97 > 2 ** 31).
+LAST_BAND = 100
 #: So many document ids at most are broadcast (some MB); more are joined by a shuffle of the texts.
 BROADCAST_IDS = 200_000
 BLOCKS = 64
@@ -152,7 +154,10 @@ def classes(b: int, num: int, den: int) -> int:
 
 
 def entries(s: np.ndarray, levels: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set: 64-bit signatures, and for single shingles their place in the order (-1 for pairs)."""
+    """Index entries of a set: 64-bit signatures, and places.
+
+    A single shingle's place is its number in the order; a pair's is -(what the prefix leaves of the set * 128 + band + 1).
+    """
     n, need = len(s), needed(len(s), num, den)
     level = levels[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
     order = np.argsort(level, kind="stable")
@@ -160,7 +165,7 @@ def entries(s: np.ndarray, levels: np.ndarray, frequent: int, num: int, den: int
     singles = s[order[: min(rare, need)]]
     if rare >= need:
         return singles, np.arange(len(singles), dtype=np.int32)
-    sigs = [singles]
+    sigs, places = [singles], [np.arange(len(singles), dtype=np.int32)]
     hot = s[order[rare:]]
     for b in (band(n, num / den), band(n, num / den) + 1):
         m = classes(b, num, den)
@@ -176,10 +181,8 @@ def entries(s: np.ndarray, levels: np.ndarray, frequent: int, num: int, den: int
             i, j = np.triu_indices(len(group), 1)
             x, y = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
             sigs.append(mix(mix(x * MULT + y) + np.uint64(b + 1)))
-    sig = np.concatenate(sigs)
-    place = np.full(len(sig), -1, np.int32)
-    place[: len(singles)] = np.arange(len(singles))
-    return sig, place
+            places.append(np.full(len(i), -((n - rare - end) * 128 + b + 1), np.int32))
+    return np.concatenate(sigs), np.concatenate(places)
 
 
 def indexed(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
@@ -240,13 +243,36 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(den * inter >= num * union).select("a", "b")
 
 
-def near(x: str, y: str, num: int, den: int) -> Column:
-    """Bounds that each true pair meets at the first single shingle (or any pair entry) it shares."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    px, py = F.col(f"{x}.place"), F.col(f"{y}.place")
-    sizes = (den * F.least(nx, ny)) >= (num * F.greatest(nx, ny))
+def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that may be similar, of rows x and y that share an entry.
+
+    At every shared single shingle a similar pair has enough left: at most min(places) before it and min(rest) from it
+    on. All that two sets share of the prefix that ends first, together with the rest of that set, bounds their
+    intersection. Of single shingles the shared ones are counted; s shared pairs in m classes come from at most
+    m (1 + sqrt(1 + 8 s / m)) / 2 shared shingles.
+    """
+    nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.place", "y.place"))
+    enough = lambda most: most * (num + den) >= num * F.col("n")
+    sizes = den * F.least(nx, ny) >= num * F.greatest(nx, ny)
     most = F.least(px, py) + F.least(nx - px, ny - py)
-    return sizes & ((px < 0) | (most * (num + den) >= num * (nx + ny)))
+    met = met.where(sizes & ((px < 0) | (most * (num + den) >= num * (nx + ny))))
+    rest = lambda n: F.ceil(n * num / den) - 1  # noqa: E731  of a set that is indexed by singles alone
+    left = F.greatest(F.shiftright(-px, 7), F.shiftright(-py, 7))
+    by = F.when(px < 0, (-px).bitwiseAND(F.lit(127))).otherwise(0)
+    met = met.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b"), by.alias("by")).agg(
+        F.first(nx + ny).alias("n"), F.first(F.greatest(rest(nx), rest(ny))).alias("rest"), F.max(left).alias("left"),
+        F.first(F.col("x.single") & F.col("y.single")).alias("single"), F.count("*").alias("shared"),
+    )
+    m = F.element_at(F.array(*[F.lit(classes(b, num, den)) for b in range(LAST_BAND)]), F.greatest("by", F.lit(1)))
+    of_pairs = m * (1 + F.sqrt(1 + 8 * F.col("shared") / m)) / 2 + F.col("left") + 1e-6
+    both = met.groupBy("a", "b").agg(
+        F.first("n").alias("n"), F.first("rest").alias("rest"), F.first("single").alias("single"),
+        F.coalesce(F.sum(F.when(F.col("by") == 0, F.col("shared"))), F.lit(0)).alias("singles"),
+        F.min(F.when(F.col("by") > 0, of_pairs)).alias("of_pairs"),
+    )
+    by_singles = enough(F.col("singles") + F.col("rest"))
+    by_pairs = F.col("of_pairs").isNull() | enough(F.col("singles") + F.col("of_pairs"))
+    return both.where(F.when(F.col("single"), by_singles).otherwise(by_pairs)).select("a", "b")
 
 
 def ngram_jaccard_groups(
@@ -264,29 +290,32 @@ def ngram_jaccard_groups(
     index = materialize(indexed(docs, id_col, text, n, num, den), "ngram-index")
     classes_of = index.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
     rows = index.select(
-        F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("sigs", "places")).alias("e")
-    )
-    rows = rows.select("k", "n", F.col("e.sigs").alias("sig"), F.col("e.places").alias("place"))
-    shared = rows.groupBy("sig").agg(F.min("k").alias("least"), F.max("k").alias("most"))
-    shared = shared.where("least < most").select("sig", "least")
+        F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), (F.array_min("places") >= 0).alias("single"),
+        F.explode(F.arrays_zip("sigs", "places")).alias("e"),
+    )
+    rows = rows.select("k", "n", "single", F.col("e.sigs").alias("sig"), F.col("e.places").alias("place"))
+    # Which entries have two sets is told by 32-bit hashes, to keep the widest shuffle narrow. Two sets whose hashes are
+    # equal would lose each other's entries; that is one pair in four billion.
+    shared = rows.withColumn("h", F.hash("k")).groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = shared.where("lo < hi").select("sig")
     entry = materialize(rows.join(shared, "sig").dropDuplicates(["sig", "k"]), "ngram-entries")
-    lead = entry.where("k = least").select("sig", F.col("k").alias("a"), "n", "place")
-    first = entry.where("k <> least").alias("y").join(lead.alias("x"), "sig").where(near("x", "y", num, den))
-    first = materialize(first.select("a", F.col("k").alias("b")).distinct(), "ngram-pairs")
+    least = entry.groupBy("sig").agg(F.min("k").alias("least"))
+    led = entry.join(least, "sig")
+    first = led.where("k <> least").alias("y").join(led.where("k = least").alias("x"), "sig")
+    first = materialize(candidates(first, num, den), "ngram-pairs")
 
     sets = materialize(_sets_of(docs, index, first, id_col, text, n), "ngram-sets")
     linked = materialize(verified(first, sets, num, den), "ngram-links")
     merged = connected_components(linked)
 
     label = entry.join(merged, entry.k == merged.node, "left").select(
-        "sig", "k", "n", "place", F.coalesce("component", "k").alias("c")
+        "sig", "k", "n", "place", "single", F.coalesce("component", "k").alias("c")
     )
     label = materialize(label, "ngram-labels")
     mixed = label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
     left = label.join(mixed, "sig", "left_semi")
     second = left.alias("x").join(left.alias("y"), "sig").where(F.col("x.k") < F.col("y.k"))
-    second = second.where((F.col("x.c") != F.col("y.c")) & near("x", "y", num, den))
-    second = second.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    second = candidates(second.where(F.col("x.c") != F.col("y.c")), num, den)
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
     more = materialize(_sets_of(docs, index, second, id_col, text, n), "ngram-sets")
     linked = linked.unionByName(materialize(verified(second, more, num, den), "ngram-links"))
