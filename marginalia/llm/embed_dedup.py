@@ -25,92 +25,88 @@ from .components import connected_components
 
 TABLES, AXES, PROBES, RUNNERS_UP = 8, 2, 4, 3
 BLOCK = 1024
+#: So many hot cells at most are broadcast (some MB); more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of each row (a power of two long), not scaled."""
-    n, h = x.shape[1], 1
+    """Walsh-Hadamard transform along the last axis (a power of two long), not scaled."""
+    shape, n, h = x.shape, x.shape[-1], 1
     while h < n:
-        pair = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.concatenate([pair[:, :, :1] + pair[:, :, 1:], pair[:, :, :1] - pair[:, :, 1:]], axis=2).reshape(-1, n)
+        pair = x.reshape(-1, n // (2 * h), 2, h)
+        x = np.concatenate([pair[:, :, :1] + pair[:, :, 1:], pair[:, :, :1] - pair[:, :, 1:]], axis=2)
         h *= 2
-    return x
+    return x.reshape(shape)
 
 
 def cells(unit: np.ndarray, tables: int, axes: int, probes: int) -> np.ndarray:
     """Cell codes (rows, tables, probes) of unit vectors; the first probe is a vector's own cell."""
     n, d = unit.shape
     width = 1 << max(1, (d - 1).bit_length())
-    x = np.zeros((n, width))
-    x[:, :d] = unit
-    out = np.empty((n, tables, probes), np.int64)
-    top = min(RUNNERS_UP, width)
-    rows = np.arange(n)[:, None]
-    for t in range(tables):
-        short, code = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
-        for a in range(axes):
-            signs = np.random.default_rng([t, a, width]).choice([-1.0, 1.0], (3, width))
-            y = x
-            for s in signs:
-                y = hadamard(y * s) / np.sqrt(width)
-            size = np.abs(y)
-            best = np.argsort(-size, axis=1, kind="stable")[:, :top]
-            at = size[rows, best]
-            axis = best * 2 + (y[rows, best] > 0)
-            short = (short[:, :, None] + ((at[:, :1] - at) ** 2)[:, None, :]).reshape(n, -1)
-            code = (code[:, :, None] * (2 * width) + axis[:, None, :]).reshape(n, -1)
-        order = np.argsort(short, axis=1, kind="stable")[:, :probes]
-        got = code[rows, order]
-        out[:, t, : got.shape[1]] = got
-        out[:, t, got.shape[1] :] = got[:, :1]
-    return out
-
-
-def units(column: pa.Array) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; None where a vector is null, empty or zero or holds null or non-finite parts."""
-    out: list[np.ndarray | None] = []
-    for x in column:
-        v = None
-        if x.is_valid and len(x) and not x.values.null_count:
-            v = np.asarray(x.values, np.float64)
-            most = np.abs(v).max()
-            v = v / most if np.isfinite(most) and most > 0 else None
-            v = v / np.sqrt(v @ v) if v is not None else None
-        out.append(v)
-    return out
+    y = np.zeros((n, 1, width))
+    y[:, 0, :d] = unit
+    signs = np.random.default_rng([tables, axes, width]).choice([-1.0, 1.0], (3, tables * axes, width))
+    for s in signs:
+        y = hadamard(y * s) / np.sqrt(width)
+    size = np.abs(y)
+    best = np.argsort(-size, axis=2, kind="stable")[:, :, : min(RUNNERS_UP, width)]
+    at = np.take_along_axis(size, best, 2)
+    short_of = ((at[:, :, :1] - at) ** 2).reshape(n, tables, axes, -1)
+    axis = (best * 2 + (np.take_along_axis(y, best, 2) > 0)).reshape(n, tables, axes, -1)
+    short, code = np.zeros((n, tables, 1)), np.zeros((n, tables, 1), np.int64)
+    for a in range(axes):
+        short = (short[:, :, :, None] + short_of[:, :, a, None, :]).reshape(n, tables, -1)
+        code = (code[:, :, :, None] * (2 * width) + axis[:, :, a, None, :]).reshape(n, tables, -1)
+    order = np.argsort(short, axis=2, kind="stable")[:, :, :probes]
+    got = np.take_along_axis(code, order, 2)
+    fill = np.repeat(got[:, :, :1], probes - got.shape[2], axis=2)
+    return np.concatenate([got, fill], axis=2)
+
+
+def normalised(v: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision, free of overflow."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def keyed(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """id, key (equal for equal unit vectors; null where a vector can't link) and unit."""
+    """id, key (equal for equal unit vectors; null where a vector can't link) and the vector's raw values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = units(b.column(1))
-            keys = [
-                None if v is None else int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)
-                for v in found
-            ]
+            keys, raw = [], []
+            for x in b.column(1):
+                v = np.asarray(x.values) if x.is_valid and len(x) and not x.values.null_count else None
+                if v is None or not np.isfinite(v).all() or not v.any():
+                    keys.append(None)
+                    raw.append(None)
+                    continue
+                unit = normalised(v[None]) + 0.0  # no negative zeros
+                keys.append(int.from_bytes(hashlib.blake2b(unit.tobytes(), digest_size=8).digest(), "little", signed=True))
+                raw.append(v.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.int64()), pa.array([None if v is None else v.tobytes() for v in found], pa.binary())],
-                names=["id", "key", "unit"],
+                [b.column(0), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["id", "key", "raw"]
             )
 
-    return vectors.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "id long, key long, unit binary")
+    return vectors.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "id long, key long, raw binary")
 
 
-def hashed(distinct: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
-    """A row for each vector, table and probed cell: dim, t, cell, own, key, weight, unit."""
-    schema = "dim int, t int, cell long, own boolean, key long, weight long, unit binary"
+def hashed(distinct: DataFrame, kind: str, tables: int, axes: int, probes: int) -> DataFrame:
+    """A row for each vector, table and probed cell: dim, t, cell, own, key, weight, raw."""
+    schema = "dim int, t int, cell long, own boolean, key long, weight long, raw binary"
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 raw = part.column(2).to_pylist()
-                dims = np.array([len(x) // 8 for x in raw])
+                dims = np.array([len(x) // width for x in raw])
                 for d in np.unique(dims):
                     rows = np.flatnonzero(dims == d)
-                    code = cells(np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(-1, d), tables, axes, probes)
+                    values = np.frombuffer(b"".join(raw[i] for i in rows), kind).reshape(-1, d)
+                    code = cells(normalised(values), tables, axes, probes)
                     take = np.repeat(rows, tables * probes)
                     n = len(take)
                     yield pa.RecordBatch.from_arrays(
@@ -123,10 +119,10 @@ def hashed(distinct: DataFrame, tables: int, axes: int, probes: int) -> DataFram
                             part.column(1).take(pa.array(take)),
                             part.column(2).take(pa.array(take)),
                         ],
-                        names=["dim", "t", "cell", "own", "key", "weight", "unit"],
+                        names=["dim", "t", "cell", "own", "key", "weight", "raw"],
                     )
 
-    return distinct.select("key", "weight", "unit").mapInArrow(run, schema)
+    return distinct.select("key", "weight", "raw").mapInArrow(run, schema)
 
 
 def first_meeting(pa_: np.ndarray, pb: np.ndarray, t: int, cell: int) -> np.ndarray:
@@ -193,47 +189,50 @@ def compared(cell: tuple, keys: np.ndarray, weights: np.ndarray, own: np.ndarray
     )
 
 
-def meetings(rows: DataFrame, least: float, shape: tuple[int, int, int]) -> DataFrame:
+def meetings(rows: DataFrame, kind: str, least: float, shape: tuple[int, int, int]) -> DataFrame:
     """key, links, other: parts of the degrees, and a forest's edges, of vectors that meet in a cell."""
     place = ["dim", "t", "cell"]
     hot = rows.groupBy(place).count().where(F.col("count") > BLOCK)
-    hot = hot.select(*place, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(hot, place, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = materialize(hot.select(*place, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-cells")
+    dealt = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_CELLS else hot, place, "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*place, F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", "own", "key", "weight", "unit")
+    pair = F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi")
+    dealt = dealt.select(*place, *pair, "side", "own", "key", "weight", "raw")
     group = [*place, "lo", "hi"]
     dealt = dealt.repartition(*group).sortWithinPartitions(*group, "key", F.desc("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now: tuple[int, ...] | None = None
+        parts: list[list] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             if now is None:
                 return
-            b = pa.Table.from_batches(parts).combine_chunks()
-            key = b["key"].to_numpy()
+            key, weight, own, side = (np.concatenate([p[k] for p in parts]) if len(parts) > 1 else parts[0][k] for k in range(4))
             new = np.concatenate(([True], key[1:] != key[:-1]))  # a vector may probe a cell that is its own
-            if new.sum() < 2:
+            if new.sum() < 2 or not own.any():
                 return
-            raw = b["unit"].to_pylist()
-            unit = np.frombuffer(b"".join(x for x, n in zip(raw, new, strict=True) if n), np.float64).reshape(-1, now[0])
-            out = compared(
-                (now[1], now[2], now[3] != now[4]), key[new], b["weight"].to_numpy()[new], b["own"].to_numpy()[new],
-                b["side"].to_numpy()[new], unit, least, shape,
-            )
+            values = np.frombuffer(b"".join(p[4] for p in parts), kind).reshape(-1, now[0])
+            cell = (now[1], now[2], now[3] != now[4])
+            out = compared(cell, key[new], weight[new], own[new], side[new], normalised(values[new]), least, shape)
             if out is not None:
                 yield out
 
         for b in batches:
             ids = [b.column(k).to_numpy() for k in range(5)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (7, 8, 6, 5)]
+            raw = b.column(9)
+            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + b.num_rows + 1]
+            data = memoryview(raw.buffers()[2])
             cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            for start, end in zip([0, *cut], [*cut, b.num_rows], strict=True):
+            for start, end in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
                 at = tuple(int(x[start]) for x in ids)
                 if at != now:
                     yield from close()
                     now, parts = at, []
-                parts.append(b.slice(start, end - start))
+                parts.append([*(c[start:end] for c in cols), data[offsets[start] : offsets[end]]])
         yield from close()
 
     return dealt.mapInArrow(run, "key long, links long, other long")
@@ -251,12 +250,16 @@ def near_duplicates(
     link with nothing; vectors of different lengths don't link; rows with a null id count as vectors and are returned
     with what they reach; an empty table gives an empty result; further columns are ignored.
     """
+    if vectors.schema[vector].dataType.elementType.typeName() != "float":
+        vectors = vectors.withColumn(vector, F.col(vector).cast("array<double>"))
     rows = materialize(keyed(vectors, id_col, vector), "vectors")
     distinct = rows.where("key is not null").groupBy("key").agg(
-        F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit")
+        F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw")
     )
     distinct = materialize(distinct, "vectors")
-    met = materialize(meetings(hashed(distinct, tables, axes, probes), least, (tables, axes, probes)), "meetings")
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
+    dealt = hashed(distinct, kind, tables, axes, probes)
+    met = materialize(meetings(dealt, kind, least, (tables, axes, probes)), "meetings")
     links = met.groupBy("key").agg(F.sum("links").alias("links"))
     merged = connected_components(met.select(F.col("key").alias("a"), F.col("other").alias("b")))
     reach = distinct.select("key", "rep", "weight").join(merged, F.col("key") == merged.node, "left")
