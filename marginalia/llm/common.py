@@ -66,3 +66,14 @@ def byte_chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, l
         size += n
     if start < len(sizes):
         yield start, raw.slice(start).to_pylist()
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = 200_000) -> DataFrame:
+    """docs without the rows whose id is in the one column of ids; rows with a null id stay.
+
+    Up to `most` ids (some MB, counted first) are broadcast, so that the texts need no shuffle; more are joined by one.
+    """
+    gone = materialize(ids.toDF("__gone").where("__gone is not null").distinct(), "ids")
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

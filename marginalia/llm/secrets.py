@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 #: (kind, version, pattern, group whose length counts, least length), in the order in which kinds are listed.
 RULES = [
@@ -25,6 +25,8 @@ RULES = [
 ]
 #: Kinds of the base; the others are added by this operator.
 BASE = ("assign", "access", "hex")
+#: So many blobs with findings at most are broadcast (some MB) to their paths; more are joined by a shuffle.
+BROADCAST_BLOBS = 20_000
 LEDGER_SCHEMA = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -98,6 +100,9 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "t
     by_blob = hits.distinct().groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("s"))  # one text's spans
     findings = F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     by_blob = by_blob.select("blob", findings.alias("findings"))
+    by_blob = materialize(by_blob, "findings")
+    if by_blob.count() <= BROADCAST_BLOBS:
+        by_blob = F.broadcast(by_blob)
     names = versions.columns
     out = versions.withColumn("__blob", blob).join(by_blob.withColumnRenamed("blob", "__blob"), "__blob", "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
