@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components
+from .components import connected_components, forest
 
 TABLES, AXES, PROBES, RUNNERS_UP = 8, 2, 4, 3
 BLOCK = 1024
@@ -141,20 +141,6 @@ def first_meeting(pa_: np.ndarray, pb: np.ndarray, t: int, cell: int) -> np.ndar
     return out
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least index connected with each of n indexes by the pairs (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compared(cell: tuple, keys: np.ndarray, weights: np.ndarray, own: np.ndarray, side: np.ndarray, unit: np.ndarray, least: float, shape: tuple) -> pa.RecordBatch | None:
     """Degrees and forest of the pairs that first meet in a block pair of a cell. cell: t, code, whether the blocks differ."""
     t, code, cross = cell

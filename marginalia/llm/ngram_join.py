@@ -12,9 +12,10 @@ share no pair. So if rare + sum(max(0, c - 1)) >= R, x and y share an entry that
 one whose prefix ends first in the global order, also in y's. The number of classes grows with the size of the set, so it
 is fixed per size band, and a document is indexed for its own band and the next: partners are at most one band apart.
 
-Copies are one set. Each entry's members are first verified against the entry's least member and merged into
-components; only entries that still hold two components are then joined in full. So a group of n near copies costs in
-proportion to n, and no link between different components is lost.
+Copies are one set. Entries of up to SMALL sets are joined pair by pair, which is linear in the number of entries. An
+entry of more goes to a cell, that of its leader: the member that most such entries share. All sets of a cell are compared,
+in blocks of bounded size, by products of incidence matrices; a task returns a spanning forest of the links, never the
+pairs, so that a group of many near copies yields rows in proportion to its size, and no connection is lost.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, byte_chunks, materialize
-from .components import connected_components
+from .components import connected_components, forest
 
 TABLE_BITS = 20
+#: Entries of so many sets at most are joined pair by pair; sets in a block of a cell; columns of an incidence matrix.
+SMALL, BLOCK, COLUMNS = 32, 512, 2048
 #: More bands than sets of 2**31 shingles need at the least useful similarity steps (1.25 ** 97 > 2 ** 31).
 LAST_BAND = 100
 #: So many document ids at most are broadcast (some MB); more are joined by a shuffle of the texts.
@@ -244,12 +247,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that may be similar, of rows x and y that share an entry.
+    """Pairs (a, b) that may be similar, of rows x and y that share a small entry.
 
     At every shared single shingle a similar pair has enough left: at most min(places) before it and min(rest) from it
     on. All that two sets share of the prefix that ends first, together with the rest of that set, bounds their
     intersection. Of single shingles the shared ones are counted; s shared pairs in m classes come from at most
-    m (1 + sqrt(1 + 8 s / m)) / 2 shared shingles.
+    m (1 + sqrt(1 + 8 s / m)) / 2 shared shingles. Sets that both have larger entries may share more than is counted here
+    and aren't bounded so.
     """
     nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.place", "y.place"))
     enough = lambda most: most * (num + den) >= num * F.col("n")
@@ -262,27 +266,93 @@ def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
     met = met.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b"), by.alias("by")).agg(
         F.first(nx + ny).alias("n"), F.first(F.greatest(rest(nx), rest(ny))).alias("rest"), F.max(left).alias("left"),
         F.first(F.col("x.single") & F.col("y.single")).alias("single"), F.count("*").alias("shared"),
+        F.first(F.col("x.larger") & F.col("y.larger")).alias("larger"),
     )
     m = F.element_at(F.array(*[F.lit(classes(b, num, den)) for b in range(LAST_BAND)]), F.greatest("by", F.lit(1)))
     of_pairs = m * (1 + F.sqrt(1 + 8 * F.col("shared") / m)) / 2 + F.col("left") + 1e-6
     both = met.groupBy("a", "b").agg(
         F.first("n").alias("n"), F.first("rest").alias("rest"), F.first("single").alias("single"),
         F.coalesce(F.sum(F.when(F.col("by") == 0, F.col("shared"))), F.lit(0)).alias("singles"),
-        F.min(F.when(F.col("by") > 0, of_pairs)).alias("of_pairs"),
+        F.min(F.when(F.col("by") > 0, of_pairs)).alias("of_pairs"), F.first("larger").alias("larger"),
     )
     by_singles = enough(F.col("singles") + F.col("rest"))
     by_pairs = F.col("of_pairs").isNull() | enough(F.col("singles") + F.col("of_pairs"))
-    return both.where(F.when(F.col("single"), by_singles).otherwise(by_pairs)).select("a", "b")
+    return both.where(F.col("larger") | F.when(F.col("single"), by_singles).otherwise(by_pairs)).select("a", "b")
+
+
+def cell_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): in each cell (cell, k) a forest that connects the sets that are similar."""
+    sizes = cells.groupBy("cell").count().where(F.col("count") > BLOCK)
+    sizes = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = cells.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi")
+    dealt = dealt.select("cell", *pair, "side", F.col("k").alias("set_key")).join(sets, "set_key")
+    dealt = dealt.select("cell", "lo", "hi", "side", "set_key", "shingles").repartition("cell", "lo", "hi")
+    dealt = dealt.sortWithinPartitions("cell", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[int, ...] | None = None
+        parts: list[tuple[int, int, np.ndarray]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(parts) < 2:
+                return
+            side = np.array([p[0] for p in parts])
+            keys = np.array([p[1] for p in parts])
+            i, j = similar([p[2] for p in parts], num, den)
+            if now[1] != now[2]:
+                apart = side[i] != side[j]
+                i, j = i[apart], j[apart]
+            label = forest(i, j, len(keys))
+            tied = np.flatnonzero(label != np.arange(len(keys)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(keys[tied]), "b": pa.array(keys[label[tied]])})
+
+        for b in batches:
+            cell, lo, hi, side, key = (b.column(c).to_pylist() for c in range(5))
+            column = b.column(5)
+            ends = column.offsets.to_numpy()
+            values = column.values.to_numpy()
+            for r in range(b.num_rows):
+                at = (cell[r], lo[r], hi[r])
+                if at != now:
+                    yield from close()
+                    now, parts = at, []
+                parts.append((side[r], key[r], values[ends[r] : ends[r + 1]]))
+        yield from close()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (i < j) of the pairs of sets that reach the similarity."""
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    found, column = np.unique(np.concatenate(sets), return_inverse=True)
+    several = np.bincount(column, minlength=len(found)) > 1
+    place = np.cumsum(several) - 1
+    row, column = row[several[column]], place[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        shared += part @ part.T
+    i, j = np.nonzero(np.triu((den + num) * shared.astype(np.int64) >= num * (size[:, None] + size), 1))
+    return i, j
 
 
 def ngram_jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: id, n_shingles, set_key, component_id, one row per row of docs. links: pairs (a, b) of
-    set keys that are similar; copies share a set key and aren't paired.
+    set keys that are similar or connected through similar sets; copies share a set key and aren't paired.
 
     Two texts link when den * |intersection| >= num * |union| of their n-word shingle sets. links holds enough pairs to
-    connect whatever is connected; entries inside one component aren't all listed. component_id is the least id that is
+    connect whatever is connected, not every link. component_id is the least id that is
     reachable. Null and blank texts have no shingles and link with nothing; ids may be null (a component of null ids
     only has a null component_id); repeated rows are copies; other columns are ignored. Words are split at
     [\\x20\\x09-\\x0D]+ after A-Z are lower-cased.
@@ -299,26 +369,21 @@ def ngram_jaccard_groups(
     shared = rows.withColumn("h", F.hash("k")).groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     shared = shared.where("lo < hi").select("sig")
     entry = materialize(rows.join(shared, "sig").dropDuplicates(["sig", "k"]), "ngram-entries")
-    least = entry.groupBy("sig").agg(F.min("k").alias("least"))
-    led = entry.join(least, "sig")
-    first = led.where("k <> least").alias("y").join(led.where("k = least").alias("x"), "sig")
-    first = materialize(candidates(first, num, den), "ngram-pairs")
-
-    sets = materialize(_sets_of(docs, index, first, id_col, text, n), "ngram-sets")
-    linked = materialize(verified(first, sets, num, den), "ngram-links")
-    merged = connected_components(linked)
-
-    label = entry.join(merged, entry.k == merged.node, "left").select(
-        "sig", "k", "n", "place", "single", F.coalesce("component", "k").alias("c")
-    )
-    label = materialize(label, "ngram-labels")
-    mixed = label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    left = label.join(mixed, "sig", "left_semi")
-    second = left.alias("x").join(left.alias("y"), "sig").where(F.col("x.k") < F.col("y.k"))
-    second = candidates(second.where(F.col("x.c") != F.col("y.c")), num, den)
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    more = materialize(_sets_of(docs, index, second, id_col, text, n), "ngram-sets")
-    linked = linked.unionByName(materialize(verified(second, more, num, den), "ngram-links"))
+    entry = materialize(entry.join(entry.groupBy("sig").agg(F.count("*").alias("size")), "sig"), "ngram-sizes")
+    large = entry.where(F.col("size") > SMALL)
+    degree = large.groupBy("k").agg(F.count("*").alias("degree"))
+    small = entry.where(F.col("size") <= SMALL).join(degree, "k", "left").withColumn("larger", F.col("degree").isNotNull())
+    pairs = small.alias("x").join(small.alias("y"), "sig").where(F.col("x.k") < F.col("y.k"))
+    pairs = materialize(candidates(pairs, num, den), "ngram-pairs")
+
+    ranked = large.join(degree, "k")
+    leader = ranked.groupBy("sig").agg(F.max(F.struct("degree", "k")).alias("l"))
+    cells = large.join(leader, "sig").select(F.col("l.k").alias("cell"), "k").distinct()
+    cells = materialize(cells, "ngram-cells")
+
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(cells.select(F.col("k").alias("set_key")))
+    sets = materialize(_sets_of(docs, index, keys.distinct(), id_col, text, n), "ngram-sets")
+    linked = materialize(verified(pairs, sets, num, den).unionByName(cell_links(cells, sets, num, den)), "ngram-links")
 
     merged = connected_components(linked)
     reach = classes_of.join(merged, classes_of.set_key == merged.node, "left").select(
@@ -334,9 +399,8 @@ def ngram_jaccard_groups(
     return members, linked
 
 
-def _sets_of(docs: DataFrame, index: DataFrame, pairs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """The whole sets that the pairs name: the texts of one row each, shingled again."""
-    keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+def _sets_of(docs: DataFrame, index: DataFrame, keys: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """The whole sets of the keys: the texts of one row each, shingled again."""
     rep = index.where("n_shingles > 1").groupBy("set_key").agg(F.min(F.coalesce("id", F.lit(-1))).alias("rep"))
     ids = materialize(rep.join(keys, "set_key", "left_semi").select("rep").distinct(), "ngram-ids")
     if ids.count() <= BROADCAST_IDS:
