@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, decontam, embed_dedup, ngram_join, quality, secrets, url_filter
+from . import bpe, decontam, embed_dedup, langid, ngram_join, quality, secrets, url_filter
 from .common import crc_bucket
 
 
@@ -72,6 +72,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identified(docs, docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
+    return found.select(
+        F.col("id").alias("doc_id"), (crc_bucket(F.col("id"), 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select(
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
 
