@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, decontam, embed_dedup, langid, ngram_join, quality, secrets, url_filter
+from . import bpe, decontam, embed_dedup, kneser_ney, langid, ngram_join, quality, secrets, url_filter
 from .common import crc_bucket
 
 
@@ -60,6 +60,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.trained(docs.where(crc_bucket(F.col("doc_id"), 7) != 2))
+    found = kneser_ney.scored(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"), (crc_bucket(F.col("id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda x: F.array_join(
@@ -97,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
