@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, decontam, embed_dedup, kneser_ney, langid, ngram_join, quality, secrets, url_filter
+from . import bpe, decontam, embed_dedup, kneser_ney, langid, ngram_join, quality, secrets, token_count, url_filter
 from .common import crc_bucket
 
 
@@ -82,6 +82,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = token_count.token_counts(table(spark, sf_dir, "documents"), path)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identified(docs, docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
