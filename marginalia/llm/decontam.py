@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, materialize
@@ -124,11 +124,24 @@ def scanned(docs: DataFrame, id_col: str, text: str, wins: list[bytes], items: l
     return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
+def _joined(spans: Column) -> Column:
+    """Sorted spans with overlapping ones joined."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wide = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        apart = (F.size(acc) == 0) | (s["start"] > last["end"])
+        return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(head, F.array(wide)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def _merged(found: DataFrame, parts: int) -> DataFrame:
     """The parts' rows of each document as one; a document's rows of one part are equal."""
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     one = found.groupBy("id", "h", "n_words").agg(
-        F.size(united("words")).cast("long").alias("n_hit"), united("spans").alias("spans"),
+        F.size(united("words")).cast("long").alias("n_hit"), _joined(united("spans")).alias("spans"),
         united("items").alias("items"), (F.count("*") / parts).cast("int").alias("copies"),
     )
     return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

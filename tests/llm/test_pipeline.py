@@ -1,0 +1,46 @@
+"""The corpus pipeline, stage by stage, against what the stages must do."""
+
+from __future__ import annotations
+
+import pytest
+
+import corpus_pipeline
+from marginalia.llm import decontam, secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def kept(spark):
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        out.append({r.doc_id: r for r in docs.collect()})
+    return out
+
+
+def test_stages_narrow_and_keep_the_columns(spark, kept):
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "byte-level BPE"]
+    assert len(kept[0]) > 0.7 * first.count() and set(kept[1]) <= set(kept[0]) and set(kept[2]) <= set(kept[1]) and set(kept[3]) == set(kept[2]) == set(kept[4])
+    assert all(list(next(iter(k.values())).asDict()) == first.columns for k in kept[:4])
+
+
+def test_one_of_each_group_stays(kept):
+    texts = [r.text for r in kept[1].values() if r.text and r.text.strip()]
+    assert len(texts) == len(set(texts))
+
+
+def test_contaminated_documents_go(spark, kept):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    left = spark.createDataFrame([(r.doc_id, r.text) for r in kept[2].values()], "doc_id long, text string")
+    assert decontam.contaminated(left, bench).where("contaminated").count() == 0
+
+
+def test_secrets_are_replaced(spark, kept):
+    left = spark.createDataFrame([(r.doc_id, r.text) for r in kept[3].values()], "doc_id long, text string")
+    assert secrets.scan_versions(left).where("size(findings) > 0").count() == 0
+
+
+def test_tokens_are_counted(kept):
+    assert all(r.n_tokens == len(r.ids) and (r.n_tokens > 0) == (r.n_chars > 0) for r in kept[4].values())
