@@ -45,7 +45,7 @@ def test_segments_never_overlap_and_short_stretches_fill_up(spark):
 def test_reset_totals_and_gaps(spark):
     df = spark.createDataFrame([(1, 5), (2, 9), (3, 2), (4, 6)], "t int, v int").withColumn("k", F.lit(1))
     assert [r.total for r in activity.reset_cumulative(df, ["k"], "v", ["t"]).orderBy("t").collect()] == [5, 9, 11, 15]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate([0, 1, 2, 5, 6, 7])], "i int, x double").withColumn("k", F.lit(1))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([0.0, 1.0, 2.0, 5.0, 6.0, 7.0])], "i int, x double").withColumn("k", F.lit(1))
     assert [r.system for r in activity.systems_by_gap(df, ["k"], "x", "i").orderBy("i").collect()] == [1, 1, 1, 2, 2, 2]
 
 
