@@ -4,7 +4,7 @@ A text is cut by the tokenizer's pattern; each match is merged on its own. A lea
 that starts a live token and holds (rank of the pair with the next live token, position); inner nodes hold minima, so the
 root is the leftmost pair of least rank. A merge changes three leaves (the pair, its right token, the left neighbour),
 each a logarithmic update. Short matches are merged side by side in numpy, one tree per row; long ones one by one.
-Matches repeat, so each worker keeps a bounded cache.
+Matches repeat, so each worker keeps a bounded cache: the ids of all matches in one flat array, and where each has its own.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +47,17 @@ class Bpe:
         self.merges = merges
         self.keys = np.array(sorted(merges), np.int64)
         self.values = np.array([merges[int(k)] for k in self.keys], np.int64)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.byte_pairs = self.pair_ranks(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+        tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        self.token_size = np.array([len(t) for t in tokens], np.int32)
+        self.token_start = np.cumsum(self.token_size, dtype=np.int64) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.place: dict[str, int] = {}  # number of each match; where its ids start in flat, and how many they are
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of token ids; -1 where they don't merge."""
@@ -55,8 +65,8 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
-    def merged_rows(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Token ids of pieces that are alike in length (2 to SIDE_BY_SIDE bytes), one tree per row."""
+    def merged_rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids, and how many each has, of pieces that are alike in length (2 to SIDE_BY_SIDE bytes), one tree per row."""
         n = len(pieces)
         size = np.array([len(p) for p in pieces])
         w = 1 << int(size.max() - 1).bit_length()
@@ -67,7 +77,7 @@ class Bpe:
         after = np.where(place + 1 < size[:, None], place + 1, w)  # w: none
         before = np.broadcast_to(place - 1, (n, w)).copy()  # -1: none
         tree = np.full((n, 2 * w), NONE)
-        rank = self.pair_ranks(np.maximum(tok[:, :-1], 0), np.maximum(tok[:, 1:], 0))
+        rank = self.byte_pairs[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
         rank[~live[:, 1:]] = -1
         tree[:, w : 2 * w - 1] = np.where(rank >= 0, rank * w + place[:-1], NONE)
         for level in range(w.bit_length() - 2, -1, -1):
@@ -103,11 +113,9 @@ class Bpe:
             if has.any():
                 update(rows[has], left[has], leaf_value(rows[has], left[has], at[has]))
             rows = rows[tree[rows, 1] < NONE]
-        ids = tok[live].tolist()
-        ends = np.cumsum(live.sum(axis=1)).tolist()
-        return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return tok[live], live.sum(axis=1)
 
-    def merged_long(self, piece: bytes) -> tuple[int, ...]:
+    def merged_long(self, piece: bytes) -> list[int]:
         """Token ids of one piece of any length."""
         n = len(piece)
         w = 1 << (n - 1).bit_length()
@@ -150,36 +158,68 @@ class Bpe:
             if left >= 0:
                 r = get(tok[left] << bits | rank)
                 update(left, none if r is None else r * w + left)
-        return tuple(t for t, x in zip(tok, live, strict=True) if x)
+        return [t for t, x in zip(tok, live, strict=True) if x]
 
     def learn(self, pieces: set[str]) -> None:
         """Put the token ids of new pieces into the cache."""
-        alike: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            raw = p.encode()
-            whole = self.rank.get(raw)
-            if whole is not None:
-                self.cache[p] = (whole,)
-            elif len(raw) > SIDE_BY_SIDE:
-                self.cache[p] = self.merged_long(raw)
-            else:
-                alike.setdefault((len(raw) - 1).bit_length(), []).append((p, raw))
-        for group in alike.values():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                self.cache.update(zip((p for p, _ in part), self.merged_rows([raw for _, raw in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.find(t) for t in texts]
-        wanted = set(chain.from_iterable(cut))
-        if len(self.cache) + len(wanted) > CACHE:
-            self.cache.clear()
-        self.learn(wanted - self.cache.keys())
-        of = self.cache.__getitem__
-        return [list(chain.from_iterable(map(of, pieces))) for pieces in cut]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        raws = [p.encode() for p in pieces]
+        ranks = np.array([-1 if r is None else r for r in map(self.rank.get, raws)], np.int32)
+        names = list(pieces)
+        width = np.fromiter(map(len, raws), np.int64, len(raws))
+        kind = np.where(ranks >= 0, 0, np.where(width > SIDE_BY_SIDE, 1 << 30, width))
+        order = np.argsort(kind, kind="stable")
+        named = [names[i] for i in order.tolist()]
+        whole = int((ranks >= 0).sum())
+        short = int((kind <= SIDE_BY_SIDE).sum())
+        ids, sizes = [self.flat, ranks[order[:whole]]], [self.size, np.ones(whole, np.int32)]
+        bounds = np.searchsorted(kind[order], [1 << k for k in range(SIDE_BY_SIDE.bit_length())], side="right")
+        for lo, hi in zip([whole, *bounds], [*bounds, short], strict=True):
+            for at in range(lo, hi, 4096):
+                got, size = self.merged_rows([raws[i] for i in order[at : min(at + 4096, hi)].tolist()])
+                ids.append(got.astype(np.int32))
+                sizes.append(size.astype(np.int32))
+        for i in order[short:].tolist():
+            got = self.merged_long(raws[i])
+            ids.append(np.array(got, np.int32))
+            sizes.append(np.array([len(got)], np.int32))
+        names = named
+        self.place.update(zip(names, range(len(self.place), len(self.place) + len(names)), strict=True))
+        self.flat, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after another, and where each text's ids end."""
+        pieces: list[str] = []
+        ends = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            pieces += self.find(t)
+            ends[i] = len(pieces)
+        at = list(map(self.place.get, pieces))
+        new = {p for p, k in zip(pieces, at, strict=True) if k is None}
+        if new:
+            if len(self.place) + len(new) > CACHE:
+                self.forget()
+                new = set(pieces)
+            self.learn(new)
+            at = map(self.place.__getitem__, pieces)
+        at = np.fromiter(at, np.int64, len(pieces))
+        ids, reach = spread(self.flat, self.start[at], self.size[at])
+        return ids, np.concatenate(([0], reach))[ends]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, one after another, and where the bytes end of each run of ids, given by its end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.token_size) or not self.token_size[ids].all()):
+            raise KeyError("an id that the vocabulary lacks")
+        out, reach = spread(self.token_bytes, self.token_start[ids], self.token_size[ids])
+        return out, np.concatenate(([0], reach))[ends]
+
+
+def spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of flat that begin at start and have size values, one after another, and where each ends in the result."""
+    reach = np.cumsum(size, dtype=np.int64)
+    at = np.repeat(start - (reach - size), size)
+    at += np.arange(len(at))
+    return flat[at], reach
 
 
 _loaded: dict[str, Bpe] = {}
@@ -216,10 +256,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
         bpe = tables(*shared.value)
         for b in batches:
             for start, raw in byte_chunks(b.column(at), 1 << 20):
-                ids = bpe.encode([x.decode() if x else "" for x in raw])
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-                values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
-                column = pa.ListArray.from_arrays(offsets, values)
+                ids, ends = bpe.encode([x.decode() if x else "" for x in raw])
+                offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+                column = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.slice(start, len(raw)).columns, column], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -236,7 +275,14 @@ def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                column = pa.array([bpe.decode(x or ()) for x in part.column(at).to_pylist()], pa.binary())
+                got = part.column(at)
+                sizes = pc.fill_null(pc.list_value_length(got), 0).to_numpy(zero_copy_only=False)
+                values = pc.list_flatten(got)
+                if values.null_count:
+                    raise KeyError("a null among the ids")
+                raw, ends = bpe.decode(values.to_numpy(), np.cumsum(sizes))
+                offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
