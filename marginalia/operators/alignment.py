@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def edit_distance(a: Column, b: Column, substitution=None) -> Column:  # noqa: ANN001
@@ -38,6 +39,34 @@ def unlikeness(a: Column, b: Column, alike) -> Column:  # noqa: ANN001
     return F.when(longer > 0, d / longer).otherwise(0.0)
 
 
+def _distance(a: list, b: list, kinds_a: list | None = None, kinds_b: list | None = None) -> float:
+    """Edit distance by whole rows of the table; substitutions of tokens of equal kinds cost 0.5, if kinds are given."""
+    number: dict = {}
+    coded = lambda x: np.array([number.setdefault(t, len(number)) for t in x], np.int64)
+    x, y = coded(a), coded(b)
+    kx, ky = (coded(kinds_a), coded(kinds_b)) if kinds_a is not None else (x, y)
+    steps = np.arange(len(y) + 1, dtype=np.float64)
+    row = steps
+    for i in range(len(x)):
+        across = row[:-1] + np.where(y == x[i], 0.0, np.where(ky == kx[i], 0.5, 1.0))
+        best = np.concatenate(([i + 1.0], np.minimum(row[1:] + 1, across)))
+        row = np.minimum.accumulate(best - steps) + steps  # insertions; halves are exact
+    return float(row[-1])
+
+
+@F.pandas_udf(DoubleType())
+def whole_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """edit_distance of long token arrays: memory of one row of the table, whatever the lengths."""
+    return pd.Series([None if x is None or y is None else _distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def whole_unlikeness(a: pd.Series, b: pd.Series, kinds_a: pd.Series, kinds_b: pd.Series) -> pd.Series:
+    """unlikeness of long token arrays, where tokens of equal kinds are alike."""
+    rows = zip(a, b, kinds_a, kinds_b, strict=True)
+    return pd.Series([None if r[0] is None or r[1] is None else _distance(*r) / max(len(r[0]), len(r[1]), 1) for r in rows], dtype="float64")
+
+
 def symbol_errors(a: Column, b: Column) -> Column:
     """Unit edit distance of two token arrays, counted at most as twice the first one's length."""
     return F.least(edit_distance(a, b), 2.0 * F.size(a))

@@ -495,8 +495,10 @@ TURNS = """w AS (SELECT conv_id, turn, list_filter(string_split(lower(text), ' '
   d AS (SELECT conv_id, turn, a, b, list_sort(list_distinct(list_concat(a, b))) AS v FROM p WHERE b IS NOT NULL)"""
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.lower("text"), " ", -1), lambda x: x != ""), 1, 12)
+def turns(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """The words of each turn (a) and of the next (b): all of them, or the first `most` as in TURNS."""
+    words = F.filter(F.split(F.lower("text"), " ", -1), lambda x: x != "")
+    words = F.slice(words, 1, most) if most else words
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("a"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return c.withColumn("b", F.lead("a").over(w)).where("b is not null")
@@ -505,22 +507,36 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TURNS} SELECT conv_id, turn, CAST(levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(40 + list_position(v, x) AS INT))), ''),
   array_to_string(list_transform(b, lambda x: chr(CAST(40 + list_position(v, x) AS INT))), '')) AS BIGINT) AS distance FROM d""")
 def edit_distance_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).select("conv_id", "turn", alignment.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
+    return turns(spark, sf_dir, 12).select("conv_id", "turn", alignment.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
+
+
+@query()
+def edit_distance_whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).select("conv_id", "turn", alignment.whole_distance("a", "b").cast("long").alias("distance"))
 
 
 @query()
 def token_unlike_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alike = lambda x, y: F.substring(x, 1, 1) == F.substring(y, 1, 1)
-    return turns(spark, sf_dir).select("conv_id", "turn", F.round(alignment.unlikeness(F.col("a"), F.col("b"), alike), 6).alias("unlike"))
+    head = lambda c: F.transform(c, lambda x: F.substring(x, 1, 1))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.round(alignment.whole_unlikeness("a", "b", head("a"), head("b")), 6).alias("unlike"))
 
 
 @query(f"""WITH {TURNS}, c AS (SELECT a = b AS exact, list_transform(a, lambda x: length(x)) = list_transform(b, lambda x: length(x)) AS rhythm,
     list_transform(a, lambda x: x[1:1]) = list_transform(b, lambda x: x[1:1]) AS pitch FROM d)
   SELECT count(*) AS bars, count(*) FILTER (exact) AS exact, count(*) FILTER (rhythm) AS rhythm, count(*) FILTER (pitch) AS pitch FROM c""")
 def bars_exact_rhythm_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(turns(spark, sf_dir, 12))
+
+
+@query()
+def whole_bars_exact_rhythm_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(turns(spark, sf_dir))
+
+
+def bars(pairs: DataFrame) -> DataFrame:
     size = lambda c: F.transform(c, F.length)
     head = lambda c: F.transform(c, lambda x: F.substring(x, 1, 1))
-    return turns(spark, sf_dir).agg(
+    return pairs.agg(
         F.count("*").alias("bars"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.count_if(size("a") == size("b")).alias("rhythm"),
         F.count_if(head("a") == head("b")).alias("pitch"),
     )
