@@ -180,7 +180,15 @@ def key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
   o AS (SELECT v.*, others, slot - row_number() OVER (PARTITION BY part, value, others ORDER BY slot) AS run FROM v JOIN a USING (slot) WHERE value <> others)
   SELECT part, value, others, min(slot) AS first, max(slot) AS last FROM o GROUP BY part, value, others, run""")
 def key_disagreement_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 7 < 3")
+    return order_disagreements(read(spark, sf_dir, "orders").where("o_orderkey % 7 < 3"))
+
+
+@query()
+def key_disagreement_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_disagreements(read(spark, sf_dir, "orders"))
+
+
+def order_disagreements(o: DataFrame) -> DataFrame:
     v = o.groupBy((F.col("o_orderkey") % 200).alias("slot"), (F.col("o_custkey") % 4).alias("part")).agg(F.min("o_orderpriority").alias("value"))
     return numbering.disagreements(v, "slot", "part", "value")
 
@@ -384,6 +392,12 @@ def pairwise_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("jaccard", F.round("jaccard", 9))
 
 
+@query()
+def pairwise_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matching.pairwise_jaccard(read(spark, sf_dir, "part"), "p_brand", "p_type")
+    return out.withColumn("jaccard", F.round("jaccard", 9))
+
+
 @query("""WITH i AS (SELECT p_brand, p_partkey, p_size * 100.0 AS lo, p_size * 100.0 + p_retailprice % 40 AS hi FROM part)
   SELECT p_brand, p_partkey, round(greatest(lo - max(hi) OVER (PARTITION BY p_brand ORDER BY lo, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS above,
     round(greatest(lead(lo) OVER (PARTITION BY p_brand ORDER BY lo, p_partkey) - hi, 0), 6) AS below FROM i""")

@@ -51,3 +51,14 @@ def test_turns_are_compared_whole(spark, conversations):
     equal = lambda f: sum([f(x) for x in a] == [f(x) for x in b] for _, a, b in following())
     want = (len(following()), equal(str), equal(len), equal(lambda x: x[0]))
     assert rows(queries.QUERIES["whole_bars_exact_rhythm_pitch"](spark, conversations)) == [want]
+
+
+def test_runs_and_overlaps_read_all_keys(spark, tmp_path):
+    # Only keys that the partial queries leave out: o_orderkey % 7 >= 3, p_partkey % 3 > 0.
+    orders = [(200 * k + slot, part, "5-LOW" if part == 3 else "1-URGENT") for slot in (4, 5, 6) for part, k in enumerate((0, 7, 14, 21))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [(1, "A", "x"), (2, "A", "y"), (4, "B", "x"), (5, "B", "z"), (7, "B", "y"), (8, "C", "w")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES["key_disagreement_runs_all"](spark, str(tmp_path))
+    assert rows(got.select("part", "value", "others", "first", "last")) == [(3, "5-LOW", "1-URGENT", 4, 6)]
+    assert rows(queries.QUERIES["pairwise_jaccard_all"](spark, str(tmp_path))) == [("A", "B", 2, 3, round(2 / 3, 9))]
