@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
 
@@ -84,32 +88,56 @@ def align_sequences(left: DataFrame, right: DataFrame, keys: list[str], order: s
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(order), b.sort_values(order)
-        x, y = a[token].tolist(), b[token].tolist()
-        n, m = len(x), len(y)
-        reach = max(band, abs(n - m) + 1)
-        cost = np.full((n + 1, m + 1), np.inf)
-        back = np.zeros((n + 1, m + 1), np.int8)
-        for i in range(n + 1):
-            middle = i * m // max(n, 1)
-            for j in range(max(0, middle - reach), min(m, middle + reach) + 1):
-                if not i and not j:
-                    cost[0, 0] = 0
-                    continue
-                best, op = np.inf, 0
-                if i and j and cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]) < best:
-                    best, op = cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]), 1
-                if i and cost[i - 1, j] + gap < best:
-                    best, op = cost[i - 1, j] + gap, 2
-                if j and cost[i, j - 1] + gap < best:
-                    best, op = cost[i, j - 1] + gap, 3
-                cost[i, j], back[i, j] = best, op
-        out, i, j = [], n, m
         at_a, at_b = a[order].tolist(), b[order].tolist()
-        while i or j:
-            op = back[i, j]
-            i, j = i - (op != 3), j - (op != 2)
-            out.append((*key, ("one", "extra", "missed")[op - 1], at_a[i] if op != 3 else None, at_b[j] if op != 2 else None))
-        made = pd.DataFrame(out[::-1], columns=[*keys, "op", "l", "r"])
+        steps = _path(a[token].tolist(), b[token].tolist(), band, gap)
+        out = [(*key, op, None if i is None else at_a[i], None if j is None else at_b[j]) for op, i, j in steps]
+        made = pd.DataFrame(out, columns=[*keys, "op", "l", "r"])
         return made.astype({"l": "Int64", "r": "Int64"})
 
     return left.select(*cols).groupBy(*keys).cogroup(right.select(*cols).groupBy(*keys)).applyInPandas(run, schema)
+
+
+def _path(x: list, y: list, band: int, gap: float) -> list[tuple[str, int | None, int | None]]:
+    """(op, place in x, place in y) of the cheapest alignment, as in align_sequences."""
+    n, m = len(x), len(y)
+    reach = max(band, abs(n - m) + 1)
+    far, before, back = float("inf"), [], []
+    for i in range(n + 1):
+        middle = i * m // max(n, 1)
+        row, ops = [far] * (m + 1), bytearray(m + 1)
+        for j in range(max(0, middle - reach), min(m, middle + reach) + 1):
+            if not i and not j:
+                row[0] = 0.0
+                continue
+            best, op = far, 0
+            if i and j and (cost := before[j - 1] + (x[i - 1] != y[j - 1])) < best:
+                best, op = cost, 1
+            if i and (cost := before[j] + gap) < best:
+                best, op = cost, 2
+            if j and (cost := row[j - 1] + gap) < best:
+                best, op = cost, 3
+            row[j], ops[j] = best, op
+        before = row
+        back.append(ops)
+    out, i, j = [], n, m
+    while i or j:
+        op = back[i][j]
+        i, j = i - (op != 3), j - (op != 2)
+        out.append((("one", "extra", "missed")[op - 1], i if op != 3 else None, j if op != 2 else None))
+    return out[::-1]
+
+
+def align_arrays(pairs: DataFrame, keys: list[str], a: str, b: str, band: int = 64, gap: float = 0.45) -> DataFrame:
+    """(keys, op, l, r): align_sequences of two token arrays of each row; l and r count from 0. A null array is empty."""
+    schema = pairs.select(*keys).schema.add("op", "string").add("l", "long").add("r", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for at in range(0, len(rows), 256):
+                out = [(*(r[k] for k in keys), *step) for r in rows[at : at + 256] for step in _path(r[a] or [], r[b] or [], band, gap)]
+                cols = zip(*out, strict=True) if out else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+
+    types = [to_arrow_type(f.dataType) for f in schema]
+    return pairs.select(*keys, a, b).mapInArrow(run, schema)

@@ -558,9 +558,11 @@ def bars(pairs: DataFrame) -> DataFrame:
 
 @query()
 def banded_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").where("turn < 2")
-    words = c.select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("i", "w")).withColumn("i", F.col("i").cast("long"))
-    return alignment.align_sequences(words.where("turn = 0"), words.where("turn = 1"), ["conv_id"], "i", "w")
+    """Each turn with the next; a conversation's only turn with nothing."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("a"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = c.withColumn("b", F.lead("a").over(w)).withColumn("next", F.lead("turn").over(w)).withColumn("last", F.lag("turn").over(w))
+    return alignment.align_arrays(pairs.where("next is not null or last is null"), ["conv_id", "turn"], "a", "b")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS a FROM embeddings), s AS (SELECT vec_id, list_transform(a, lambda x: CAST(round(x * 10) AS BIGINT)) AS a FROM e),
@@ -568,8 +570,16 @@ def banded_align(spark: SparkSession, sf_dir: str) -> DataFrame:
   d AS (SELECT vec_id, list_distinct(list_transform(range(1, 5), lambda i: b[i] - a[i])) AS k FROM p WHERE b IS NOT NULL)
   SELECT vec_id, CASE WHEN len(k) = 1 THEN k[1] END AS shift FROM d""")
 def step_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double") * 10).cast("long"))
-    e = read(spark, sf_dir, "embeddings").select("vec_id", a.alias("a"))
+    return shifts(read(spark, sf_dir, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)))
+
+
+@query()
+def step_shift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shifts(read(spark, sf_dir, "embeddings"))
+
+
+def shifts(e: DataFrame) -> DataFrame:
+    e = e.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 10).cast("long")).alias("a"))
     e = e.withColumn("b", F.lead("a").over(Window.partitionBy(F.col("vec_id") % 16).orderBy("vec_id"))).where("b is not null")
     return e.select("vec_id", evaluation.step_shift(F.col("a"), F.col("b")).alias("shift"))
 

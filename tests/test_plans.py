@@ -62,3 +62,29 @@ def test_runs_and_overlaps_read_all_keys(spark, tmp_path):
     got = queries.QUERIES["key_disagreement_runs_all"](spark, str(tmp_path))
     assert rows(got.select("part", "value", "others", "first", "last")) == [(3, "5-LOW", "1-URGENT", 4, 6)]
     assert rows(queries.QUERIES["pairwise_jaccard_all"](spark, str(tmp_path))) == [("A", "B", 2, 3, round(2 / 3, 9))]
+
+
+def test_every_turn_is_aligned_with_the_next(spark, conversations):
+    got = queries.QUERIES["banded_align"](spark, conversations).collect()
+    at = sorted(TURNS)
+    split = lambda k: TURNS[k].lower().split(" ")
+    nexts = {k: split(n) if k[0] == n[0] else [] for k, n in zip(at, [*at[1:], (None, None)], strict=True) if k[0] == n[0] or k == (3, 7)}
+    assert {(r.conv_id, r.turn) for r in got} == set(nexts)
+    for k, b in nexts.items():
+        a, own = split(k), [r for r in got if (r.conv_id, r.turn) == k]
+        assert [r.l for r in own if r.l is not None] == list(range(len(a))) and [r.r for r in own if r.r is not None] == list(range(len(b)))
+        cost = sum((a[r.l] != b[r.r]) if r.op == "one" else 0.45 for r in own)
+        row = [0.45 * j for j in range(len(b) + 1)]
+        for i, x in enumerate(a):
+            new = [0.45 * (i + 1)]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 0.45, new[j] + 0.45, row[j] + (x != y)))
+            row = new
+        assert abs(cost - row[-1]) < 1e-9
+
+
+def test_a_shift_holds_for_the_whole_vector(spark, tmp_path):
+    a = [0.1 * i for i in range(6)]
+    vectors = [(0, a), (16, [x + 0.5 for x in a]), (32, [*(x + 1 for x in a[:5]), 9.0]), (1, a)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows(queries.QUERIES["step_shift_whole"](spark, str(tmp_path))) == [(0, 5), (16, None)]
