@@ -14,8 +14,9 @@ is fixed per size band, and a document is indexed for its own band and the next:
 
 Copies are one set. Entries of up to SMALL sets are joined pair by pair, which is linear in the number of entries. An
 entry of more goes to a cell, that of its leader: the member that most such entries share. All sets of a cell are compared,
-in blocks of bounded size, by products of incidence matrices; a task returns a spanning forest of the links, never the
-pairs, so that a group of many near copies yields rows in proportion to its size, and no connection is lost.
+in blocks of bounded size, by products of incidence matrices; a task returns a spanning forest of the links and each set's
+number of links, never the pairs, so that a group of many near copies yields rows in proportion to its size, and no
+connection is lost. A pair is counted once: in the least cell that both sets are in, or where they share none, as a pair.
 """
 
 from __future__ import annotations
@@ -281,20 +282,23 @@ def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def cell_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): in each cell (cell, k) a forest that connects the sets that are similar."""
+    """key, links, other: parts of the degrees, and a forest's edges, of the similar sets of each cell.
+
+    cells: cell, k, weight (copies of the set) and held (all cells of the set); other is key itself where there's no edge.
+    """
     sizes = cells.groupBy("cell").count().where(F.col("count") > BLOCK)
     sizes = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = cells.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi")
-    dealt = dealt.select("cell", *pair, "side", F.col("k").alias("set_key")).join(sets, "set_key")
-    dealt = dealt.select("cell", "lo", "hi", "side", "set_key", "shingles").repartition("cell", "lo", "hi")
+    dealt = dealt.select("cell", *pair, "side", F.col("k").alias("set_key"), "weight", "held").join(sets, "set_key")
+    dealt = dealt.select("cell", "lo", "hi", "side", "set_key", "shingles", "weight", "held").repartition("cell", "lo", "hi")
     dealt = dealt.sortWithinPartitions("cell", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple[int, ...] | None = None
-        parts: list[tuple[int, int, np.ndarray]] = []
+        parts: list[tuple[int, int, np.ndarray, int, np.ndarray]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(parts) < 2:
@@ -305,30 +309,40 @@ def cell_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
             if now[1] != now[2]:
                 apart = side[i] != side[j]
                 i, j = i[apart], j[apart]
+            if not len(i):
+                return
             label = forest(i, j, len(keys))
-            tied = np.flatnonzero(label != np.arange(len(keys)))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(keys[tied]), "b": pa.array(keys[label[tied]])})
+            first = shared_counts([p[4][p[4] < now[0]] for p in parts])[i, j] == 0
+            i, j = i[first], j[first]
+            weight = np.array([p[3] for p in parts], np.float64)  # whole numbers below 2**53
+            degree = np.bincount(i, weight[j], len(keys)) + np.bincount(j, weight[i], len(keys))
+            use = np.flatnonzero((label != np.arange(len(keys))) | (degree > 0))
+            yield pa.RecordBatch.from_pydict(
+                {"key": pa.array(keys[use]), "links": pa.array(degree[use].astype(np.int64)), "other": pa.array(keys[label[use]])}
+            )
 
         for b in batches:
             cell, lo, hi, side, key = (b.column(c).to_pylist() for c in range(5))
             column = b.column(5)
             ends = column.offsets.to_numpy()
             values = column.values.to_numpy()
+            weight, held = b.column(6).to_pylist(), b.column(7)
+            held_ends, held_values = held.offsets.to_numpy(), held.values.to_numpy()
             for r in range(b.num_rows):
                 at = (cell[r], lo[r], hi[r])
                 if at != now:
                     yield from close()
                     now, parts = at, []
-                parts.append((side[r], key[r], values[ends[r] : ends[r + 1]]))
+                own = held_values[held_ends[r] : held_ends[r + 1]]
+                parts.append((side[r], key[r], values[ends[r] : ends[r + 1]], weight[r], own))
         yield from close()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "key long, links long, other long")
 
 
-def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i < j) of the pairs of sets that reach the similarity."""
-    size = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), size)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share; on the diagonal only values of several sets count."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     found, column = np.unique(np.concatenate(sets), return_inverse=True)
     several = np.bincount(column, minlength=len(found)) > 1
     place = np.cumsum(several) - 1
@@ -341,6 +355,13 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[row[a:b], column[a:b] - at] = 1
         shared += part @ part.T
+    return shared
+
+
+def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (i < j) of the pairs of sets that reach the similarity."""
+    size = np.array([len(s) for s in sets], np.int64)
+    shared = shared_counts(sets)
     i, j = np.nonzero(np.triu((den + num) * shared.astype(np.int64) >= num * (size[:, None] + size), 1))
     return i, j
 
@@ -348,17 +369,17 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.
 def ngram_jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: id, n_shingles, set_key, component_id, one row per row of docs. links: pairs (a, b) of
-    set keys that are similar or connected through similar sets; copies share a set key and aren't paired.
+    """(members, links). members: id, n_shingles, set_key, component_id, n_links, one row per row of docs. links: pairs
+    (a, b) of set keys that are similar or connected through similar sets; copies share a set key and aren't paired.
 
     Two texts link when den * |intersection| >= num * |union| of their n-word shingle sets. links holds enough pairs to
-    connect whatever is connected, not every link. component_id is the least id that is
-    reachable. Null and blank texts have no shingles and link with nothing; ids may be null (a component of null ids
+    connect whatever is connected, not every link. n_links counts all other rows that link with the row, copies too.
+    component_id is the least id that is reachable. Null and blank texts have no shingles and link with nothing; ids may be null (a component of null ids
     only has a null component_id); repeated rows are copies; other columns are ignored. Words are split at
     [\\x20\\x09-\\x0D]+ after A-Z are lower-cased.
     """
     index = materialize(indexed(docs, id_col, text, n, num, den), "ngram-index")
-    classes_of = index.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
+    classes_of = index.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     rows = index.select(
         F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), (F.array_min("places") >= 0).alias("single"),
         F.explode(F.arrays_zip("sigs", "places")).alias("e"),
@@ -380,21 +401,34 @@ def ngram_jaccard_groups(
     leader = ranked.groupBy("sig").agg(F.max(F.struct("degree", "k")).alias("l"))
     cells = large.join(leader, "sig").select(F.col("l.k").alias("cell"), "k").distinct()
     cells = materialize(cells, "ngram-cells")
+    held = cells.groupBy("k").agg(F.collect_list("cell").alias("held"))
+    weights = classes_of.select("set_key", "weight")
 
     keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(cells.select(F.col("k").alias("set_key")))
     sets = materialize(_sets_of(docs, index, keys.distinct(), id_col, text, n), "ngram-sets")
-    linked = materialize(verified(pairs, sets, num, den).unionByName(cell_links(cells, sets, num, den)), "ngram-links")
+    direct = materialize(verified(pairs, sets, num, den), "ngram-direct")
+    known = cells.join(held.join(weights, F.col("k") == F.col("set_key")).drop("set_key"), "k")
+    met = materialize(cell_links(known, sets, num, den), "ngram-met")
+    linked = direct.unionByName(met.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    of = lambda c: held.select(F.col("k").alias(c), F.col("held").alias(f"held_{c}"))
+    apart = direct.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where(~F.coalesce(F.arrays_overlap("held_a", "held_b"), F.lit(False)))
+    ends = apart.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("set_key")), F.struct(F.col("b").alias("key"), F.col("a").alias("set_key")))).alias("e"))
+    counted = ends.select("e.*").join(weights, "set_key").select("key", F.col("weight").alias("links")).unionByName(met.select("key", "links"))
+    degrees = counted.groupBy(F.col("key").alias("set_key")).agg(F.sum("links").alias("links"))
 
     merged = connected_components(linked)
     reach = classes_of.join(merged, classes_of.set_key == merged.node, "left").select(
-        "set_key", "rep", F.coalesce("component", "set_key").alias("c")
+        "set_key", "rep", "weight", F.coalesce("component", "set_key").alias("c")
     )
     least = reach.groupBy("c").agg(F.min("rep").alias("component_id"))
-    of_set = reach.join(least, "c").select("set_key", "component_id")
+    of_set = reach.join(least, "c").join(degrees, "set_key", "left")
+    of_set = of_set.select("set_key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     members = index.select("id", "n_shingles", "set_key").alias("m").join(of_set.alias("o"), "set_key", "left")
     members = members.select(
         "id", "n_shingles", "set_key",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     return members, linked
 

@@ -25,6 +25,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_join.ngram_jaccard_groups(table(spark, sf_dir, "documents"))
+    return members.select(F.col("id").alias("doc_id"), "n_links", "component_id")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(
@@ -109,6 +114,7 @@ KEEP_SCORE = 0.3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
