@@ -10,7 +10,10 @@ GAP, LEAST = 600, 60
 
 
 def stretches(events: DataFrame, keys: list[str], t: str = "t", t_end: str = "t_end", order: str = "event_id", gap: float = GAP) -> DataFrame:
-    """events with `stretch`, numbered from 1 per key: a new one begins when t is more than gap after all that came before."""
+    """events with `stretch`, numbered from 1 per key: a new one begins when t is more than gap after all that came before.
+
+    A log that also holds a server's events is filtered to the person's first.
+    """
     w = Window.partitionBy(*keys).orderBy(t, order)
     before = F.max(t_end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = (before.isNull() | (F.col(t) - before > gap)).cast("long")
@@ -24,8 +27,8 @@ def segments(
     """Pieces of time (keys, stretch, place, start, end, seconds) that never overlap within a key.
 
     An event's time runs to the next event of its stretch unless its kind is in away, from where the time before ends. A
-    stretch shorter than least seconds is filled up to that at its end, for the place of its last event. t_end must not be
-    before t.
+    stretch in which less than least seconds were spent is filled up to that, for the place of its last event, from where
+    its last piece ends or, without one, from its last event. t_end must not be before t.
     """
     run = Window.partitionBy(*keys, "stretch").orderBy(t, order)
     named = stretches(events, keys, t, t_end, order, gap).withColumn("__next", F.lead(t).over(run))
@@ -35,12 +38,12 @@ def segments(
     counted = F.max("__end").over(run.rowsBetween(Window.unboundedPreceding, -1))
     named = named.withColumn("__start", F.greatest(F.col(t), F.coalesce(counted, F.col(t))))
     base = named.select(*keys, "stretch", F.col(place).alias("place"), F.col("__start").alias("start"), F.col("__end").alias("end"))
+    piece = F.col("__end") > F.col("__start")
     whole = named.groupBy(*keys, "stretch").agg(
-        F.min(t).alias("first"), F.max("__end").alias("last"), F.max_by(place, F.struct(t, order)).alias("place")
-    )
-    short = whole.where(F.col("last") - F.col("first") < least).select(
-        *keys, "stretch", "place", F.col("last").alias("start"), (F.col("first") + least).alias("end")
-    )
+        F.coalesce(F.sum(F.when(piece, F.col("__end") - F.col("__start"))), F.lit(0)).alias("spent"),
+        F.coalesce(F.max(F.when(piece, F.col("__end"))), F.max(t)).alias("start"), F.max_by(place, F.struct(t, order)).alias("place"),
+    )
+    short = whole.where(F.col("spent") < least).select(*keys, "stretch", "place", "start", (F.col("start") + least - F.col("spent")).alias("end"))
     out = base.where(F.col("end") > F.col("start")).unionByName(short)
     return out.withColumn("seconds", F.col("end") - F.col("start"))
 

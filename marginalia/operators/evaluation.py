@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +73,23 @@ def fewest_errors(swept: DataFrame) -> DataFrame:
     return swept.agg(F.min(F.struct("errors", "threshold")).alias("b")).select("b.threshold", "b.errors")
 
 
-def order_statistic_cut(rows: DataFrame, score: str, row_id: str, positive: str, lose: float) -> DataFrame:
+def order_statistic_cut(rows: DataFrame, score: str, positive: str, lose: float) -> DataFrame:
     """(cut, kept, caught): the largest cut on score that loses at most a share of the positives, and the negatives below it.
 
-    Positives are ranked within cells of a fixed number of score quantiles' counts: only one is looked up.
+    Positives are counted once per score. The counts are dealt into ranges of scores, one a task; the sums of the ranges
+    say in which of them the cut lies, and only that one's scores are ranked.
     """
-    pos = rows.where(F.col(positive)).select(score, row_id)
-    n = pos.agg(F.count("*").alias("n"))
-    ranked = pos.withColumn("r", F.row_number().over(Window.orderBy(score, row_id)))
-    cut = ranked.crossJoin(F.broadcast(n)).where(F.expr(f"r = floor(n * {lose}) + 1")).select(F.col(score).alias("cut"))
+    counts = rows.where(F.col(positive) & F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
+    parts = counts.repartitionByRange(score).groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n").alias("m"), F.min(score).alias("low"))
+    w = Window.orderBy("low")  # a row a task
+    past = F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.select("low", F.lead("low").over(w).alias("next"), past.alias("past"), "m", (F.floor(every * lose) + 1).alias("place"))
+    part = parts.where((F.col("past") < F.col("place")) & (F.col("place") <= F.col("past") + F.col("m")))
+    near = counts.crossJoin(F.broadcast(part))  # one row
+    near = near.where((F.col(score) >= F.col("low")) & (F.col("next").isNull() | (F.col(score) < F.col("next"))))
+    upto = F.col("past") + F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
+    cut = near.withColumn("upto", upto).where("upto >= place").agg(F.min(score).alias("cut")).where("cut is not null")
     return rows.crossJoin(F.broadcast(cut)).groupBy("cut").agg(
         F.count_if(F.col(positive) & (F.col(score) >= F.col("cut"))).alias("kept"),
         F.count_if(~F.col(positive) & (F.col(score) < F.col("cut"))).alias("caught"),
@@ -138,10 +148,23 @@ def step_shift(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(diff) == 1), F.element_at(diff, 1))
 
 
-def bootstrap_interval(rows: DataFrame, value: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """(low, high): the 95 % percentile interval of the mean over Poisson resamples, all draws in one pass."""
-    each = rows.select(value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.rand(seed)
-    times = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).otherwise(4)
-    means = each.withColumn("k", times).groupBy("draw").agg((F.sum(F.col(value) * F.col("k")) / F.sum("k")).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+def bootstrap_interval(rows: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 1) -> DataFrame:
+    """(mean, low, high): the mean of b - a over rows where both are there, and its 95 % percentile interval over resamples.
+
+    Paired: a draw takes each row 0, 1, 2 ... times for both columns. The times are Poisson with mean 1, read off a hash of
+    row and draw, so that draws need no shuffle of rows and repeat on recomputation: partial sums of all draws leave a task.
+    Equal rows are drawn apart by their number within a partition.
+    """
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(b) - F.col(a)).cast("double").alias("d"), F.col(a).alias("a"))
+    each = both.withColumn("row", F.monotonically_increasing_id()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = (F.xxhash64(F.lit(seed), "row", "draw").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
+    # Times k where the cumulative Poisson(1) probability first exceeds u; beyond 12 it's under 1e-10.
+    cumulative, term = [], math.exp(-1)
+    for k in range(13):
+        cumulative.append((cumulative[-1] if cumulative else 0.0) + term)
+        term /= k + 1
+    times = F.size(F.filter(F.array(*map(F.lit, cumulative)), lambda c: c <= F.col("u")))
+    drawn = each.select("d", "draw", u).select("d", "draw", times.alias("k"))
+    means = drawn.groupBy("draw").agg((F.sum(F.col("d") * F.col("k")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
+    whole = both.agg(F.avg("d").alias("mean"))
+    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).crossJoin(F.broadcast(whole)).select("mean", "low", "high")

