@@ -241,7 +241,7 @@ def vocabulary(spark: SparkSession, path: str, pattern: str):  # noqa: ANN201
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with a column `out`: array<int> of token ids, no special tokens; its name must be free.
+    """docs with a column `out`: array<int> of token ids, no special tokens; a column of that name is replaced.
 
     Each match of pattern is merged separately, by the ranks in the tiktoken file at path, a path on the driver. Null
     texts are empty and give no ids; white space, controls and characters of any script are covered by their bytes; texts
@@ -249,6 +249,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
     stay as they are.
     """
     shared = vocabulary(docs.sparkSession, path, pattern)
+    docs = docs.drop(out)
     at = docs.columns.index(text)
     schema = docs.select("*", F.array().cast("array<int>").alias(out)).schema
 
@@ -265,8 +266,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
 
 
 def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """docs with a column `out`: the bytes that the ids stand for; null ids give none. Unknown ids fail."""
+    """docs with a column `out`: the bytes that the ids stand for; null ids give none. Unknown ids fail. A column named out
+    is replaced."""
     shared = vocabulary(docs.sparkSession, path, pattern)
+    docs = docs.drop(out)
     at = docs.columns.index(ids)
     schema = docs.select("*", F.lit(b"").alias(out)).schema
 

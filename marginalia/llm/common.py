@@ -1,50 +1,19 @@
-"""Helpers shared by the training-data operators: the shared scratch folder, written tables and chunked text batches."""
+"""Helpers shared by the training-data operators: written tables, hot keys, row identity and chunked text batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage as materialize
+
 #: Bytes A-Z to a-z, all others unchanged.
 LOWER_ASCII = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_written() -> None:
-    """Delete the tables that materialize() wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch space
-            return
+#: Keys that each hold over one in so many rows are hot; so there are fewer of them than that.
+HOT = 1000
 
 
 def crc_bucket(id_col: Column, modulus: int) -> Column:
@@ -68,12 +37,38 @@ def byte_chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, l
         yield start, raw.slice(start).to_pylist()
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = 200_000) -> DataFrame:
-    """docs without the rows whose id is in the one column of ids; rows with a null id stay.
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that, with the id, tells rows apart whose id is null or repeated; the decisions on them follow the text."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 200_000) -> DataFrame:
+    """docs without the rows that have the id and the text_key of a row of gone (columns id and text_key); null ids are equal.
+
+    Up to `most` rows (some MB, counted first) are broadcast, so that the texts need no shuffle; more are joined by one. Any
+    other columns docs may have stay, whatever their names.
+    """
+    gone = materialize(gone.select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    same = docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (text_key(docs[text]) == gone["gone_key"])
+    return docs.join(side, same, "left_anti")
+
+
+def with_unique(left: DataFrame, right: DataFrame, key: str, size: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which is unique by key and whose column `rows` tells how many of left's `size` rows have it.
 
-    Up to `most` ids (some MB, counted first) are broadcast, so that the texts need no shuffle; more are joined by one.
+    Keys of over size / HOT rows, fewer than HOT of them, are broadcast; a shuffle deals the others only, so no task gets a
+    hot key's rows. how: inner or left. `rows` isn't returned.
     """
-    gone = materialize(ids.toDF("__gone").where("__gone is not null").distinct(), "ids")
-    if gone.count() <= most:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    hot = right.where(F.col("rows") > size / HOT).drop("rows")
+    cold = right.where(F.col("rows") <= size / HOT).drop("rows")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

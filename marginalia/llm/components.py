@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_unique
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -23,14 +23,13 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Edges are (u, v) with u > v. Each node's neighbours link to the least node it sees."""
+def _star(edges: DataFrame, large: bool, size: int) -> DataFrame:
+    """One step. Edges are (u, v) with u > v, `size` of them. Each node's neighbours link to the least node it sees."""
+    both, n = edges, size
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+        both, n = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * size
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", F.least("u", "m").alias("m"), "rows")
+    linked = with_unique(both, least, "u", n)
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -44,8 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): the least node reachable from each node that has an edge to another node.
 
     Edges may repeat, point either way, loop or hold nulls (loops and nulls are left out); without edges the result is
-    empty. A node's neighbours are never gathered: the minimum is a partial aggregate and the join back can be split
-    where a key is hot. Each round is written to the shared folder; rounds end when the edge set no longer changes,
+    empty. A node's neighbours are never gathered: the minimum is a partial aggregate, and where a node has many edges it
+    is broadcast to them. Each round is written to the shared folder; rounds end when the edge set no longer changes,
     compared by its count and an order-free hash.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
@@ -53,10 +52,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     now, seen = materialize(now.distinct(), "edges"), None
     while True:
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        half = materialize(_star(now, True, now.count()), "edges")
+        now = materialize(_star(half, False, half.count()), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if state == seen:
             break
         seen = state
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()
+
+
+def labelled(nodes: DataFrame, edges: DataFrame, key: str, rep: str) -> DataFrame:
+    """nodes (unique by key) with `c`, the key of the least key reachable by edges (a, b), and `least`, the least rep there."""
+    merged = connected_components(edges)
+    size = nodes.count()
+    known = materialize(nodes.join(merged, nodes[key] == merged["node"], "left").drop("node").withColumn("c", F.coalesce("component", key)).drop("component"), "labelled")
+    of = known.groupBy("c").agg(F.min(rep).alias("least"), F.count("*").alias("rows"))
+    alone = known.where(F.col("c") == F.col(key))
+    return with_unique(known, of, "c", size) if not alone.count() == size else known.withColumn("least", F.col(rep))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, materialize
+from .common import byte_chunks, materialize, text_key
 
 WINDOW = 13
 #: Bytes of distinct windows that one automaton may hold; it takes some ten times that in memory.
@@ -82,7 +82,7 @@ def scanned(docs: DataFrame, id_col: str, text: str, wins: list[bytes], items: l
     """Per row: id, n_words, hit words as numbers, item ids."""
     key = hashlib.sha256(b"\n".join(wins)).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast((key, wins, items))
-    schema = "id long, h long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, words array<int>, items array<string>"
+    schema = "id long, text_key long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, words array<int>, items array<string>"
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +118,10 @@ def scanned(docs: DataFrame, id_col: str, text: str, wins: list[bytes], items: l
                         pa.array(spans, pa.list_(kind)), pa.array(at_words, pa.list_(pa.int32())),
                         pa.array(found, pa.list_(pa.string())),
                     ],
-                    names=["id", "h", "n_words", "n_hit", "spans", "words", "items"],
+                    names=["id", "text_key", "n_words", "n_hit", "spans", "words", "items"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), text, text_key(F.col(text))).mapInArrow(run, schema)
 
 
 def _joined(spans: Column) -> Column:
@@ -140,7 +140,7 @@ def _joined(spans: Column) -> Column:
 def _merged(found: DataFrame, parts: int) -> DataFrame:
     """The parts' rows of each document as one; a document's rows of one part are equal."""
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    one = found.groupBy("id", "h", "n_words").agg(
+    one = found.groupBy("id", "text_key", "n_words").agg(
         F.size(united("words")).cast("long").alias("n_hit"), _joined(united("spans")).alias("spans"),
         united("items").alias("items"), (F.count("*") / parts).cast("int").alias("copies"),
     )
@@ -151,7 +151,7 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
     item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, share: int = 20,
 ) -> DataFrame:
-    """id, n_words, n_hit, spans, items, contaminated, one row per row of docs.
+    """id, text_key, n_words, n_hit, spans, items, contaminated, one row per row of docs.
 
     A word inside any occurrence of a window is hit; contaminated if share * n_hit >= n_words and n_hit > 0. spans are the
     runs of hit words as code-point ranges of the original text; items the ids, as strings, of the items whose windows
@@ -172,4 +172,4 @@ def contaminated(
     if parts > 1:  # the parts' hits of a document overlap; equal rows come back as often as they stood
         found = _merged(found, parts)
     verdict = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return found.select("id", "n_words", "n_hit", "spans", "items", verdict.alias("contaminated"))
+    return found.select("id", "text_key", "n_words", "n_hit", "spans", "items", verdict.alias("contaminated"))

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .components import connected_components, forest
+from .common import materialize, with_unique
+from .components import forest, labelled
 
 TABLES, AXES, PROBES, RUNNERS_UP = 8, 2, 4, 3
 BLOCK = 1024
@@ -247,12 +247,11 @@ def near_duplicates(
     dealt = hashed(distinct, kind, tables, axes, probes)
     met = materialize(meetings(dealt, kind, least, (tables, axes, probes)), "meetings")
     links = met.groupBy("key").agg(F.sum("links").alias("links"))
-    merged = connected_components(met.select(F.col("key").alias("a"), F.col("other").alias("b")))
-    reach = distinct.select("key", "rep", "weight").join(merged, F.col("key") == merged.node, "left")
-    reach = reach.select("key", "rep", "weight", F.coalesce("component", "key").alias("c"))
-    reach = reach.join(reach.groupBy("c").agg(F.min("rep").alias("component_id")), "c").join(links, "key", "left")
-    of_key = reach.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.select("id", "key").join(of_key, "key", "left")
+    reach = labelled(distinct.select("key", "rep", "weight"), met.select(F.col("key").alias("a"), F.col("other").alias("b")), "key", "rep")
+    of_key = reach.join(links, "key", "left").select(
+        "key", F.col("least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("rows")
+    )
+    out = with_unique(rows.select("id", "key"), materialize(of_key, "classes"), "key", rows.count(), "left")
     return out.select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -13,9 +13,10 @@ different words before w, K their sum, and D and D' depend on whether the count
 
 from __future__ import annotations
 
+import mmap
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +27,16 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, byte_chunks, materialize, shared_dir
+from ..session import remove_at_exit, shared_dir
+from .common import LOWER_ASCII, byte_chunks, materialize
 from .ngram_join import MULT, mix
 
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Bytes of text for each pair shard; tokens that a task counts at once; word shards at most.
 SHARD_BYTES, AT_ONCE, WORD_SHARDS = 16 << 20, 2_000_000, 256
+#: Shards of a kind that a worker keeps open; queries come sorted, so a batch opens each shard once.
+OPEN = 4096
 
 
 @dataclass(frozen=True)
@@ -120,9 +124,17 @@ def unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(words, runs), words[b], counts
 
 
+def _shared(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a shared folder and the folder's path in it."""
+    for scheme in ("s3a://", "s3n://"):  # the names that Spark's readers give S3
+        if folder.startswith(scheme):
+            folder = "s3://" + folder.removeprefix(scheme)
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or ":/" in folder else "file://" + folder)
+
+
 def _open_out(folder: str, name: str, parts: list[np.ndarray]) -> None:
     """Write arrays one after the other to a file of the shared folder, whole or not at all."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, root = _shared(folder)
     fs.create_dir(root, recursive=True)
     temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(temporary) as out:
@@ -132,17 +144,20 @@ def _open_out(folder: str, name: str, parts: list[np.ndarray]) -> None:
 
 
 def _mapped(folder: str, name: str) -> np.ndarray:
-    """The bytes of a file of the shared folder, memory-mapped; fetched first where the folder is no file system path."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    """The bytes of a file of the shared folder, memory-mapped; where the folder is no file system path they are fetched
+    into an anonymous map, no local file."""
+    fs, root = _shared(folder)
     path = f"{root}/{name}"
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    with tempfile.NamedTemporaryFile() as local:
-        with fs.open_input_stream(path) as found:
-            while block := found.read(8 << 20):
-                local.write(block)
-        local.flush()
-        return np.memmap(local.name, np.uint8, "r") if os.path.getsize(local.name) else np.zeros(0, np.uint8)
+    with fs.open_input_file(path) as found:
+        size = found.size()
+        if not size:
+            return np.zeros(0, np.uint8)
+        held = mmap.mmap(-1, size)
+        while block := found.read(8 << 20):
+            held.write(block)
+    return np.frombuffer(held, np.uint8)
 
 
 def pair_rows(docs: DataFrame, text: str, bits: int) -> DataFrame:
@@ -273,8 +288,7 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
     bits = max(4, (size // SHARD_BYTES).bit_length())
     word_bits = min(bits, WORD_SHARDS.bit_length() - 1)
     folder = f"{shared_dir(docs.sparkSession)}/kneser-ney-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = "file://" + folder
+    remove_at_exit(docs.sparkSession, folder)
     sent = materialize(pair_shards(pair_rows(docs, text, bits), folder, bits, word_bits), "word-tallies")
     # One row for each shard, a few numbers each.
     seen = [np.frombuffer(r[0], "<i8") for r in sent.where("shard = -1").select("words").collect()]
@@ -288,14 +302,25 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
 
 
 class Arrays:
-    """The mapped arrays of a model, opened shard by shard."""
+    """The mapped arrays of a model, opened shard by shard; the shards used last stay open, OPEN of each kind at most."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.pairs, self.words = model, {}, {}
-        self.names = set()
-        fs, root = pyarrow.fs.FileSystem.from_uri(model.folder)
-        for info in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
-            self.names.add(info.base_name)
+        self.model = model
+        self.pairs: OrderedDict[int, tuple | None] = OrderedDict()
+        self.words: OrderedDict[int, tuple | None] = OrderedDict()
+        fs, root = _shared(model.folder)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
+        self.names = {info.base_name for info in found}
+
+    def _kept(self, held: OrderedDict, s: int, name: str, parsed) -> tuple | None:  # noqa: ANN001
+        """A shard's arrays; a map is closed when nothing refers to it any more."""
+        if s in held:
+            held.move_to_end(s)
+        else:
+            held[s] = parsed(_mapped(self.model.folder, name)) if name in self.names else None
+            if len(held) > OPEN:
+                held.popitem(last=False)
+        return held[s]
 
     def _looked_up(self, keys: np.ndarray, bits: int, get) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:  # noqa: ANN001
         """For sorted keys, by shard: the keys' range, places in the shard's arrays, and the arrays."""
@@ -308,24 +333,20 @@ class Arrays:
                 yield a + hit, at[hit], arrays
 
     def pair_shard(self, s: int) -> tuple | None:
-        if s not in self.pairs:
-            self.pairs[s] = None
-            if f"pairs-{s}" in self.names:
-                raw = _mapped(self.model.folder, f"pairs-{s}")
-                n, big = raw[:16].view(np.uint64).tolist()
-                key, at = raw[16 : 16 + 8 * n].view(np.uint64), 16 + 8 * n
-                self.pairs[s] = (key, raw[at + 16 * big :], raw[at : at + 8 * big].view(np.uint64), raw[at + 8 * big : at + 16 * big].view(np.uint64))
-        return self.pairs[s]
+        def parsed(raw: np.ndarray) -> tuple:
+            n, big = raw[:16].view(np.uint64).tolist()
+            at = 16 + 8 * n
+            return raw[16:at].view(np.uint64), raw[at + 16 * big :], raw[at : at + 8 * big].view(np.uint64), raw[at + 8 * big : at + 16 * big].view(np.uint64)
+
+        return self._kept(self.pairs, s, f"pairs-{s}", parsed)
 
     def word_shard(self, s: int) -> tuple | None:
-        if s not in self.words:
-            self.words[s] = None
-            if f"words-{s}" in self.names:
-                raw = _mapped(self.model.folder, f"words-{s}")
-                n = int(raw[:8].view(np.uint64)[0])
-                cols = [raw[8 + 8 * n * i : 8 + 8 * n * (i + 1)] for i in range(4)]
-                self.words[s] = (*(c.view(np.uint64) for c in cols[:3]), cols[3].view(np.float64))
-        return self.words[s]
+        def parsed(raw: np.ndarray) -> tuple:
+            n = int(raw[:8].view(np.uint64)[0])
+            cols = [raw[8 + 8 * n * i : 8 + 8 * n * (i + 1)] for i in range(4)]
+            return (*(c.view(np.uint64) for c in cols[:3]), cols[3].view(np.float64))
+
+        return self._kept(self.words, s, f"words-{s}", parsed)
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)

@@ -1,6 +1,6 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed against it: from
+For each language, and every labelled language, a suffix automaton is built over a bounded sample of labelled text. A text is parsed against it: from
 each point the longest match in the sample is one phrase, the next phrase starts where it ends. The number of phrases a
 byte, times the logarithm of the sample's length, estimates the cross entropy; the language that needs the fewest
 normalised phrases wins. Texts are folded to lower case and runs of other bytes to one separator, and parsed whole, many
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks
 
-#: Labelled rows taken for each language, and bytes of folded text kept of all of them together.
-SAMPLE_ROWS, SAMPLE_BYTES = 60, 8_192
-#: Languages with the most labelled rows that are learnt.
-LANGUAGES = 64
+#: Labelled rows taken for each language; characters taken of each of these rows' texts, at a hashed place; and characters
+#: of all languages together, which bound a worker's tables (some 400 bytes a character): beyond so many languages the rows
+#: give less each.
+SAMPLE_ROWS, SLICE, SAMPLE_TOTAL = 120, 128, 400_000
+#: More values than this in the language column are no languages.
+MOST_LANGUAGES = 10_000
 #: Below so many texts they are stepped through one by one.
 FEW = 64
 #: A-Z to a-z, bytes from 0x80 kept, all others to a space.
@@ -159,39 +161,41 @@ def parser(samples: list[tuple[str, bytes]]) -> Parser:
 
 
 def learned_samples(labelled: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[str, bytes]]:
-    """(language, folded sample) by language. Rows are taken by a hash of the id: at most SAMPLE_ROWS of each of at most
-    LANGUAGES languages reach the driver, cut together to SAMPLE_BYTES a language."""
-    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    top = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("h"))
-    # Few rows of each partition are kept before the shuffle: the rank is bounded.
-    by = Window.partitionBy("lang").orderBy("h")
-    rows = rows.select("lang", "h", F.substring("t", 1, 4 * SAMPLE_BYTES).alias("t"))
+    """(language, folded sample) of every labelled language, by name.
+
+    SAMPLE_ROWS rows of each language are taken by a hash of id and text, and of each the whole text, or of a longer one a
+    slice at a hashed place: SLICE characters, or so many that all slices of all languages are SAMPLE_TOTAL at most. That
+    much reaches the driver, whatever the input. Over MOST_LANGUAGES values of lang raise ValueError.
+    """
+    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    names = rows.select("lang").distinct()
+    count = names.limit(MOST_LANGUAGES + 1).count()
+    if count > MOST_LANGUAGES:
+        raise ValueError(f"{lang} holds more than {MOST_LANGUAGES} values")
+    size = max(16, min(SLICE, SAMPLE_TOTAL // max(1, SAMPLE_ROWS * count)))
+    # Before the shuffle the rows of a partition are cut to SAMPLE_ROWS a language, and their texts to slices.
+    start = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - size + 1, F.lit(1)).cast("long"))
+    rows = rows.select("lang", "h", F.substring("t", start.cast("int"), F.lit(size)).alias("t"))
+    by = Window.partitionBy("lang").orderBy("h", "t")
     taken = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS)
-    names = {r[0] for r in top.collect()}
     whole: dict[str, list[tuple[int, bytes]]] = {}
-    for r in taken.collect():
-        if r["lang"] in names:
-            whole.setdefault(r["lang"], []).append((r["h"], folded(r["t"].encode())))
-    each = {}
-    for name, texts in whole.items():
-        share = max(256, SAMPLE_BYTES // len(texts))
-        joined = b" ".join(t[:share] for _, t in sorted(texts))
-        rest = b" ".join(t[share:] for _, t in sorted(texts))
-        each[name] = (joined + b" " + rest)[:SAMPLE_BYTES].strip()
-    return [(name, s) for name, s in sorted(each.items()) if s]
+    for r in taken.collect():  # SAMPLE_ROWS slices a language
+        whole.setdefault(r["lang"], []).append((r["r"], folded(r["t"].encode())))
+    each = {name: b" ".join(t for _, t in sorted(texts)).strip() for name, texts in whole.items()}
+    return [(name, s or b" ") for name, s in sorted(each.items())]
 
 
 def identified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(id, lang, score), one row per row of docs, judged by the text alone.
 
-    labelled: rows to learn from; null languages and null or empty texts teach nothing. lang is the learned language that
+    labelled: rows to learn from, of which a bounded sample is (learned_samples); null languages and null or empty texts
+    teach nothing. lang is the learned language that
     needs the fewest normalised phrases (ties: the first by name), `und` if the text is null or has no letter or nothing
     was learnt. score is (w2 - w1) / w2 for the normalised phrases of the best and the next language, 0 for `und`, 1 if
     only one language is known. Whole texts are parsed; repeated rows are judged alike; other columns are ignored.
     """
     samples = learned_samples(labelled, id_col, text, lang)
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most LANGUAGES * SAMPLE_BYTES bytes
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_TOTAL characters, or 16 for each row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(shared.value) if shared.value else None

@@ -16,7 +16,8 @@ Copies are one set. Entries of up to SMALL sets are joined pair by pair, which i
 entry of more goes to a cell, that of its leader: the member that most such entries share. All sets of a cell are compared,
 in blocks of bounded size, by products of incidence matrices; a task returns a spanning forest of the links and each set's
 number of links, never the pairs, so that a group of many near copies yields rows in proportion to its size, and no
-connection is lost. A pair is counted once: in the least cell that both sets are in, or where they share none, as a pair.
+connection is lost. Sets of a large cell meet only those whose size is near theirs. A pair is counted once: in the least
+cell that both sets are in, or where they share none, as a pair.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, byte_chunks, materialize
-from .components import connected_components, forest
+from .common import LOWER_ASCII, byte_chunks, materialize, text_key, with_unique
+from .components import forest, labelled
 
 TABLE_BITS = 20
 #: Entries of so many sets at most are joined pair by pair; sets in a block of a cell; columns of an incidence matrix.
@@ -168,8 +169,8 @@ def entries(s: np.ndarray, levels: np.ndarray, frequent: int, num: int, den: int
     rare = int((level < frequent).sum())
     singles = s[order[: min(rare, need)]]
     if rare >= need:
-        return singles, np.arange(len(singles), dtype=np.int32)
-    sigs, places = [singles], [np.arange(len(singles), dtype=np.int32)]
+        return singles, np.arange(len(singles), dtype=np.int64)
+    sigs, places = [singles], [np.arange(len(singles), dtype=np.int64)]
     hot = s[order[rare:]]
     for b in (band(n, num / den), band(n, num / den) + 1):
         m = classes(b, num, den)
@@ -185,7 +186,7 @@ def entries(s: np.ndarray, levels: np.ndarray, frequent: int, num: int, den: int
             i, j = np.triu_indices(len(group), 1)
             x, y = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
             sigs.append(mix(mix(x * MULT + y) + np.uint64(b + 1)))
-            places.append(np.full(len(i), -((n - rare - end) * 128 + b + 1), np.int32))
+            places.append(np.full(len(i), -((n - rare - end) * 128 + b + 1), np.int64))
     return np.concatenate(sigs), np.concatenate(places)
 
 
@@ -193,7 +194,7 @@ def indexed(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int)
     """Per document: id, n_shingles, set_key, and its index entries."""
     levels, frequent = frequency_levels(docs, text, n)
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2**TABLE_BITS bytes, whatever the input
-    schema = "id long, n_shingles int, set_key long, sigs array<long>, places array<int>"
+    schema = "id long, n_shingles int, set_key long, text_key long, sigs array<long>, places array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # keys of this task's sets: only the first of its copies is indexed
@@ -212,13 +213,14 @@ def indexed(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int)
                         b.column(0).slice(start, len(texts)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(keys, pa.int64()),
+                        b.column(2).slice(start, len(texts)),
                         pa.ListArray.from_arrays(offsets, pa.array(sigs.view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int64))),
                     ],
-                    names=["id", "n_shingles", "set_key", "sigs", "places"],
+                    names=["id", "n_shingles", "set_key", "text_key", "sigs", "places"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text), text_key(F.col(text))).mapInArrow(run, schema)
 
 
 def whole_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -269,7 +271,7 @@ def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
         F.first(F.col("x.single") & F.col("y.single")).alias("single"), F.count("*").alias("shared"),
         F.first(F.col("x.larger") & F.col("y.larger")).alias("larger"),
     )
-    m = F.element_at(F.array(*[F.lit(classes(b, num, den)) for b in range(LAST_BAND)]), F.greatest("by", F.lit(1)))
+    m = F.element_at(F.array(*[F.lit(classes(b, num, den)) for b in range(LAST_BAND)]), F.greatest("by", F.lit(1)).cast("int"))
     of_pairs = m * (1 + F.sqrt(1 + 8 * F.col("shared") / m)) / 2 + F.col("left") + 1e-6
     both = met.groupBy("a", "b").agg(
         F.first("n").alias("n"), F.first("rest").alias("rest"), F.first("single").alias("single"),
@@ -281,18 +283,37 @@ def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(F.col("larger") | F.when(F.col("single"), by_singles).otherwise(by_pairs)).select("a", "b")
 
 
+def dealt_blocks(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """cells with lo, hi and side: a row for each pair of blocks that a set is compared in; side is its own block.
+
+    A cell of up to BLOCK sets is one block. The sets of a larger one are dealt into bands of size, a factor den / num wide,
+    and each band into blocks by a hash: partners are at most one band apart, so other pairs of bands never meet.
+    """
+    band_of = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("long")
+    banded = cells.withColumn("band", band_of)
+    sizes = banded.groupBy("cell", "band").agg(F.count("*").alias("m"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))))  # LAST_BAND at most
+    of_cell = sizes.groupBy("cell").agg(F.sum("m").alias("rows"), blocks.alias("blocks"))
+    large = of_cell.where(F.col("rows") > BLOCK)
+    known = with_unique(banded, large, "cell", cells.count(), "left")
+    in_band = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
+    code = lambda b, k: b * (1 << 32) + k
+    own = F.pmod(F.xxhash64("k"), in_band(F.col("band")).cast("long"))
+    known = known.withColumn("side", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(code(F.col("band"), own)))
+    others = lambda b: F.transform(F.filter(F.sequence(F.lit(0), in_band(b)), lambda k: k < in_band(b)), lambda k: code(b, k.cast("long")))
+    every = F.concat(others(F.col("band") - 1), others(F.col("band")), others(F.col("band") + 1))
+    known = known.withColumn("with", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(every)))
+    return known.withColumn("lo", F.least("side", "with")).withColumn("hi", F.greatest("side", "with")).drop("with", "band", "blocks")
+
+
 def cell_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """key, links, other: parts of the degrees, and a forest's edges, of the similar sets of each cell.
 
-    cells: cell, k, weight (copies of the set) and held (all cells of the set); other is key itself where there's no edge.
+    cells: cell, k, n (size of the set), weight (copies of the set) and held (all cells of the set); other is key itself
+    where there's no edge.
     """
-    sizes = cells.groupBy("cell").count().where(F.col("count") > BLOCK)
-    sizes = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = cells.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi")
-    dealt = dealt.select("cell", *pair, "side", F.col("k").alias("set_key"), "weight", "held").join(sets, "set_key")
+    dealt = dealt_blocks(cells, num, den)
+    dealt = dealt.select("cell", "lo", "hi", "side", F.col("k").alias("set_key"), "weight", "held").join(sets, "set_key")
     dealt = dealt.select("cell", "lo", "hi", "side", "set_key", "shingles", "weight", "held").repartition("cell", "lo", "hi")
     dealt = dealt.sortWithinPartitions("cell", "lo", "hi")
 
@@ -369,14 +390,15 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.
 def ngram_jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: id, n_shingles, set_key, component_id, n_links, one row per row of docs. links: pairs
-    (a, b) of set keys that are similar or connected through similar sets; copies share a set key and aren't paired.
+    """(members, links). members: id, n_shingles, set_key, text_key, component_key, component_id, n_links, one row per row
+    of docs. links: pairs (a, b) of set keys that are similar or connected through similar sets; copies share a set key and
+    aren't paired.
 
     Two texts link when den * |intersection| >= num * |union| of their n-word shingle sets. links holds enough pairs to
     connect whatever is connected, not every link. n_links counts all other rows that link with the row, copies too.
-    component_id is the least id that is reachable. Null and blank texts have no shingles and link with nothing; ids may be null (a component of null ids
-    only has a null component_id); repeated rows are copies; other columns are ignored. Words are split at
-    [\\x20\\x09-\\x0D]+ after A-Z are lower-cased.
+    component_id is the least id that is reachable, component_key names the component even where all its ids are null
+    (component_id is null then). Null and blank texts have no shingles and link with nothing; repeated rows are copies;
+    other columns are ignored. Words are split at [\\x20\\x09-\\x0D]+ after A-Z are lower-cased.
     """
     index = materialize(indexed(docs, id_col, text, n, num, den), "ngram-index")
     classes_of = index.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
@@ -385,12 +407,12 @@ def ngram_jaccard_groups(
         F.explode(F.arrays_zip("sigs", "places")).alias("e"),
     )
     rows = rows.select("k", "n", "single", F.col("e.sigs").alias("sig"), F.col("e.places").alias("place"))
-    # Which entries have two sets is told by 32-bit hashes, to keep the widest shuffle narrow. Two sets whose hashes are
-    # equal would lose each other's entries; that is one pair in four billion.
-    shared = rows.withColumn("h", F.hash("k")).groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    shared = shared.where("lo < hi").select("sig")
-    entry = materialize(rows.join(shared, "sig").dropDuplicates(["sig", "k"]), "ngram-entries")
-    entry = materialize(entry.join(entry.groupBy("sig").agg(F.count("*").alias("size")), "sig"), "ngram-sizes")
+    shared = rows.groupBy("sig").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("rows"))
+    shared = materialize(shared.where("lo < hi").select("sig", "rows"), "ngram-shared")
+    total = index.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
+    entry = materialize(with_unique(rows, shared, "sig", total).dropDuplicates(["sig", "k"]), "ngram-entries")
+    sizes = entry.groupBy("sig").agg(F.count("*").alias("rows")).select("sig", "rows", F.col("rows").alias("size"))
+    entry = materialize(with_unique(entry, materialize(sizes, "ngram-counts"), "sig", entry.count()), "ngram-sizes")
     large = entry.where(F.col("size") > SMALL)
     degree = large.groupBy("k").agg(F.count("*").alias("degree"))
     small = entry.where(F.col("size") <= SMALL).join(degree, "k", "left").withColumn("larger", F.col("degree").isNotNull())
@@ -398,8 +420,8 @@ def ngram_jaccard_groups(
     pairs = materialize(candidates(pairs, num, den), "ngram-pairs")
 
     ranked = large.join(degree, "k")
-    leader = ranked.groupBy("sig").agg(F.max(F.struct("degree", "k")).alias("l"))
-    cells = large.join(leader, "sig").select(F.col("l.k").alias("cell"), "k").distinct()
+    leader = materialize(ranked.groupBy("sig").agg(F.max_by("k", F.struct("degree", "k")).alias("cell"), F.count("*").alias("rows")), "ngram-leaders")
+    cells = with_unique(large, leader, "sig", large.count()).select("cell", "k", "n").distinct()
     cells = materialize(cells, "ngram-cells")
     held = cells.groupBy("k").agg(F.collect_list("cell").alias("held"))
     weights = classes_of.select("set_key", "weight")
@@ -417,16 +439,15 @@ def ngram_jaccard_groups(
     counted = ends.select("e.*").join(weights, "set_key").select("key", F.col("weight").alias("links")).unionByName(met.select("key", "links"))
     degrees = counted.groupBy(F.col("key").alias("set_key")).agg(F.sum("links").alias("links"))
 
-    merged = connected_components(linked)
-    reach = classes_of.join(merged, classes_of.set_key == merged.node, "left").select(
-        "set_key", "rep", "weight", F.coalesce("component", "set_key").alias("c")
-    )
-    least = reach.groupBy("c").agg(F.min("rep").alias("component_id"))
-    of_set = reach.join(least, "c").join(degrees, "set_key", "left")
-    of_set = of_set.select("set_key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    members = index.select("id", "n_shingles", "set_key").alias("m").join(of_set.alias("o"), "set_key", "left")
+    reach = labelled(classes_of, linked, "set_key", "rep")
+    of_set = reach.join(degrees, "set_key", "left").select(
+        "set_key", F.col("least").alias("component_id"), F.col("c").alias("component_key"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("rows"),
+    )
+    of_set = materialize(of_set, "ngram-classes")
+    members = with_unique(index.select("id", "n_shingles", "set_key", "text_key"), of_set, "set_key", index.count(), "left")
     members = members.select(
-        "id", "n_shingles", "set_key",
+        "id", "n_shingles", "set_key", "text_key", "component_key",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

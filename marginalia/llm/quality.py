@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, crc_bucket, materialize
+from .common import byte_chunks, crc_bucket, materialize, text_key
 
 FEATURES, RIDGE, SEED, BINS, BLOCKS = 256, 1e-3, 7, 400, 16
 #: Kernel width in standard deviations of the statistics, times the square root of their number.
@@ -59,15 +59,17 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def measured(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, stats) of each row."""
+    """(id, text_key, stats) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in byte_chunks(b.column(1)):
                 stats = pa.array([statistics(x) for x in texts], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), stats], names=["id", "stats"])
+                own = b.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), stats], names=["id", "text_key", "stats"])
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, stats array<double>")
+    rows = docs.select(F.col(id_col).cast("long"), text, text_key(F.col(text)))
+    return rows.mapInArrow(run, "id long, text_key long, stats array<double>")
 
 
 def fourier(stats: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
@@ -133,23 +135,23 @@ def isotonic(at: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 def scored(stats: DataFrame, mean: np.ndarray, sd: np.ndarray, weights: np.ndarray, knots: tuple) -> DataFrame:
-    """(id, score): the calibrated rate, from 0 to 1."""
+    """(id, text_key, score): the calibrated rate, from 0 to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            x = b.column(2).flatten().to_numpy().reshape(-1, len(STATISTICS))
             raw = fourier(x, mean, sd) @ weights
             score = np.clip(np.interp(raw, *knots), 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["id", "text_key", "score"])
 
-    return stats.select("id", "stats").mapInArrow(run, "id long, score double")
+    return stats.select("id", "text_key", "stats").mapInArrow(run, "id long, text_key long, score double")
 
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
     learn: Column | None = None,
 ) -> DataFrame:
-    """(id, score), one row per row of docs; score estimates the chance that the label is 1, from the text alone.
+    """(id, text_key, score), one row per row of docs; score estimates the chance that the label is 1, from the text alone.
 
     labels: id_col and label (0 or 1); rows with null ids or labels teach nothing, repeated labels count again. learn
     restricts the ids that are learnt from. A quarter of them, by crc32 of the id, calibrates, the rest fits. Null and
@@ -169,7 +171,7 @@ def quality_scores(
     sums = fit.agg(F.count("*"), *[F.sum(c) for c in at], *[F.sum(c * c) for c in at]).first()
     n = sums[0]
     if not n:
-        return stats.select("id", F.lit(0.5).alias("score"))
+        return stats.select("id", "text_key", F.lit(0.5).alias("score"))
     mean = np.array(sums[1 : k + 1], float) / n
     sd = np.sqrt(np.maximum(np.array(sums[k + 1 :], float) / n - mean**2, 0))
     sd[sd < 1e-9] = 1.0

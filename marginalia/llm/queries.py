@@ -250,11 +250,15 @@ ruled AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts),
 outcome AS (
   SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS good FROM ruled),
+named AS (
+  SELECT *, regexp_replace(host, ':\d*$', '') AS name, array_to_string(string_split(name, '.')[-2:], '.') AS two FROM outcome),
 counts AS (
-  SELECT host, 1 AS "all", split_part(regexp_replace(host, ':\d*$', ''), '.', -1) AS suffix,
-    array_to_string(string_split(regexp_replace(host, ':\d*$', ''), '.')[-2:], '.') AS domain,
-    CAST(coalesce(sum(good), 0) AS DOUBLE) AS good, CAST(count(good) AS DOUBLE) AS n FROM outcome GROUP BY host),
-root AS (SELECT 1 AS "all", sum(good) + 1.0 AS a, sum(n) - sum(good) + 1.0 AS b FROM counts),"""
+  SELECT host, 1 AS "all", CASE WHEN regexp_matches(name, '{ip}') THEN 'ip' WHEN list_contains({suffixes}, two) THEN two ELSE split_part(name, '.', -1) END AS suffix,
+    CASE WHEN regexp_matches(name, '{ip}') THEN name WHEN list_contains({suffixes}, two) THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+    CAST(coalesce(sum(good), 0) AS DOUBLE) AS good, CAST(count(good) AS DOUBLE) AS n FROM named GROUP BY ALL),
+root AS (SELECT 1 AS "all", sum(good) + 1.0 AS a, sum(n) - sum(good) + 1.0 AS b FROM counts),""".replace(
+        "{suffixes}", str(url_filter.SUFFIXES)
+    ).replace("{ip}", r"^\d{1,3}(\.\d{1,3}){3}$|^\[[0-9a-f:.]*\]$")
     + ",".join(
         _LEVEL.format(name=n, above=a, above_key=k, fit=_FIT)
         for n, a, k in (("suffix", "root", '"all"'), ("domain", "suffix_l", "suffix"), ("host", "domain_l", "domain"))

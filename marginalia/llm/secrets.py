@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from ..session import remove_at_exit, shared_dir
+from .common import free_name, materialize
 
 #: (kind, version, pattern, group whose length counts, least length), in the order in which kinds are listed.
 RULES = [
@@ -30,51 +31,51 @@ BROADCAST_BLOBS = 20_000
 LEDGER_SCHEMA = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
-def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Code-point ranges of the leftmost non-overlapping matches whose group is long enough.
+def matches_of(text: Column, pattern: str, group: int) -> Column:
+    """The leftmost non-overlapping matches in turn: length of the text since the match before, of the match, of the group.
 
-    The text between matches (split) and the matches (extract all) alternate, so running lengths are offsets.
+    The text between matches (split) and the matches (extract all) alternate, so running sums of lengths are offsets.
     """
     p = F.lit(pattern)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, p, 0), F.length)
     measured = F.transform(F.regexp_extract_all(text, p, group), F.length)
-    matches = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), measured.alias("by"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + F.coalesce(m["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        spans = F.when(m["by"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    found = F.aggregate(matches, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    found = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), measured.alias("by")), lambda m: m["size"].isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,size:int,by:int>>"))
 
 
 def scan_blobs(todo: DataFrame, rules: list = RULES) -> DataFrame:
-    """Ledger rows of todo (blob, text, kinds to scan): a row for each blob and kind."""
+    """Ledger rows of todo (blob, text, kinds to scan): a row for each blob and kind, with the code-point ranges of the
+    matches whose group is long enough. Offsets are running sums over rows, linear in a text's matches."""
     each = []
     for kind, version, pattern, group, least in rules:
-        wanted = F.array_contains("kinds", kind)
-        spans = F.when(wanted, spans_of(F.col("text"), pattern, group, least))
-        each.append(F.when(wanted, F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), spans.alias("spans"))))
-    rows = todo.select("blob", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r"))
-    return rows.select("blob", "r.kind", "r.version", "r.spans")
-
-
-def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "text", rules: list = RULES) -> DataFrame:
-    """versions with one more column findings: array<struct<start, end, kind>>, by start, then kind as listed.
-
-    versions: any table with a text column, a row for each path and version; its columns stay as they are, and a column
-    named findings must not be among them. Null texts count as empty. ledger is the folder of the ledger (Parquet; made if
-    it is not there); None starts an empty one in the shared folder. Blobs whose kinds are all in the ledger at the
-    current rule versions aren't scanned. Repeated rows share a blob; an empty table leaves the ledger unchanged.
+        found = F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(least).alias("least"), matches_of(F.col("text"), pattern, group).alias("matches"))
+        each.append(F.when(F.array_contains("kinds", kind), found))
+    rows = todo.select("blob", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r")).select("blob", "r.*")
+    rows = materialize(rows, "matches")
+    none = rows.where(F.size("matches") == 0).select("blob", "kind", "version", F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    some = rows.where(F.size("matches") > 0).select("blob", "kind", "version", "least", F.posexplode("matches").alias("at", "m"))
+    upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(upto).cast("int")
+    placed = some.withColumn("end", end).withColumn("start", F.col("end") - F.col("m.size"))
+    span = F.when(F.col("m.by") >= F.col("least"), F.struct("start", "end"))
+    spans = placed.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # one text's spans
+    return none.unionByName(spans)
+
+
+def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "text", rules: list = RULES, out: str = "findings") -> DataFrame:
+    """versions with one more column `out`: array<struct<start, end, kind>>, by start, then kind as listed.
+
+    versions: any table with a text column, a row for each path and version; its columns stay as they are, but for one of
+    the name `out`, which is replaced. Null texts count as empty. ledger is the folder of the ledger (Parquet; made if it is
+    not there); None starts an empty one in the shared folder, deleted when the process ends. Blobs whose kinds are all in
+    the ledger at the current rule versions aren't scanned. Repeated rows share a blob; an empty table leaves the ledger
+    unchanged.
     """
     spark = versions.sparkSession
-    ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    if ledger is None:
+        ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        remove_at_exit(spark, ledger)
     body = F.coalesce(F.col(text), F.lit(""))
     blob = F.sha2(body, 256)
     blobs = versions.select(blob.alias("blob"), body.alias("text"))
@@ -99,14 +100,13 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "t
     )
     by_blob = hits.distinct().groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("s"))  # one text's spans
     findings = F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    by_blob = by_blob.select("blob", findings.alias("findings"))
-    by_blob = materialize(by_blob, "findings")
+    at, found = free_name(versions, "blob"), free_name(versions, "found")
+    by_blob = materialize(by_blob.select(F.col("blob").alias(at), findings.alias(found)), "findings")
     if by_blob.count() <= BROADCAST_BLOBS:
         by_blob = F.broadcast(by_blob)
-    names = versions.columns
-    out = versions.withColumn("__blob", blob).join(by_blob.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    joined = versions.withColumn(at, blob).join(by_blob, at, "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return out.select(*[F.col(f"`{c}`") for c in names], F.coalesce("findings", none).alias("findings"))
+    return joined.select(*[F.col(f"`{c}`") for c in versions.columns if c != out], F.coalesce(found, none).alias(out))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -116,16 +116,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def redacted(text: Column, findings: Column, mark: str = "[REDACTED]") -> Column:
     """text with each run of overlapping findings replaced by mark; findings sorted by start."""
-    size = F.length(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    nothing = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("pieces"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
+        pieces = F.when(fresh, F.concat(acc["pieces"], F.array(gap, F.lit(mark)))).otherwise(acc["pieces"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), pieces.alias("pieces"))
 
-    whole = F.aggregate(findings, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, size)))
+    rest = lambda acc: F.array(F.substring(text, acc["at"] + 1, F.length(text)))
+    whole = F.aggregate(findings, start, step, lambda acc: F.array_join(F.concat(acc["pieces"], rest(acc)), ""))
     return F.when(F.size(findings) > 0, whole).otherwise(text)

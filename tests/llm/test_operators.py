@@ -261,6 +261,35 @@ def test_secrets_and_the_ledger(spark, docs, empty, tmp_path):
     assert secrets.scan_versions(empty).count() == 0
 
 
+def test_names_that_clash_are_kept_or_replaced(spark):
+    df = spark.createDataFrame([(1, "secret=abcdefgh1", "f", "b", "c")], "doc_id long, text string, findings string, blob string, found string")
+    got = secrets.scan_versions(df).first()
+    assert (got.blob, got.found, len(got.findings)) == ("b", "c", 1)
+    got = secrets.scan_versions(df, out="spans").first()
+    assert (got.findings, len(got.spans)) == ("f", 1)
+    df = spark.createDataFrame([(1, "http://a.org/x", "h", "r", 5)], "page_id long, url string, host string, _rule string, rows long")
+    got = url_filter.judged(df).first()
+    assert (got.host, got._host, got._rule, got.rows) == ("h", "a.org", "org/", 5)
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, ids string, bytes string")
+    got = bpe.decoded(bpe.encoded(df, BPE, public_tokenizers.PATTERN), BPE, public_tokenizers.PATTERN).first()
+    assert bytes(got.bytes) == b"a b" and len(got.ids) == 2
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdefgh1 x " * 3000
+    got = secrets.scan_versions(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(f.start, f.end) for f in got.findings] == [(18 * k, 18 * k + 15) for k in range(3000)]
+
+
+@pytest.mark.parametrize(
+    ("host", "domain", "suffix"),
+    [("a.b.co.uk", "b.co.uk", "co.uk"), ("b.co.uk:8080", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("x.y.com", "y.com", "com"), ("10.1.2.3", "10.1.2.3", "ip"), ("10.1.2.3:80", "10.1.2.3", "ip"), ("localhost", "localhost", "localhost"), ("", "", "")],
+)
+def test_registered_domains(spark, host, domain, suffix):
+    args = F.lit(host), url_filter.SUFFIXES
+    assert spark.range(1).select(url_filter.domain_of(*args), url_filter.suffix_of(*args)).first()[:] == (domain, suffix)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("abcdefghij", [(2, 5, "a"), (3, 4, "b"), (7, 9, "a")]), ("xyz", []), (None, [])], "t string, f array<struct<start:int,end:int,kind:string>>")
     assert [r[0] for r in df.select(secrets.redacted(F.col("t"), F.col("f"), "*")).collect()] == ["ab*fg*j", "xyz", None]
