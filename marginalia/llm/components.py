@@ -51,13 +51,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))
     )
     now, seen = materialize(now.distinct(), "edges"), None
-    while True:
-        half = materialize(_star(now, True, now.count()), "edges")
-        now = materialize(_star(half, False, half.count()), "edges")
+    size = now.count()
+    while size:
+        # A step never adds edges, so the size before both will do to tell what is hot.
+        half = materialize(_star(now, True, size), "edges")
+        now = materialize(_star(half, False, size), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if state == seen:
             break
-        seen = state
+        seen, size = state, state[0]
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()
 
@@ -65,8 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def labelled(nodes: DataFrame, edges: DataFrame, key: str, rep: str) -> DataFrame:
     """nodes (unique by key) with `c`, the key of the least key reachable by edges (a, b), and `least`, the least rep there."""
     merged = connected_components(edges)
-    size = nodes.count()
-    known = materialize(nodes.join(merged, nodes[key] == merged["node"], "left").drop("node").withColumn("c", F.coalesce("component", key)).drop("component"), "labelled")
+    known = nodes.join(merged, nodes[key] == merged["node"], "left").drop("node")
+    known = materialize(known.withColumn("c", F.coalesce("component", key)).drop("component"), "labelled")
     of = known.groupBy("c").agg(F.min(rep).alias("least"), F.count("*").alias("rows"))
-    alone = known.where(F.col("c") == F.col(key))
-    return with_unique(known, of, "c", size) if not alone.count() == size else known.withColumn("least", F.col(rep))
+    return with_unique(known, materialize(of, "least"), "c", known.count())

@@ -42,7 +42,7 @@ SMALL, BLOCK, COLUMNS = 32, 512, 2048
 LAST_BAND = 100
 #: So many document ids at most are broadcast (some MB); more are joined by a shuffle of the texts.
 BROADCAST_IDS = 200_000
-BLOCKS = 64
+BLOCKS = 16
 #: A frequency-table cell is frequent from this count, and from this many times the mean cell.
 FREQUENT_LEAST, FREQUENT_TIMES = 64, 8
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +98,7 @@ def set_key(s: np.ndarray) -> int:
 def frequency_levels(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, int]:
     """log2 levels (one byte a cell) of a table of 2**TABLE_BITS shingle counts over all texts, and the frequent level.
 
-    Tasks sum whole tables; cells of all tasks are added in 64 streams, so what reaches the driver has a fixed size.
+    Tasks sum whole tables; cells of all tasks are added in BLOCKS streams, so what reaches the driver has a fixed size.
     """
     size = 1 << TABLE_BITS
     part = size // BLOCKS
@@ -106,7 +106,7 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, np.int64)
         for b in batches:
-            for _, texts in byte_chunks(b.column(0)):
+            for _, texts in byte_chunks(b.column(0), 1 << 20):
                 cells = np.concatenate([s >> np.uint64(64 - TABLE_BITS) for s in shingle_sets(texts, n)])
                 table += np.bincount(cells.astype(np.int64), minlength=size)
         if table.any():
@@ -136,7 +136,7 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, in
     parts = docs.select(text).mapInArrow(count, "block int, cells binary")
     sums = parts.repartition(BLOCKS, "block").sortWithinPartitions("block")
     levels, total = np.zeros(size, np.uint8), 0
-    for row in sums.mapInArrow(add, "block int, cells binary, total long").collect():  # 64 rows of 16 KB
+    for row in sums.mapInArrow(add, "block int, cells binary, total long").collect():  # BLOCKS rows, 1 MB in all
         levels[row["block"] * part : (row["block"] + 1) * part] = np.frombuffer(row["cells"], np.uint8)
         total += row["total"]
     least = max(FREQUENT_LEAST, FREQUENT_TIMES * total / size)
@@ -409,10 +409,10 @@ def ngram_jaccard_groups(
     rows = rows.select("k", "n", "single", F.col("e.sigs").alias("sig"), F.col("e.places").alias("place"))
     shared = rows.groupBy("sig").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("rows"))
     shared = materialize(shared.where("lo < hi").select("sig", "rows"), "ngram-shared")
-    total = index.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
+    total, documents = index.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0)), F.count("*")).first()
     entry = materialize(with_unique(rows, shared, "sig", total).dropDuplicates(["sig", "k"]), "ngram-entries")
     sizes = entry.groupBy("sig").agg(F.count("*").alias("rows")).select("sig", "rows", F.col("rows").alias("size"))
-    entry = materialize(with_unique(entry, materialize(sizes, "ngram-counts"), "sig", entry.count()), "ngram-sizes")
+    entry = materialize(with_unique(entry, materialize(sizes, "ngram-counts"), "sig", total), "ngram-sizes")
     large = entry.where(F.col("size") > SMALL)
     degree = large.groupBy("k").agg(F.count("*").alias("degree"))
     small = entry.where(F.col("size") <= SMALL).join(degree, "k", "left").withColumn("larger", F.col("degree").isNotNull())
@@ -421,7 +421,7 @@ def ngram_jaccard_groups(
 
     ranked = large.join(degree, "k")
     leader = materialize(ranked.groupBy("sig").agg(F.max_by("k", F.struct("degree", "k")).alias("cell"), F.count("*").alias("rows")), "ngram-leaders")
-    cells = with_unique(large, leader, "sig", large.count()).select("cell", "k", "n").distinct()
+    cells = with_unique(large, leader, "sig", total).select("cell", "k", "n").distinct()
     cells = materialize(cells, "ngram-cells")
     held = cells.groupBy("k").agg(F.collect_list("cell").alias("held"))
     weights = classes_of.select("set_key", "weight")
@@ -445,7 +445,7 @@ def ngram_jaccard_groups(
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("rows"),
     )
     of_set = materialize(of_set, "ngram-classes")
-    members = with_unique(index.select("id", "n_shingles", "set_key", "text_key"), of_set, "set_key", index.count(), "left")
+    members = with_unique(index.select("id", "n_shingles", "set_key", "text_key"), of_set, "set_key", documents, "left")
     members = members.select(
         "id", "n_shingles", "set_key", "text_key", "component_key",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),

@@ -194,12 +194,12 @@ def near_copies(n):
     return out + out[:5]
 
 
-@pytest.mark.parametrize(("small", "block", "least"), [(32, 512, 64), (4, 8, 4), (2, 4, 2)])
+@pytest.mark.parametrize(("small", "block", "least"), [(32, 512, 64), (3, 6, 3)])
 def test_links_of_random_near_copies_equal_all_pairs(spark, monkeypatch, small, block, least):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", least)
-    texts = near_copies(60)
+    texts = near_copies(50)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.ngram_jaccard_groups(docs)[0].collect()}
     words = [t.split() for t in texts]
