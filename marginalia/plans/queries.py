@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import activity, alignment, evaluation, matching, numbering
+from ..operators import activity, alignment, bars, evaluation, matching, numbering, reports
 from ..session import ship
 from ..sources import documents
 
@@ -108,6 +108,23 @@ def activity_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "group", F.col("n").cast("long").alias("n"), "waits", F.col("wait_seconds").cast("long").alias("wait_cents"))
 
 
+@query("""WITH e AS (SELECT user_id, event_type, value, json_extract_string(props, '$.k') AS place FROM events),
+  w AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type = 'purchase' THEN 'server' ELSE 'edit' END AS kind,
+    unnest(CASE WHEN event_type = 'purchase' THEN ['purchase'] ELSE [event_type, place || ' (detected)'] END) AS what, value FROM e),
+  g AS (SELECT user_id, CASE kind WHEN 'server' THEN 'waits' WHEN 'undo' THEN 'undone' ELSE CASE WHEN what LIKE '%(detected)' THEN 'corrections' ELSE 'edits' END END AS counter,
+    CASE WHEN kind = 'undo' THEN 'undo: ' || what ELSE what END AS what, value FROM w WHERE what IS NOT NULL)
+  SELECT user_id, counter, what, count(*) AS n, round(sum(CASE WHEN counter = 'waits' THEN coalesce(value, 0) END), 2) AS seconds FROM g GROUP BY user_id, counter, what""")
+def log_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases are a server's events, errors undo, the others edit: each edits its type and, as detected, its place."""
+    place = F.get_json_object("props", "$.k")
+    server = F.col("event_type") == "purchase"
+    e = read(spark, sf_dir, "events").select(
+        "user_id", F.when(server, "labeler-server").otherwise("labeler").alias("src"), F.when(server, "purchase").when(F.col("event_type") == "error", "undo").otherwise("edit").alias("kind"),
+        F.concat_ws(", ", "event_type", F.concat(place, F.lit(" (detected)"))).alias("what"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("by"), F.col("value").alias("seconds"),
+    )
+    return reports.tallies(e, ["user_id"]).withColumn("seconds", F.round("seconds", 2))
+
+
 @query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 3 AS c, CAST(l_returnflag = 'R' AS INT) AS e,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem),
   m AS (SELECT *, CAST(1 + coalesce(sum(e) OVER (PARTITION BY l_suppkey ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS movement FROM r)
@@ -648,6 +665,19 @@ def json_doc_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("o_custkey", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("staves"), F.sum("bar_count").cast("long").alias("bars"))
 
 
+@query("""WITH b AS (SELECT o_custkey, l_orderkey AS page, 's-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS system, CAST(l_quantity AS INT) % 3 AS c, CAST(l_returnflag = 'R' AS INT) AS e,
+    o_orderstatus = 'F' AS reviewed, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, 's-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey, l_discount,
+      CASE WHEN l_tax < 0.08 THEN l_discount + 1 END NULLS FIRST, CASE WHEN l_returnflag = 'R' THEN 'final' ELSE 'single' END, CAST(l_quantity AS INT) % 3) AS k
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  m AS (SELECT *, CAST(1 + coalesce(sum(e) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS mv FROM b)
+  SELECT o_custkey, CAST(k - 1 AS BIGINT) AS "order", page, system, CASE WHEN mv <= 10 THEN ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][mv] ELSE CAST(CAST(mv AS BIGINT) AS VARCHAR) END AS movement,
+    CAST(1 + coalesce(sum(c) OVER (PARTITION BY o_custkey, mv ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - CASE WHEN c = 0 THEN 1 ELSE 0 END AS BIGINT) AS bar, reviewed FROM m""")
+def bars_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents.pages(order_documents(spark, sf_dir), ["o_custkey"])
+    out = bars.bars_export(pages, ["o_custkey"])
+    return out.select("o_custkey", F.col("order").cast("long").alias("order"), F.col("page").cast("long").alias("page"), "system", "movement", "bar", "reviewed")
+
+
 @query("""WITH l AS (SELECT o_custkey, l.*, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS k,
     'page ' || l_orderkey || ' system s-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS w,
     row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) AS copy FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
