@@ -71,9 +71,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the hash of the bytes that they decode to, which is that of its text."""
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encoded(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, pattern).drop("text")
-    back = bpe.decoded(ids, path, pattern)
-    return back.select(
+    coded = bpe.encoded(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, pattern, back="bytes")
+    return coded.select(
         "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256")
     )
 

@@ -25,7 +25,7 @@ from .common import byte_chunks
 NONE = np.int64(1) << np.int64(60)
 #: Matches of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
-CACHE = 300_000
+CACHE = 150_000
 
 
 class Bpe:
@@ -240,18 +240,20 @@ def vocabulary(spark: SparkSession, path: str, pattern: str):  # noqa: ANN201
         return spark.sparkContext.broadcast((f.read(), pattern))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
     """docs with a column `out`: array<int> of token ids, no special tokens; a column of that name is replaced.
 
     Each match of pattern is merged separately, by the ranks in the tiktoken file at path, a path on the driver. Null
     texts are empty and give no ids; white space, controls and characters of any script are covered by their bytes; texts
     and matches may be of any length; repeated rows are encoded alike; an empty table gives an empty one. Other columns
-    stay as they are.
+    stay as they are. back names one more column, the bytes that the ids decode to: worked out from the ids alone, as by
+    decoded(), but in the same worker, so that a task holds the vocabulary once.
     """
     shared = vocabulary(docs.sparkSession, path, pattern)
-    docs = docs.drop(out)
+    docs = docs.drop(out, *([back] if back else []))
     at = docs.columns.index(text)
-    schema = docs.select("*", F.array().cast("array<int>").alias(out)).schema
+    more = [F.lit(b"").alias(back)] if back else []
+    schema = docs.select("*", F.array().cast("array<int>").alias(out), *more).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(*shared.value)
@@ -259,12 +261,20 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
             for start, raw in byte_chunks(b.column(at), 1 << 20):
                 ids, ends = bpe.encode([x.decode() if x else "" for x in raw])
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-                column = pa.ListArray.from_arrays(offsets, pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*b.slice(start, len(raw)).columns, column], names=[*b.schema.names, out])
+                made = [pa.ListArray.from_arrays(offsets, pa.array(ids))]
+                if back:
+                    made.append(binary_column(*bpe.decode(ids, ends)))
+                yield pa.RecordBatch.from_arrays([*b.slice(start, len(raw)).columns, *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def binary_column(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes, cut at ends, as a column."""
+    offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(raw)])
+
+
 def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """docs with a column `out`: the bytes that the ids stand for; null ids give none. Unknown ids fail. A column named out
     is replaced."""
@@ -283,9 +293,7 @@ def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
                 values = pc.list_flatten(got)
                 if values.null_count:
                     raise KeyError("a null among the ids")
-                raw, ends = bpe.decode(values.to_numpy(), np.cumsum(sizes))
-                offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
-                column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(raw)])
+                column = binary_column(*bpe.decode(values.to_numpy(), np.cumsum(sizes)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)

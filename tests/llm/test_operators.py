@@ -208,6 +208,8 @@ def test_bpe_equals_tiktoken_and_decodes(docs, empty):
         assert ids == ref.encode_ordinary(t)
     out = bpe.decoded(bpe.encoded(docs, BPE, public_tokenizers.PATTERN), BPE, public_tokenizers.PATTERN)
     assert all(bytes(r.bytes) == (r.text or "").encode() for r in out.collect())
+    once = bpe.encoded(docs, BPE, public_tokenizers.PATTERN, back="bytes")
+    assert once.columns == out.columns and sorted(map(str, once.collect())) == sorted(map(str, out.collect()))
     assert out.columns[: len(docs.columns)] == docs.columns and bpe.encoded(empty, BPE, public_tokenizers.PATTERN).count() == 0
 
 
