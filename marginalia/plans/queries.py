@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import activity, alignment, bars, evaluation, matching, numbering, reports
+from ..functions import notation
+from ..operators import activity, alignment, bars, comparison, evaluation, matching, numbering, reports
 from ..session import ship
 from ..sources import documents
 
@@ -707,6 +708,113 @@ def schema_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_custkey", F.col("doc.schema").cast("long").alias("schema"), F.size(F.filter(kinds, lambda k: k == "clef")).cast("long").alias("clefs"))
 
 
+@query("""WITH t AS (SELECT p_partkey, p_size AS t, 192 // gcd(p_size, 192) AS under, p_size // gcd(p_size, 192) AS over, p_partkey % 3 + 1 AS n FROM part),
+  d AS (SELECT *, CASE WHEN over = 1 AND under IN (1, 2, 4, 8, 16, 32) THEN CAST(under AS VARCHAR) WHEN over = 3 AND under IN (2, 4, 8, 16, 32, 64) THEN (under // 2) || '.' ELSE under || '*' || over END AS d FROM t)
+  SELECT p_partkey, d AS name, 's' || CASE WHEN n = 1 THEN d WHEN contains(d, '*') THEN under || '*' || over * n ELSE d || '*' || n END AS spacer FROM d""")
+def duration_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's size as ticks."""
+    t = F.col("p_size").cast("int")
+    return read(spark, sf_dir, "part").select("p_partkey", notation.duration_name(t).alias("name"), notation.spacer(t, F.col("p_partkey") % 3 + 1).alias("spacer"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderkey % 40 AS lo, o_orderkey % 40 + o_orderkey % 6 AS hi, o_orderpriority AS part FROM orders)
+  SELECT o_custkey, page, arg_max(part, o_orderkey) AS part FROM (SELECT o_custkey, o_orderkey, part, CAST(unnest(range(lo, hi + 1)) AS INT) AS page FROM s) GROUP BY ALL""")
+def page_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders in turn are the items of one text."""
+    item = F.expr("concat(o_orderkey % 40, if(o_orderkey % 6 = 0, '', concat('-', o_orderkey % 40 + o_orderkey % 6)), ':', o_orderpriority)")
+    each = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))).alias("s"))
+    return notation.page_map(each.select("o_custkey", F.array_join("s.item", ",").alias("spec")), ["o_custkey"], "spec")
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CAST(l_quantity AS INT) AS q, l_linestatus, lead(struct_pack(f := l_returnflag, q := CAST(l_quantity AS INT), s := l_linestatus))
+    OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem),
+  d AS (SELECT *, (l_returnflag = 'R') AS ra, (b.f = 'R') AS rb FROM e WHERE b IS NOT NULL)
+  SELECT CASE WHEN ra <> rb THEN CASE WHEN ra THEN 'note for rest' ELSE 'rest for note' END ELSE concat_ws(',',
+    CASE WHEN NOT ra AND q % 14 <> b.q % 14 THEN CASE WHEN q % 7 = b.q % 7 THEN 'octave' ELSE 'pitch' END END,
+    CASE WHEN q % 2 <> b.q % 2 OR q % 3 <> b.q % 3 THEN 'duration' END, CASE WHEN l_linestatus <> b.s THEN 'grace' END) END AS differs, count(*) AS n FROM d GROUP BY 1""")
+def event_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as events, returned ones rests, each with the next of its order."""
+    q = F.col("l_quantity").cast("int")
+    rest = F.col("l_returnflag") == "R"
+    pitches = F.when(rest, F.array().cast("array<string>")).otherwise(F.array(notation.pitch_name(q % 14 + 28)))
+    event = F.struct(
+        F.when(rest, "rest").otherwise("note").alias("kind"), pitches.alias("pitches"), (q % 2).cast("string").alias("dur"), (q % 3).alias("dots"),
+        (F.col("l_linestatus") == "F").alias("grace"),
+    )
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    pairs = read(spark, sf_dir, "lineitem").select(event.alias("a"), F.lead(event).over(w).alias("b")).where("b is not null")
+    return pairs.groupBy(F.array_join(notation.what_differs(F.col("a"), F.col("b")), ",").alias("differs")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT unnest([CASE WHEN o_orderpriority LIKE '1%' THEN 'very soon' ELSE o_orderpriority END, 'by ' || o_clerk, 'status ' || o_orderstatus]) AS w FROM (SELECT *, 'x' || o_custkey % 5 AS o_clerk FROM orders)),
+  p AS (SELECT CASE WHEN regexp_full_match(w, 'by x[0-3]') THEN 'one of ' || w[5:] WHEN regexp_full_match(w, 'status (F|O)') THEN 'whole: ' || w[8:] ELSE w END AS reason FROM w)
+  SELECT reason, count(*) AS n FROM p GROUP BY reason""")
+def explained_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.array(F.concat(F.lit("reader-1: "), "o_orderpriority"), F.concat(F.lit("by x"), (F.col("o_custkey") % 5).cast("string")), F.concat(F.lit("status "), "o_orderstatus"))
+    plain = notation.explained(given, [("by x([0-3])", "one of $1"), ("status (F|O)", "whole: $1"), ("1.*", "very soon")], "^reader-[0-9]+: ")
+    return read(spark, sf_dir, "orders").select(F.explode(plain).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT lang, count(*) FILTER (toxic = 1 AND n_chars > 900) AS hits, count(*) FILTER (toxic = 1) AS there, count(*) FILTER (toxic = 0 AND n_chars > 900) AS "false", count(*) FILTER (toxic = 0) AS absent,
+  round(count(*) FILTER (toxic = 1 AND n_chars > 900) / nullif(count(*) FILTER (toxic = 1), 0), 9) AS hit, round(count(*) FILTER (toxic = 0 AND n_chars > 900) / nullif(count(*) FILTER (toxic = 0), 0), 9) AS fa
+  FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def hit_and_false_alarm_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    rates = comparison.detection_rates(rows, ["lang"], F.col("toxic") == 1, F.col("n_chars") > 900)
+    return rates.withColumn("hit", F.round("hit", 9)).withColumn("fa", F.round("fa", 9)).drop("d")
+
+
+@query("""WITH w AS (SELECT *, min(l_linenumber) OVER p AS lo, max(l_linenumber) OVER p AS hi FROM lineitem WINDOW p AS (PARTITION BY l_orderkey))
+  SELECT l_orderkey, l_linenumber, l_partkey, greatest(lo, l_linenumber - 3) AS "from", least(hi, l_linenumber + 3) AS "to" FROM w""")
+def clipped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return comparison.claim_windows(rows, ["l_orderkey"], "l_linenumber", "l_linenumber", n, n, 3)
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS kind, o_custkey % 3 = 0 AS t, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS r FROM orders)
+  SELECT kind, count(*) FILTER (t) AS "true", count(*) FILTER (t AND r) AS accepted, count(*) FILTER (NOT t) AS moved, count(*) FILTER (NOT t AND NOT r) AS rejected FROM c GROUP BY kind""")
+def claim_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    return comparison.claims(read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "kind"), ["kind"], F.col("o_custkey") % 3 == 0, right)
+
+
+@query("""WITH v AS (SELECT user_id, ts, event_id, event_type AS v, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
+  s AS (SELECT user_id, array_to_string(list(v ORDER BY ts, event_id)[1:3], ' ') AS sequence FROM v WHERE was IS DISTINCT FROM v GROUP BY user_id),
+  c AS (SELECT user_id % 4 AS part, sequence, count(*) AS n FROM s GROUP BY ALL)
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY n DESC, sequence) AS rank, sequence, n FROM c QUALIFY rank <= 12""")
+def top_merged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How users begin: their first three kinds of event, repeats merged."""
+    s = comparison.merged_sequence(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    begun = s.select((F.col("user_id") % 4).alias("part"), F.slice("sequence", 1, 3).alias("sequence"))
+    return comparison.top_sequences(begun, ["part"], 12).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH o AS (SELECT p_partkey, p_size, p_partkey % 4 > 0 AS kept, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS new FROM part)
+  SELECT p_partkey, CASE WHEN NOT kept THEN 'not kept' WHEN new = p_size THEN 'same' ELSE 'other' END AS outcome,
+    CASE WHEN NOT kept THEN CASE WHEN p_partkey % 8 = 0 THEN '?' ELSE p_brand END END AS reason, CASE WHEN NOT kept THEN p_partkey % 8 > 0 AND new = p_size END AS as_before FROM o JOIN part USING (p_partkey, p_size)""")
+def version_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("new"))
+    new = p.select("p_partkey", F.col("new").alias("p_size"), F.concat("p_brand", F.lit(" [3 at 4]")).alias("why"))
+    return comparison.version_outcomes(p.select("p_partkey", "p_size"), new.where("p_partkey % 4 > 0"), new.where("p_partkey % 4 = 0 and p_partkey % 8 > 0"), "p_partkey", "p_size", "why")
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS page, o_orderpriority AS method FROM orders), m AS (SELECT DISTINCT method FROM d)
+  SELECT page, m.method FROM (SELECT DISTINCT page FROM d) CROSS JOIN m ANTI JOIN d USING (page, method)""")
+def methods_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderpriority").alias("method"))
+    return comparison.incomplete(done, done.select("method").distinct(), done, ["page"], "method")
+
+
+@query()
+def surest_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as found points on the days, every third as a true one."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.unix_date(F.col("o_orderdate").cast("date"))).alias("x"), F.col("o_totalprice").alias("sure"))
+    f = o.where("o_orderkey % 3 > 0").withColumnRenamed("o_orderkey", "f_id")
+    t = o.where("o_orderkey % 3 = 0").withColumnRenamed("o_orderkey", "t_id")
+    return comparison.surest_first(f, t, ["o_custkey"], ["f_id", "x", "sure"], ["t_id", "x"], 60.0)
+
+
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey + 1 BETWEEN 1 AND 10 THEN ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][n_nationkey + 1] ELSE CAST(n_nationkey + 1 AS VARCHAR) END AS movement FROM nation""")
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select("n_nationkey", numbering.roman(F.col("n_nationkey") + 1).alias("movement"))
