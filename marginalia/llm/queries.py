@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, decontam, embed_dedup, kneser_ney, langid, ngram_join, quality, secrets, token_count, url_filter
+from . import bpe, decontam, embed_dedup, kneser_ney, langid, ngram_join, prefix_trie, quality, secrets, spelling, token_count, topk, url_filter
 from .common import crc_bucket
 
 
@@ -108,6 +108,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(spelling.words_of(F.col("text"), shortest=7)).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = spelling.counted(runs.select(F.when(h % 31 == 0, cut).otherwise(F.col("run")).alias("word")))
+    return spelling.spelling_variants(words)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    head = (F.crc32(conv.cast("string").cast("binary")) % 4).cast("long")
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(turns, conv - conv % 20, head, 3))
+
+
 #: Documents with a lower quality score are rejected.
 KEEP_SCORE = 0.3
 
@@ -123,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP1_SQL = r"""
@@ -269,7 +293,97 @@ FROM outcome o JOIN host_l h ON h.host = o.host
 """
 )
 
+#: A one-row table with CRC-32's table of remainders, and the CRC-32 of an expression's text by it.
+_CRC_TABLE = """crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crc)"""
+_CRC = """xor(list_reduce(list_transform(range(octet_length(encode({0}))),
+    lambda k: CAST('0x' || substr(hex(encode({0})), 2 * k + 1, 2) AS BIGINT)),
+    lambda c, b: xor(crc[xor(c & 255, b) + 1], c >> 8), 4294967295), 4294967295)"""
+
+OP11_SQL = (
+    r"""
+WITH RECURSIVE """
+    + _CRC_TABLE
+    + r""",
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents),
+lowered AS (
+  SELECT concat(doc_id, ':', w) AS named, w FROM (
+    SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM runs WHERE length(r) >= 7)),
+hashed AS (SELECT w, """
+    + _CRC.format("named")
+    + """ AS h FROM lowered, crcs),
+changed AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON b.word = a.k
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON b.word = a.k),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, list(other ORDER BY n DESC, other)[1] AS other FROM near GROUP BY word),
+known AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN other END AS form,
+    CASE WHEN top >= 10 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+led AS (
+  SELECT word, word AS root, form AS next FROM known
+  UNION ALL SELECT l.word, k.word, k.form FROM led l JOIN known k ON k.word = l.next)
+SELECT k.word, k.form, l.root, k.n, k.n_near, k.form_n FROM known k JOIN led l ON l.word = k.word AND l.next IS NULL
+"""
+)
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON (q.vec_id IS DISTINCT FROM c.vec_id OR q.e <> c.e) AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP13_SQL = (
+    "WITH "
+    + _CRC_TABLE
+    + r""",
+turns AS (
+  SELECT conv_id, {'s': sha256(concat(length(role), ':', role, text)), 'k': len(regexp_extract_all(text, '[^ 	-
+]+'))} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, """
+    + _CRC.format("CAST(conv_id AS VARCHAR)")
+    + """ % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns), crcs),
+spliced AS (
+  SELECT c.conv_id, 0 AS own, t.i, t.x FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.x FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+paths AS (
+  SELECT c.conv_id, coalesce(p, []) AS p FROM convs c
+  LEFT JOIN (SELECT conv_id, list(x ORDER BY own, i) AS p FROM spliced GROUP BY conv_id) s ON s.conv_id = c.conv_id),
+members AS (SELECT conv_id, p, unnest(range(len(p) + 1)) AS depth FROM paths),
+nodes AS (
+  SELECT depth, list_transform(p[1:depth], lambda x: x.s) AS node, min(conv_id) AS conv_id, count(*) AS n,
+    coalesce(any_value(p[depth].k), 0) AS tokens, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len(p) = depth) AS ends
+  FROM members GROUP BY ALL),
+children AS (SELECT node[1:depth - 1] AS above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT x.node, sum((y.n - 1) * y.tokens) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes x JOIN nodes y ON y.depth >= x.depth AND y.node[1:x.depth] = x.node LEFT JOIN children c ON c.above = y.node
+  GROUP BY x.node)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, CASE WHEN x.depth > 0 THEN u.conv_id END AS parent_conv_id, x.n AS n_convs,
+  coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM nodes x JOIN below b ON b.node = x.node LEFT JOIN children c ON c.above = x.node
+LEFT JOIN nodes u ON u.depth = x.depth - 1 AND u.node = x.node[1:x.depth - 1]
+"""
+)
+
 ORACLE: dict[str, str] = {
+    "op11_spelling_variants": OP11_SQL,
+    "op12_exact_top_k": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op7_secret_scan": OP7_SQL,
     "op10_url_filter": OP10_SQL,
