@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-For each language, and every labelled language, a suffix automaton is built over a bounded sample of labelled text. A text is parsed against it: from
-each point the longest match in the sample is one phrase, the next phrase starts where it ends. The number of phrases a
-byte, times the logarithm of the sample's length, estimates the cross entropy; the language that needs the fewest
-normalised phrases wins. Texts are folded to lower case and runs of other bytes to one separator, and parsed whole, many
-side by side: one step of every text and language is a table lookup.
+For every labelled language a suffix automaton is built over the whole texts of a bounded sample of its rows. A text is
+parsed against it: from each point the longest match in the sample is one phrase, the next phrase starts where it ends. The
+number of phrases a byte, times the logarithm of the sample's length, estimates the cross entropy; the language that needs the
+fewest normalised phrases wins. Texts are folded to lower case and runs of other bytes to one separator, and parsed whole, many
+side by side: one step of every text and language is a table lookup. Languages are dealt into groups whose automata fit a
+worker; every text is parsed against each group, and the groups' best are compared.
 """
 
 from __future__ import annotations
@@ -18,14 +19,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_chunks
+from .common import byte_chunks, materialize
 
-#: Labelled rows taken for each language; characters taken of each of these rows' texts, at a hashed place; and characters
-#: of all languages together, which bound a worker's tables (some 400 bytes a character): beyond so many languages the rows
-#: give less each.
-SAMPLE_ROWS, SLICE, SAMPLE_TOTAL = 120, 128, 400_000
-#: More values than this in the language column are no languages.
-MOST_LANGUAGES = 10_000
+#: The sample of a language: rows whose texts have at most SAMPLE_TEXT characters, so many rows and characters at most.
+SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 400, 20_000, 50_000
+#: Characters of the samples of a group of languages, which bound a worker's tables (some 400 bytes a character).
+GROUP_CHARS = 400_000
 #: Below so many texts they are stepped through one by one.
 FEW = 64
 #: A-Z to a-z, bytes from 0x80 kept, all others to a space.
@@ -160,61 +159,93 @@ def parser(samples: list[tuple[str, bytes]]) -> Parser:
     return _parsers[key]
 
 
-def learned_samples(labelled: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[str, bytes]]:
-    """(language, folded sample) of every labelled language, by name.
+def learned_samples(labelled: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
+    """(lang, texts, group): the sample of every language that has a row to learn from, and the group it is dealt to.
 
-    SAMPLE_ROWS rows of each language are taken by a hash of id and text, and of each the whole text, or of a longer one a
-    slice at a hashed place: SLICE characters, or so many that all slices of all languages are SAMPLE_TOTAL at most. That
-    much reaches the driver, whatever the input. Over MOST_LANGUAGES values of lang raise ValueError.
+    A language's rows are taken in the order of a hash of id and text as long as SAMPLE_ROWS rows and SAMPLE_CHARS characters
+    allow, the first in any case, always with their whole texts. Rows of over SAMPLE_TEXT characters aren't taken, so no sample
+    exceeds SAMPLE_CHARS + SAMPLE_TEXT; a language that has no others isn't learnt. Groups are filled in the order of names.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
-    names = rows.select("lang").distinct()
-    count = names.limit(MOST_LANGUAGES + 1).count()
-    if count > MOST_LANGUAGES:
-        raise ValueError(f"{lang} holds more than {MOST_LANGUAGES} values")
-    size = max(16, min(SLICE, SAMPLE_TOTAL // max(1, SAMPLE_ROWS * count)))
-    # Before the shuffle the rows of a partition are cut to SAMPLE_ROWS a language, and their texts to slices.
-    start = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - size + 1, F.lit(1)).cast("long"))
-    rows = rows.select("lang", "h", F.substring("t", start.cast("int"), F.lit(size)).alias("t"))
+    known = labelled.where(F.col(lang).isNotNull() & F.length(text).between(1, SAMPLE_TEXT))
+    rows = known.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
     by = Window.partitionBy("lang").orderBy("h", "t")
-    taken = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS)
-    whole: dict[str, list[tuple[int, bytes]]] = {}
-    for r in taken.collect():  # SAMPLE_ROWS slices a language
-        whole.setdefault(r["lang"], []).append((r["r"], folded(r["t"].encode())))
-    each = {name: b" ".join(t for _, t in sorted(texts)).strip() for name, texts in whole.items()}
-    return [(name, s or b" ") for name, s in sorted(each.items())]
-
-
-def identified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(id, lang, score), one row per row of docs, judged by the text alone.
-
-    labelled: rows to learn from, of which a bounded sample is (learned_samples); null languages and null or empty texts
-    teach nothing. lang is the learned language that
-    needs the fewest normalised phrases (ties: the first by name), `und` if the text is null or has no letter or nothing
-    was learnt. score is (w2 - w1) / w2 for the normalised phrases of the best and the next language, 0 for `und`, 1 if
-    only one language is known. Whole texts are parsed; repeated rows are judged alike; other columns are ignored.
-    """
-    samples = learned_samples(labelled, id_col, text, lang)
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_TOTAL characters, or 16 for each row
+    # The limit of rows is taken before the shuffle too, so a language with many rows is no hot key.
+    rows = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS)
+    so_far = F.sum(F.length("t")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    taken = rows.withColumn("so_far", so_far).where((F.col("so_far") <= SAMPLE_CHARS) | (F.col("r") == 1))
+    each = taken.groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]).alias("texts"), F.max("so_far").alias("chars")
+    )
+    each = materialize(each, "samples")
+    # A language takes at most GROUP_CHARS of its group's room, so groups by running totals hold at most two shares.
+    before = F.coalesce(F.sum("chars").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = each.select("lang", F.floor(before / (GROUP_CHARS - SAMPLE_CHARS - SAMPLE_TEXT)).alias("group"))
+    return each.join(dealt, "lang").select("lang", "texts", "group")
+
+
+def joined(rows: list) -> list[tuple[str, bytes]]:
+    """(language, folded sample) of rows of learned_samples, by name."""
+    return sorted((r["lang"], b" ".join(folded(t.encode()) for t in r["texts"]).strip() or b" ") for r in rows)
+
+
+def parsed(docs: DataFrame, samples: list[tuple[str, bytes]]) -> DataFrame:
+    """docs (id, row, text) as id, row, lang, low, second: the language of the samples with the fewest normalised phrases, their
+    number, and that of the next; nulls where the text is null or has no letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most GROUP_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(shared.value) if shared.value else None
         for b in batches:
-            for start, texts in byte_chunks(b.column(1), 24 << 20):
+            for start, texts in byte_chunks(b.column(2), 24 << 20):
                 known = [x is not None and bool(_letter.search(x.decode())) for x in texts]
-                names, scores = ["und"] * len(texts), [0.0] * len(texts)
+                names, low, second = [None] * len(texts), [None] * len(texts), [None] * len(texts)
                 if p is not None and any(known):
                     at = np.flatnonzero(known)
                     bits = p.phrases([folded(texts[i]) or b" " for i in at]) * p.weight
                     first = bits.argmin(axis=1)
-                    low = bits[np.arange(len(at)), first]
                     rest = np.sort(bits, axis=1)
                     for j, i in enumerate(at):
-                        names[i] = p.names[first[j]]
-                        scores[i] = float((rest[j, 1] - low[j]) / max(rest[j, 1], 1e-9)) if len(p.names) > 1 else 1.0
+                        names[i], low[i] = p.names[first[j]], float(rest[j, 0])
+                        second[i] = float(rest[j, 1]) if len(p.names) > 1 else None
+                own = b.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, len(texts)), pa.array(names), pa.array(scores, pa.float64())],
-                    names=["id", "lang", "score"],
+                    [own.column(0), own.column(1), pa.array(names, pa.string()), pa.array(low, pa.float64()), pa.array(second, pa.float64())],
+                    names=["id", "row", "lang", "low", "second"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, lang string, score double")
+    return docs.mapInArrow(run, "id long, row long, lang string, low double, second double")
+
+
+def identified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(id, lang, score), one row per row of docs, judged by the text alone.
+
+    labelled: rows to learn from, of which a bounded sample is (learned_samples); null languages and null or empty texts
+    teach nothing. lang is the learned language that needs the fewest normalised phrases (ties: the first by name), `und` if
+    the text is null or has no letter or nothing was learnt. score is (w2 - w1) / w2 for the normalised phrases of the best and
+    the next language, 0 for `und`, 1 if only one language is known. Whole texts are parsed; repeated rows are judged alike;
+    other columns are ignored. Every group of languages reads the documents once.
+    """
+    samples = learned_samples(labelled, id_col, text, lang)
+    samples = materialize(samples, "languages")
+    groups = samples.agg(F.coalesce(F.max("group"), F.lit(-1))).first()[0] + 1
+    of = lambda g: joined(samples.where(F.col("group") == g).collect())  # noqa: E731  GROUP_CHARS characters at most
+    score = F.when(F.col("lang").isNull(), 0.0).when(F.col("second").isNull(), 1.0).otherwise(
+        (F.col("second") - F.col("low")) / F.greatest("second", F.lit(1e-9))
+    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("long").alias("row"), F.col(text).alias("text"))
+    if groups <= 1:
+        found = parsed(rows, of(0) if groups else [])
+    else:
+        # Rows are told apart by a number, which has to be written to stay the same for all groups.
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        every = parsed(rows, of(0))
+        for g in range(1, groups):
+            every = every.unionByName(parsed(rows, of(g)))
+        # The next best of all is the second of the best's group or the best of another group.
+        two = F.array_sort(F.collect_list(F.struct("low", "lang", "second")))  # one of each group
+        best = every.groupBy("row").agg(F.first("id").alias("id"), two.alias("all"))
+        found = best.select(
+            "id", F.col("all")[0]["lang"].alias("lang"), F.col("all")[0]["low"].alias("low"),
+            F.least(F.col("all")[0]["second"], F.try_element_at("all", F.lit(2))["low"]).alias("second"),
+        )
+    return found.select("id", F.coalesce("lang", F.lit("und")).alias("lang"), score.alias("score"))

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = ngram_join.ngram_jaccard_groups(table(spark, sf_dir, "documents"))
     return members.select(
-        F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"
+        F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "n_links"
     )
 
 
@@ -167,13 +167,15 @@ links AS (
   SELECT p.a, p.b FROM pairs p JOIN sets sa ON sa.doc_id = p.a JOIN sets sb ON sb.doc_id = p.b
   WHERE 100 * p.i >= 80 * (len(sa.s) + len(sb.s) - p.i)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+degree AS (SELECT a, count(*) AS k FROM both_ways GROUP BY a),
 reach AS (
   SELECT doc_id AS n, doc_id AS m FROM documents
   UNION
   SELECT r.n, e.b FROM reach r JOIN both_ways e ON e.a = r.m)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.m) AS component_id
-FROM sets s JOIN reach r ON r.n = s.doc_id GROUP BY ALL
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.m) AS component_id, coalesce(any_value(d.k), 0) AS n_links
+FROM sets s JOIN reach r ON r.n = s.doc_id LEFT JOIN degree d ON d.a = s.doc_id GROUP BY ALL
 """
+OP1_LINKS_SQL = f"SELECT doc_id, n_links, component_id FROM ({OP1_SQL})"
 
 OP2_SQL = """
 WITH RECURSIVE v AS (
@@ -389,5 +391,6 @@ ORACLE: dict[str, str] = {
     "op10_url_filter": OP10_SQL,
 
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op1_ngram_jaccard_links": OP1_LINKS_SQL,
     "op2_embedding_near_dedup": OP2_SQL,
 }

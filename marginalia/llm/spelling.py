@@ -43,7 +43,7 @@ def counted(words: DataFrame, word: str = "word", shortest: int = 7, least: int
 def deletion_hashes(codes: np.ndarray) -> np.ndarray:
     """Hashes of a word, given by its code points, and of its distinct single deletions; equal texts have equal hashes."""
     n = len(codes)
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))  # deleting any of a run gives the same text
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))[:n]  # deleting any of a run gives the same text
     out = np.zeros(len(first) + 1, np.int64)
     for m, b in zip(MODULI, BASES, strict=True):
         power = [1] * (n + 1)

@@ -132,7 +132,7 @@ def test_the_winning_language_equals_brute_force(spark):
     learn = [(100 * k + i, " ".join(rng.choice(w) for _ in range(20)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(6)]
     tests = [" ".join(rng.choice([x for w in words.values() for x in w]) for _ in range(rng.randrange(1, 25))) for _ in range(40)] + ["KALA, mato!", "123", None]
     learned = spark.createDataFrame(learn, "doc_id long, text string, lang string")
-    samples = langid.learned_samples(learned, "doc_id", "text", "lang")
+    samples = langid.joined(langid.learned_samples(learned, "doc_id", "text", "lang").collect())
     assert [n for n, _ in samples] == list(words)
     docs = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
 
@@ -155,14 +155,37 @@ def test_the_winning_language_equals_brute_force(spark):
         assert r.lang == samples[bits.index(best)][0] and abs(r.score - (other - best) / other) < 1e-12
 
 
-def test_every_language_is_learnt_and_slices_are_bounded(spark, monkeypatch):
-    many = [(i, f"w{i % 90} " * 400, f"l{i % 90:02}") for i in range(180)] + [(0, "other text of id 0", "l00"), (7, None, "l99"), (8, "", "l98"), (None, "no id", "l97")]
-    rows = spark.createDataFrame(many, "doc_id long, text string, lang string")
-    got = langid.learned_samples(rows, "doc_id", "text", "lang")
-    assert [n for n, _ in got] == [f"l{i:02}" for i in range(90)] + ["l97"] and max(len(s) for _, s in got) <= 3 * (langid.SLICE + 1)
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 50)
-    with pytest.raises(ValueError):
-        langid.learned_samples(rows, "doc_id", "text", "lang")
+def test_every_language_is_learnt_within_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 900)
+    monkeypatch.setattr(langid, "SAMPLE_TEXT", 600)
+    monkeypatch.setattr(langid, "GROUP_CHARS", 9000)
+    many = [(i, f"w{i % 400} " * rng.randrange(1, 90), f"l{i % 400:03}") for i in range(2400)]
+    odd = [(0, "other text of id 0", "l000"), (7, None, "m1"), (8, "", "m2"), (9, "long " * 200, "m3"), (None, "no id", "m4")]
+    rows = spark.createDataFrame(many + odd, "doc_id long, text string, lang string")
+    got = langid.learned_samples(rows, "doc_id", "text", "lang").collect()
+    assert sorted(r.lang for r in got) == [f"l{i:03}" for i in range(400)] + ["m4"]
+    texts = {(t, lang) for _, t, lang in many + odd}
+    assert all((t, r.lang) in texts for r in got for t in r.texts)  # whole texts
+    size = {}
+    for r in got:
+        n = sum(map(len, r.texts))
+        assert n <= 900 + 600
+        size[r.group] = size.get(r.group, 0) + n
+    assert max(size.values()) <= 9000 and len(size) > 20
+
+
+def test_languages_in_groups_are_judged_as_in_one(spark, monkeypatch):
+    words = {f"l{k}": ["".join(rng.choice("abcdefgh"[k : k + 4]) for _ in range(5)) for _ in range(30)] for k in range(5)}
+    learned = [(i, " ".join(rng.choice(words[f"l{i % 5}"]) for _ in range(40)), f"l{i % 5}") for i in range(60)]
+    asked = [(i, " ".join(rng.choice(words[f"l{rng.randrange(5)}"]) for _ in range(k))) for i, k in enumerate([1, 2, 3, 30, 30, 300] * 4)] + [(1, None), (None, "--"), (1, "abc")]
+    learned, asked = spark.createDataFrame(learned, "doc_id long, text string, lang string"), spark.createDataFrame(asked, "doc_id long, text string")
+    one = sorted(map(tuple, langid.identified(asked, learned).collect()), key=repr)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 1500)
+    monkeypatch.setattr(langid, "SAMPLE_TEXT", 500)
+    limited = sorted(map(tuple, langid.identified(asked, learned).collect()), key=repr)
+    monkeypatch.setattr(langid, "GROUP_CHARS", 4500)
+    assert langid.learned_samples(learned, "doc_id", "text", "lang").agg({"group": "max"}).first()[0] > 0
+    assert sorted(map(tuple, langid.identified(asked, learned).collect()), key=repr) == limited and len(one) == len(limited) == 27
 
 
 @pytest.mark.parametrize(("dim", "pairs"), [(64, 6000), (768, 800)])

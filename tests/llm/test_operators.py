@@ -159,6 +159,9 @@ def test_quality_is_learnt_from_text(spark):
     held = [(i, q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.3) == (q == 1) for i, q in held]) > 0.95
     assert all(0 <= s <= 1 for s in got.values()) and got[5000] == got[5001] and len(got) == 303
+    again = spark.createDataFrame([(k, rows[k % 7][1], "x") for k in range(700)], "doc_id long, text string, score string").repartition(13)
+    same = quality.quality_scores(docs.unionByName(again.withColumn("doc_id", F.col("doc_id") + 9000)), labels, learn=quality.not_in_fold("id", 5)).collect()
+    assert len({(r.id - 9000) % 7 for r in same if (r.id or 0) >= 9000}) == 7 == len({((r.id - 9000) % 7, r.score) for r in same if (r.id or 0) >= 9000})
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
