@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,37 +12,6 @@ from pyspark.sql.types import DoubleType
 from ..functions.notation import lookup
 
 
-def surest_first(found: DataFrame, truth: DataFrame, keys: list[str], f_cols: list[str], t_cols: list[str], tol: float) -> DataFrame:
-    """(keys, f_id, t_id): found points, surest first, each take the nearest true one that is free and within tol, else null.
-
-    f_cols: id, place and confidence; t_cols: id and place. Equally sure ones go by place, then id; of two equally near true
-    ones the first is taken. A key is cut wherever its points are further than tol apart; what could compete is matched in
-    one group, so a group holds a chain of points at most tol apart. Rows without a place or confidence stay unmatched.
-    """
-    f = found.select(*keys, F.col(f_cols[0]).alias("id"), F.col(f_cols[1]).cast("double").alias("x"), F.col(f_cols[2]).cast("double").alias("sure"), F.lit(0).alias("side"))
-    t = truth.select(*keys, F.col(t_cols[0]).alias("id"), F.col(t_cols[1]).cast("double").alias("x"), F.lit(None).cast("double").alias("sure"), F.lit(1).alias("side"))
-    w = Window.partitionBy(*keys).orderBy("x")
-    both = f.unionByName(t.where("x is not null")).withColumn("__new", F.coalesce((F.col("x") - F.lag("x").over(w) > tol).cast("long"), F.lit(0)))
-    both = both.withColumn("__run", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    schema = found.select(*keys, f_cols[0]).schema.add(t_cols[0], truth.schema[t_cols[0]].dataType)
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0].sort_values(["sure", "x", "id"], ascending=[False, True, True]), rows[rows["side"] == 1].sort_values(["x", "id"])
-        at, ids = right["x"].to_numpy(), right["id"].to_numpy()
-        free, took = np.ones(len(ids), bool), []
-        for x, sure in zip(left["x"], left["sure"], strict=True):
-            off = np.where(free, np.abs(at - x), np.inf)
-            best = int(off.argmin()) if len(off) and sure == sure else -1
-            hit = best >= 0 and off[best] <= tol
-            took.append(ids[best] if hit else None)
-            if hit:
-                free[best] = False
-        out = left[keys].assign(**{f_cols[0]: left["id"], t_cols[0]: pd.array(took, dtype="Int64") if ids.dtype.kind == "i" else took})
-        return out[[*keys, f_cols[0], t_cols[0]]]
-
-    return both.drop("__new").groupBy(*keys, "__run").applyInPandas(match, schema)
-
-
 def errors_per_100(found: Column, false: Column, missed: Column) -> Column:
     """Errors per 100 true items; 0 where there are none."""
     return F.when(found + missed > 0, 100.0 * (false + missed) / (found + missed)).otherwise(0.0)

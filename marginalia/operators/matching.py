@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 
 def _binned(df: DataFrame, at: str, width: float, spread: bool) -> DataFrame:
@@ -50,47 +52,99 @@ def found_missed_extra(truth: DataFrame, found: DataFrame, keys: list[str], t_at
     )
 
 
-def mutually_best(pairs: DataFrame, keys: list[str], l_id: str, r_id: str, l_order: list[Column], r_order: list[Column]) -> DataFrame:
-    """The pairs of a one-to-one matching: again and again those are taken in which either row is the other's best left.
+def runs_within(left: DataFrame, right: DataFrame, keys: list[str], l_at: str, r_at: str, tol: float) -> DataFrame:
+    """left with `__run`: rows of a key whose places, or right's between them, are at most tol apart from one to the next share a
+    run; nothing within tol of a row is in another run."""
+    both = left.select(*keys, F.col(l_at).cast("double").alias("__x"), F.lit(0).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"))
+    both = both.unionByName(right.select(*keys, F.col(r_at).cast("double").alias("__x"), F.lit(1).alias("__side")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__x")
+    both = both.withColumn("__new", F.coalesce((F.col("__x") - F.lag("__x").over(w) > tol).cast("long"), F.lit(0)))
+    both = both.withColumn("__run", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    return both.where("__side = 0").select("__row.*", "__run")
 
-    l_order ranks a left row's pairs, r_order a right row's, least first (structs, so ties need a last unique column). If
-    both are one order of the pairs, this is the greedy matching by that order. A round is two minima and two anti joins on
-    the rows' ids, whatever the size of a key; rounds are as many as the longest chain of rows that wait for each other.
+
+#: Runs of more pairs than this are matched in rounds, others pair by pair in one stream.
+LONG_RUN = 100_000
+
+
+def greedy_pairs(pairs: DataFrame, keys: list[str], l_id: str, r_id: str, order: list[Column], run: str | None = None) -> DataFrame:
+    """The pairs of a one-to-one matching: in the order, each pair whose two rows are both still free.
+
+    order is total (its last column tells pairs apart). run names a column that splits a key: pairs that compete share a run.
+    Runs are dealt out and sorted by Spark, and a task reads its pairs in one pass, holding only the used ids of a run. Runs of
+    over LONG_RUN pairs, of which there are few, are matched in rounds instead (`mutually_best`), so that none fills a task.
     """
-    kept = pairs.columns
-    left = cut_lineage(pairs.withColumn("__l", F.struct(*l_order)).withColumn("__r", F.struct(*r_order)))
-    taken = []
+    group = [*keys, run] if run else keys
+    kept = [c for c in pairs.columns if c != run]
+    ranked = pairs.withColumn("__o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    ranked = cut_lineage(ranked.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, l_id, r_id]])))
+    sizes = cut_lineage(ranked.groupBy(*group).count().where(F.col("count") > LONG_RUN).drop("count"))
+    many = sizes.count()  # one for each LONG_RUN pairs at most
+    short = ranked.join(F.broadcast(sizes), group, "left_anti") if many else ranked
+    dealt = short.select(*group, l_id, r_id, "__o", F.struct(*kept).alias("__pair")).repartition(*group).sortWithinPartitions(*group, "__o")
+    at = {c: i for i, c in enumerate(dealt.columns)}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lefts, rights = None, set(), set()
+        for b in batches:
+            keep = []
+            for *key, x, y in zip(*(b.column(at[c]).to_pylist() for c in [*group, l_id, r_id]), strict=True):
+                if key != now:
+                    now, lefts, rights = key, set(), set()
+                keep.append(x not in lefts and y not in rights)
+                if keep[-1]:
+                    lefts.add(x)
+                    rights.add(y)
+            found = b.column(at["__pair"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found], names=["__pair"])
+
+    ship(pairs.sparkSession)
+    out = dealt.mapInArrow(fold, dealt.select("__pair").schema).select("__pair.*")
+    if many:
+        rest = ranked.join(F.broadcast(sizes), group).select(*kept, "__o")
+        out = out.unionByName(mutually_best(rest, keys, l_id, r_id).select(*kept))
+    return out
+
+
+def mutually_best(pairs: DataFrame, keys: list[str], l_id: str, r_id: str) -> DataFrame:
+    """The greedy matching by the order `__o` in rounds: those pairs are taken that are the first left of both their rows.
+
+    A round is two minima and two anti joins on the rows' ids, whatever the size of a key; rounds are as many as the longest
+    chain of rows that wait for each other.
+    """
+    left, taken = cut_lineage(pairs), []
     while not left.isEmpty():
-        best_l = left.groupBy(*keys, l_id).agg(F.min("__l").alias("__bl"))
-        best_r = left.groupBy(*keys, r_id).agg(F.min("__r").alias("__br"))
-        now = left.join(best_l, [*keys, l_id]).join(best_r, [*keys, r_id]).where((F.col("__l") == F.col("__bl")) & (F.col("__r") == F.col("__br")))
-        now = cut_lineage(now.select(*kept))
+        best_l = left.groupBy(*keys, l_id).agg(F.min("__o").alias("__bl"))
+        best_r = left.groupBy(*keys, r_id).agg(F.min("__o").alias("__br"))
+        now = left.join(best_l, [*keys, l_id]).join(best_r, [*keys, r_id]).where((F.col("__o") == F.col("__bl")) & (F.col("__o") == F.col("__br")))
+        now = cut_lineage(now.select(*pairs.columns))
         taken.append(now)
         left = left.join(now.select(*keys, l_id), [*keys, l_id], "left_anti").join(now.select(*keys, r_id), [*keys, r_id], "left_anti")
         left = cut_lineage(left)
-    if not taken:
-        return pairs.limit(0)
-    return reduce(DataFrame.unionByName, taken)
+    return reduce(DataFrame.unionByName, taken, pairs.limit(0))
 
 
 def greedy_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], l_id: str, r_id: str, l_at: str, r_at: str, tol: float) -> DataFrame:
     """(keys, l_id, r_id, distance): pairs within tol, nearest first, each row used once; ties by l_id, then r_id."""
-    pairs = within(left, right, keys, l_at, r_at, tol).select(*keys, l_id, r_id, "distance")
-    order = [F.col("distance"), F.col(l_id), F.col(r_id)]
-    return mutually_best(pairs, keys, l_id, r_id, order, order)
+    pairs = within(runs_within(left, right, keys, l_at, r_at, tol), right, keys, l_at, r_at, tol).select(*keys, "__run", l_id, r_id, "distance")
+    return greedy_pairs(pairs, keys, l_id, r_id, [F.col("distance"), F.col(l_id), F.col(r_id)], "__run")
 
 
 def surest_first(found: DataFrame, truth: DataFrame, keys: list[str], f_id: str, t_id: str, f_at: str, t_at: str, sure: str, tol: float) -> DataFrame:
-    """(keys, f_id, t_id, distance): the surest prediction first takes its nearest truth that is left within tol."""
-    pairs = within(found, truth, keys, f_at, t_at, tol).select(*keys, f_id, t_id, "distance", sure)
-    out = mutually_best(pairs, keys, f_id, t_id, [F.col("distance"), F.col(t_id)], [-F.col(sure), F.col(f_id)])
-    return out.select(*keys, f_id, t_id, "distance")
+    """(keys, f_id, t_id, distance): the surest prediction first takes its nearest truth that is left within tol.
+
+    Equally sure ones go by place, then f_id; equally near truths by place, then t_id. Rows without a place or a confidence
+    match nothing.
+    """
+    known = runs_within(found.where(F.col(sure).isNotNull() & ~F.isnan(F.col(sure).cast("double"))), truth, keys, f_at, t_at, tol)
+    pairs = within(known, truth, keys, f_at, t_at, tol).select(*keys, "__run", f_id, t_id, "distance", sure, f_at, t_at)
+    order = [-F.col(sure), F.col(f_at), F.col(f_id), F.col("distance"), F.col(t_at), F.col(t_id)]
+    return greedy_pairs(pairs, keys, f_id, t_id, order, "__run").select(*keys, f_id, t_id, "distance")
 
 
 def boxes_one_to_one(pairs: DataFrame, keys: list[str], a: str, b: str, least: float, overlap: str = "iou") -> DataFrame:
     """Pairs of boxes whose overlap is at least `least`, the largest first, each box used once; ties by a, then b."""
-    order = [-F.col(overlap), F.col(a), F.col(b)]
-    return mutually_best(pairs.where(F.col(overlap) >= least), keys, a, b, order, order)
+    return greedy_pairs(pairs.where(F.col(overlap) >= least), keys, a, b, [-F.col(overlap), F.col(a), F.col(b)])
 
 
 def suppressed(rows: DataFrame, keys: list[str], row_id: str, at: str, strength: str, apart: float) -> DataFrame:

@@ -39,6 +39,25 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def with_next(rows: DataFrame, at: str, value: str, name: str, width: int = 64) -> DataFrame:
+    """rows with `name`, the value of the next row by the whole number `at` in the whole table.
+
+    A window looks within a block of `width` numbers; a block's last row takes the first value of the next block that has rows,
+    from one small row per block."""
+    block = F.floor(F.col(at) / width)
+    own = rows.withColumn("__b", block)
+    w = Window.partitionBy("__b").orderBy(at)
+    first = own.groupBy("__b").agg(F.min_by(value, at).alias("__first"))
+    # Which block comes next: a window over groups of blocks, and over the groups' own first blocks.
+    at_most = F.floor(F.col("__b") / 4096)
+    ids = first.select("__b", at_most.alias("__g"))
+    edge = ids.groupBy("__g").agg(F.min("__b").alias("__least")).withColumn("__after", F.lead("__least").over(Window.partitionBy(F.lit(0)).orderBy("__g")))
+    to = ids.withColumn("__to", F.lead("__b").over(Window.partitionBy("__g").orderBy("__b"))).join(edge.select("__g", "__after"), "__g")
+    to = to.select("__b", F.coalesce("__to", "__after").alias("__to")).join(first.select(F.col("__b").alias("__to"), "__first"), "__to")
+    out = own.withColumn("__next", F.lead(value).over(w)).withColumn("__last", F.lead(at).over(w).isNull()).join(to.select("__b", "__first"), "__b", "left")
+    return out.withColumn(name, F.when(F.col("__last"), F.col("__first")).otherwise(F.col("__next"))).drop("__b", "__next", "__last", "__first")
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log: t and t_end in whole microseconds, kind and place."""
     e = read(spark, sf_dir, "events")
@@ -581,21 +600,21 @@ def banded_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), s AS (SELECT vec_id, list_transform(a, lambda x: CAST(round(x * 10) AS BIGINT)) AS a FROM e),
-  p AS (SELECT vec_id, a, lead(a) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS b FROM s),
+  p AS (SELECT vec_id, a, lead(a) OVER (ORDER BY vec_id) AS b FROM s),
   d AS (SELECT vec_id, list_distinct(list_transform(range(1, len(a) + 1), lambda i: b[i] - a[i])) AS k FROM p WHERE b IS NOT NULL)
   SELECT vec_id, CASE WHEN len(k) = 1 THEN k[1] END AS shift FROM d""")
 def step_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 10).cast("long")).alias("a"))
-    e = e.withColumn("b", F.lead("a").over(Window.partitionBy(F.floor(F.col("vec_id") / 64)).orderBy("vec_id"))).where("b is not null")
+    e = with_next(e, "vec_id", "a", "b").where("b is not null")
     return e.select("vec_id", evaluation.step_shift(F.col("a"), F.col("b")).alias("shift"))
 
 
-@query("""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS b FROM embeddings),
+@query("""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (ORDER BY vec_id) AS b FROM embeddings),
   u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM p WHERE b IS NOT NULL)
   SELECT vec_id, round(corr(x, y), 6) AS r FROM u GROUP BY vec_id""")
 def twin_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    e = e.withColumn("b", F.lead("a").over(Window.partitionBy(F.floor(F.col("vec_id") / 64)).orderBy("vec_id"))).where("b is not null")
+    e = with_next(e, "vec_id", "a", "b").where("b is not null")
     pairs = e.select("vec_id", F.explode(F.arrays_zip("a", "b")).alias("p"))
     return pairs.groupBy("vec_id").agg(F.round(F.corr("p.a", "p.b"), 6).alias("r"))
 
@@ -780,13 +799,13 @@ def claim_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT user_id, ts, event_id, event_type AS v, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
-  s AS (SELECT user_id, array_to_string(list(v ORDER BY ts, event_id)[1:3], ' ') AS sequence FROM v WHERE was IS DISTINCT FROM v GROUP BY user_id),
+  s AS (SELECT user_id, array_to_string(list(v ORDER BY ts, event_id), ' ') AS sequence FROM v WHERE was IS DISTINCT FROM v GROUP BY user_id),
   c AS (SELECT user_id % 4 AS part, sequence, count(*) AS n FROM s GROUP BY ALL)
   SELECT part, row_number() OVER (PARTITION BY part ORDER BY n DESC, sequence) AS rank, sequence, n FROM c QUALIFY rank <= 12""")
 def top_merged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How users begin: their first three kinds of event, repeats merged."""
+    """The most frequent sequences of kinds of event of the users of a part, repeats merged."""
     s = comparison.merged_sequence(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
-    begun = s.select((F.col("user_id") % 4).alias("part"), F.slice("sequence", 1, 3).alias("sequence"))
+    begun = s.select((F.col("user_id") % 4).alias("part"), "sequence")
     return comparison.top_sequences(begun, ["part"], 12).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -806,13 +825,21 @@ def methods_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.incomplete(done, done.select("method").distinct(), done, ["page"], "method")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) // 86400000000 AS x, o_totalprice AS sure FROM orders),
+  p AS (SELECT f.o_custkey, f.o_orderkey AS f_id, t.o_orderkey AS t_id, abs(f.x - t.x) AS distance,
+      row_number() OVER (PARTITION BY f.o_custkey ORDER BY f.sure DESC, f.x, f.o_orderkey, abs(f.x - t.x), t.x, t.o_orderkey) AS k
+    FROM o f JOIN o t ON f.o_custkey = t.o_custkey AND f.o_orderkey % 3 > 0 AND t.o_orderkey % 3 = 0 AND abs(f.x - t.x) <= 60),
+  g AS (SELECT *, true AS took, [f_id] AS fs, [t_id] AS ts FROM p WHERE k = 1
+    UNION ALL SELECT p.*, NOT (list_contains(fs, p.f_id) OR list_contains(ts, p.t_id)),
+      CASE WHEN list_contains(fs, p.f_id) OR list_contains(ts, p.t_id) THEN fs ELSE list_append(fs, p.f_id) END,
+      CASE WHEN list_contains(fs, p.f_id) OR list_contains(ts, p.t_id) THEN ts ELSE list_append(ts, p.t_id) END FROM g JOIN p ON p.o_custkey = g.o_custkey AND p.k = g.k + 1)
+  SELECT o_custkey, f_id, t_id, CAST(distance AS DOUBLE) AS distance FROM g WHERE took""")
 def surest_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as found points on the days, every third as a true one."""
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.unix_date(F.col("o_orderdate").cast("date"))).alias("x"), F.col("o_totalprice").alias("sure"))
-    f = o.where("o_orderkey % 3 > 0").withColumnRenamed("o_orderkey", "f_id")
-    t = o.where("o_orderkey % 3 = 0").withColumnRenamed("o_orderkey", "t_id")
-    return comparison.surest_first(f, t, ["o_custkey"], ["f_id", "x", "sure"], ["t_id", "x"], 60.0)
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("x"), F.col("o_totalprice").alias("sure"))
+    f = o.where("o_orderkey % 3 > 0").select("o_custkey", F.col("o_orderkey").alias("f_id"), F.col("x").alias("f_at"), "sure")
+    t = o.where("o_orderkey % 3 = 0").select("o_custkey", F.col("o_orderkey").alias("t_id"), F.col("x").alias("t_at"))
+    return matching.surest_first(f, t, ["o_custkey"], "f_id", "t_id", "f_at", "t_at", "sure", 60.0)
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey + 1 BETWEEN 1 AND 10 THEN ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][n_nationkey + 1] ELSE CAST(n_nationkey + 1 AS VARCHAR) END AS movement FROM nation""")
