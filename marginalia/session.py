@@ -12,11 +12,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch of rows between the JVM and a Python worker, unless the session sets others: both sides hold a few.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the context's Python files, once, so that executors need no shared installation."""
+    """Add the package to the context's Python files, once, so that executors need no shared installation; bound the batches that
+    workers get, where the session leaves that to Spark's default."""
     sc = spark.sparkContext
+    if sc.getConf().get(BATCH_BYTES[0]) is None:
+        spark.conf.set(*BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     home = Path(__file__).resolve().parent
