@@ -38,6 +38,8 @@ from .components import forest, labelled
 TABLE_BITS = 20
 #: Entries of so many sets at most are joined pair by pair; sets in a block of a cell; columns of an incidence matrix.
 SMALL, BLOCK, COLUMNS = 32, 512, 2048
+#: Shingles in a block of a cell, about: long sets make smaller blocks.
+VALUES = 1 << 19
 #: More bands than sets of 2**31 shingles need at the least useful similarity steps (1.25 ** 97 > 2 ** 31).
 LAST_BAND = 100
 #: So many document ids at most are broadcast (some MB); more are joined by a shuffle of the texts.
@@ -286,15 +288,17 @@ def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
 def dealt_blocks(cells: DataFrame, num: int, den: int) -> DataFrame:
     """cells with lo, hi and side: a row for each pair of blocks that a set is compared in; side is its own block.
 
-    A cell of up to BLOCK sets is one block. The sets of a larger one are dealt into bands of size, a factor den / num wide,
-    and each band into blocks by a hash: partners are at most one band apart, so other pairs of bands never meet.
+    A cell of up to BLOCK sets with up to VALUES shingles is one block. The sets of a larger one are dealt into bands of size, a
+    factor den / num wide, and each band into blocks by a hash: partners are at most one band apart, so other pairs of bands
+    never meet.
     """
     band_of = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("long")
     banded = cells.withColumn("band", band_of)
-    sizes = banded.groupBy("cell", "band").agg(F.count("*").alias("m"))
-    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))))  # LAST_BAND at most
-    of_cell = sizes.groupBy("cell").agg(F.sum("m").alias("rows"), blocks.alias("blocks"))
-    large = of_cell.where(F.col("rows") > BLOCK)
+    sizes = banded.groupBy("cell", "band").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("values"))
+    count = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("values") / VALUES)).cast("int")
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", count.alias("k"))))  # LAST_BAND at most
+    of_cell = sizes.groupBy("cell").agg(F.sum("m").alias("rows"), F.sum("values").alias("values"), blocks.alias("blocks"))
+    large = of_cell.where((F.col("rows") > BLOCK) | (F.col("values") > VALUES)).drop("values")
     known = with_unique(banded, large, "cell", cells.count(), "left")
     in_band = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
     code = lambda b, k: b * (1 << 32) + k
