@@ -1,0 +1,450 @@
+"""Pairing a reading's measures with an encoding's bars: measures that fit bar boxes by their lengths, the alignment of whole
+parts with joins and splits, and the passes over its path.
+
+A part's rows are brought together by one shuffle and sort; a task holds one part at a time, and the table of costs in bands of
+NumPy rows. What looks at neighbouring steps of a path is DataFrame work again.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from ..session import cut_lineage, ship
+from .alignment import edit_distance
+
+#: Ticks of a whole note here: a 64th with three dots is whole.
+WHOLE = 2048
+#: Lengths of note values as shares of 64 to a whole note.
+SIXTY_FOURTHS = {"breve": 128, "whole": 64, "half": 32, "quarter": 16, "8th": 8, "16th": 4, "32nd": 2, "64th": 1}
+#: What the steps of the alignment cost besides unlikeness, how far it strays from the diagonal, the bars that one
+#: rest may stand for, how unlike a bar two pieces may be, how unlike a cut's halves may be, and what share of a bar is a part.
+COST = {"split": 0.2, "pieces": 0.6, "rests": 0.1, "two": 0.6, "extra": 1.0, "missed": 1.0}
+BAND, MAX_REST_RUN, PIECES_LIKE, BREAK_FIT, RUN_ON = 120, 40, 0.25, 0.5, 0.75
+TOKEN = "struct<kind:string,dur:string,dots:int,grace:boolean,step:int>"
+
+
+# -- parts, one at a time
+
+
+def each_part(rows: DataFrame, keys: list[str], order: list[str], made: StructType, work: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
+    """work's rows for each key: keys are dealt by a shuffle and sorted by `order`; work gets the rows of a key as dicts and yields
+    tuples of the columns after the keys. A task holds the rows of one key."""
+    types = [to_arrow_type(f.dataType) for f in made]
+    dealt = rows.select(*keys, *[c for c in rows.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+
+        def batch() -> pa.RecordBatch:
+            cols = zip(*out, strict=True) if out else [[] for _ in types]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=made.names)
+
+        for b in batches:
+            for r in b.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if key != now:
+                    out += [(*now, *x) for x in work(held)] if held else []
+                    now, held = key, []
+                    if len(out) > 5000:
+                        yield batch()
+                        out.clear()
+                held.append(r)
+        out += [(*now, *x) for x in work(held)] if held else []
+        yield batch()
+
+    ship(rows.sparkSession)
+    return dealt.mapInArrow(run, made)
+
+
+def reconcile(measures: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, j, way, first, last, piece): which measures of a reading each bar box holds, [first, last), by lengths alone.
+
+    measures: keys, i (0, 1, ...), ticks and rest (one whole-bar rest). boxes: keys, j (0, 1, ...), ticks (its length), bar (a
+    bar's), exact (its length is known), count (bars it stands for) and joins_next (its bar goes on in the next box). Ways: one;
+    merge (a bar line too many: two measures, one box); split (one too few: a measure for two boxes, cut at the first one's
+    length, piece 0 and 1); whole (a split bar read whole: the first box has the measure, the second nothing); rests (as many
+    bar rests for a rest of many bars). Measures may be dropped, those after the last box nearly free. The cheapest way
+    wins; of equal ones that which takes measures, then boxes, later. Parts where no way gives every box a measure have no
+    rows; neither have parts without boxes. Cells of the table are visited by cost, so a part that fits is nearly linear.
+    """
+    side = lambda df, at, n: df.select(*keys, F.lit(n).alias("side"), F.col(at).cast("long").alias("at"), F.struct(*[c for c in df.columns if c not in keys]).alias(f"x{n}"))
+    both = side(measures, "i", 0).unionByName(side(boxes, "j", 1), allowMissingColumns=True)
+    made = measures.select(*keys).schema
+    for name, kind in (("j", "long"), ("way", "string"), ("first", "long"), ("last", "long"), ("piece", "integer")):
+        made = made.add(name, kind)
+    return each_part(both, keys, ["side", "at"], made, lambda rows: _reconciled([r["x0"] for r in rows if r["x0"]], [r["x1"] for r in rows if r["x1"]]))
+
+
+def _ways(i: int, j: int, z: list[dict], b: list[dict]) -> Iterator[tuple[str, int, int, int]]:
+    """(way, measures, boxes, cost in twentieths) of the steps from measure i and box j."""
+    more, left = len(z) - i, len(b) - j
+    fits = lambda length: length == b[j]["ticks"] if b[j]["exact"] else 0 < length < b[j]["bar"]
+    if more:
+        yield "skip", 1, 0, 20
+    if more and left:
+        rest = z[i]["rest"]
+        yield "one", 1, 1, 0 if (rest and b[j]["count"] == 1) or fits(z[i]["ticks"]) else 20
+        if b[j]["joins_next"] and left > 1:
+            yield "whole", 1, 2, 0 if rest or z[i]["ticks"] == b[j]["bar"] else 40
+        many = b[j]["count"]
+        if 1 < many <= more and all(m["rest"] for m in z[i : i + many]):
+            yield "rests", many, 1, 0
+    if more > 1 and left:
+        pair = z[i]["ticks"] + z[i + 1]["ticks"]
+        yield "merge", 2, 1, 10 if (z[i]["rest"] and b[j]["count"] == 1) or fits(pair) else 40
+    if more and left > 1 and b[j]["exact"]:
+        own, then = b[j]["ticks"], b[j + 1]
+        good = z[i]["ticks"] == own + then["ticks"] if then["exact"] else own < z[i]["ticks"] < own + then["bar"]
+        yield "split", 1, 2, 10 if good else 40
+
+
+def _reconciled(z: list[dict], b: list[dict]) -> Iterator[tuple]:
+    cost, back, done = {(0, 0): 0}, {}, set()
+    heap, best = [(0, 0, 0)], None
+    while heap:
+        c, i, j = heapq.heappop(heap)
+        if best is not None and c > best[0]:
+            break
+        if (i, j) in done:
+            continue
+        done.add((i, j))
+        if j == len(b):
+            end = (c + len(z) - i, i)
+            best = end if best is None else min(best, end)
+        for n, (way, di, dj, k) in enumerate(_ways(i, j, z, b)):
+            to, new = (i + di, j + dj), (c + k, i, j, n, way)
+            if to not in cost or new[:4] < (cost[to], *back[to][:3]):
+                if to not in cost or new[0] < cost[to]:
+                    heapq.heappush(heap, (c + k, *to))
+                cost[to], back[to] = c + k, new[1:]
+    if best is None or not b:
+        return
+    at, out = (best[1], len(b)), []
+    while at != (0, 0):
+        i, j, _, way = back[at]
+        if way == "whole":
+            out += [(j + 1, way, i + 1, i + 1, None), (j, way, i, i + 1, None)]
+        elif way == "split":
+            out += [(j + 1, way, i, i + 1, 1), (j, way, i, i + 1, 0)]
+        elif way != "skip":
+            out.append((j, way, i, at[0], None))
+        at = (i, j)
+    yield from reversed(out)
+
+
+# -- measures as they are compared
+
+
+def tokens(events: Column) -> Column:
+    """Tokens of a measure's events (structs of kind, dur, dots, grace, bar_rest and step, the diatonic number or null): a rest
+    that fills the bar has the length `bar`; step is counted from the note before."""
+    start = F.struct(F.array().cast(f"array<{TOKEN}>").alias("out"), F.lit(None).cast("int").alias("last"))
+
+    def add(s: Column, e: Column) -> Column:
+        fills = (e["kind"] == "rest") & (F.coalesce(e["bar_rest"], F.lit(False)) | F.coalesce(e["dur"].isin("whole", "breve", "bar"), F.lit(False)))
+        token = F.struct(
+            e["kind"].alias("kind"), F.when(fills, "bar").otherwise(e["dur"]).alias("dur"), F.when(fills, 0).otherwise(e["dots"]).cast("int").alias("dots"),
+            e["grace"].alias("grace"), (e["step"] - s["last"]).cast("int").alias("step"),
+        )
+        return F.struct(F.concat(s["out"], F.array(token)).alias("out"), F.coalesce(e["step"], s["last"]).cast("int").alias("last"))
+
+    return F.aggregate(events, start, add, lambda s: s["out"])
+
+
+def is_rest_bar(toks: Column) -> Column:
+    """Whether a measure is rests only, one of them as long as the bar."""
+    return (F.size(toks) > 0) & F.forall(toks, lambda t: t["kind"] == "rest") & F.exists(toks, lambda t: t["dur"] == "bar")
+
+
+def rough_length(toks: Column) -> Column:
+    """Ticks of a measure's events one after another, grace notes and unknown lengths left out."""
+    units = F.create_map(*[F.lit(x) for pair in SIXTY_FOURTHS.items() for x in pair])
+    of = lambda t: F.coalesce(units[t["dur"]], F.lit(0)) * (WHOLE // 64) * (2 - F.pow(F.lit(0.5), t["dots"]))
+    return F.aggregate(toks, F.lit(0.0), lambda a, t: a + F.when(t["grace"], 0.0).otherwise(of(t))).cast("long")
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """0 (alike) to 1: edit distance over the longer length, a substitution half if the rhythm or the step agrees."""
+    rhythm = lambda t: F.struct(t["kind"], t["dur"], t["dots"], t["grace"])
+
+    def cost(x: Column, y: Column) -> Column:
+        same, step = rhythm(x).eqNullSafe(rhythm(y)), x["step"].eqNullSafe(y["step"])
+        return F.when(same & step, 0.0).when(same | step, 0.5).otherwise(1.0)
+
+    longer = F.greatest(F.size(a), F.size(b))
+    return F.when(longer > 0, edit_distance(a, b, cost) / longer).otherwise(0.0)
+
+
+# -- the alignment of a part
+
+
+class _Coded:
+    """Measures of a part as numbers: rhythms and steps padded to one width, for comparing many at once."""
+
+    def __init__(self, measures: list[list[dict]], numbers: dict):
+        code = lambda x: numbers.setdefault(x, len(numbers) + 1)  # noqa: E731  0 is the padding
+        self.rhythm = [[code(("r", t["kind"], t["dur"], t["dots"], t["grace"])) for t in m] for m in measures]
+        self.step = [[code(("s", t["step"])) for t in m] for m in measures]
+        self.size = np.array([len(m) for m in measures], np.int64)
+        self.rest = np.array([bool(m) and all(t["kind"] == "rest" for t in m) and any(t["dur"] == "bar" for t in m) for m in measures], bool)
+        worth = lambda t: SIXTY_FOURTHS.get(t["dur"], 0) * (WHOLE // 64) * (2 - 0.5 ** (t["dots"] or 0)) if not t["grace"] else 0
+        self.length = np.array([int(sum(map(worth, m))) for m in measures], np.int64)
+
+    def table(self, *others: _Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rhythms, steps and sizes of each measure joined with those of the others at its place."""
+        parts = [self, *others]
+        n = [sum(len(p.rhythm[k]) for p in parts) for k in range(len(self.rhythm))]
+        r, s = np.zeros((2, len(n), max(n, default=0)), np.int64)
+        for k in range(len(n)):
+            r[k, : n[k]] = [x for p in parts for x in p.rhythm[k]]
+            s[k, : n[k]] = [x for p in parts for x in p.step[k]]
+        return r, s, np.array(n, np.int64)
+
+
+def _unlikes(rhythm: list[int], step: list[int], r: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """unlike() of one measure and each row of (r, s, size): the tables of all grow together, a row for each token."""
+    steps = np.arange(r.shape[1] + 1, dtype=np.float64)
+    row = np.tile(steps, (len(r), 1))
+    for k, (x, y) in enumerate(zip(rhythm, step, strict=True)):
+        across = row[:, :-1] + 1 - 0.5 * (r == x) - 0.5 * (s == y)
+        best = np.concatenate([np.full((len(r), 1), k + 1.0), np.minimum(row[:, 1:] + 1, across)], axis=1)
+        row = np.minimum.accumulate(best - steps, axis=1) + steps  # insertions; halves are exact
+    longer = np.maximum(size, len(rhythm))
+    return row[np.arange(len(r)), size] / np.maximum(longer, 1)
+
+
+OPS = ("one", "two", "join", "rests", "split", "extra", "missed")
+
+
+def _aligned(reading: list[dict], bars: list[dict], band: int) -> Iterator[tuple]:
+    """(place, op, first, last, bar_first, bar_last) of the cheapest path, as in align_bars."""
+    n, m = len(reading), len(bars)
+    numbers: dict = {}
+    z, e = (_Coded([x["tokens"] or [] for x in rows], numbers) for rows in (reading, bars))
+    follow = _Coded([x["tokens"] or [] for x in bars[1:]] + [[]], numbers)
+    alone, both = e.table(), e.table(follow)
+    other = _Coded([x["alt"] if x["alt"] is not None else x["tokens"] or [] for x in bars], numbers).table() if any(x["alt"] is not None for x in bars) else None
+    free_z, half = np.array([x["ends_staff"] for x in reading], bool), np.array([x["half"] for x in bars], bool)
+    joins, span = np.array([x["joins"] for x in bars], bool), np.array([x["span"] for x in bars], np.int64)
+    rests_from, z_rests = np.zeros(m + 1, np.int64), np.zeros(n + 1, np.int64)
+    for k in range(m - 1, -1, -1):
+        rests_from[k] = rests_from[k + 1] + 1 if e.rest[k] else 0
+    for k in range(n - 1, -1, -1):
+        z_rests[k] = z_rests[k + 1] + 1 if z.rest[k] else 0
+    band = max(band, -(-m // max(n, 1)))
+    low = [max(0, int(i * m / max(n, 1)) - band) for i in range(n + 1)]
+    high = [min(m, int(i * m / max(n, 1)) + band) for i in range(n + 1)]
+    cost: dict[int, np.ndarray] = {}
+    back: list[np.ndarray | None] = [None] * (n + 1)
+
+    def rows_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in cost:
+            cost[i], back[i] = np.full(high[i] - low[i] + 1, np.inf), np.zeros((high[i] - low[i] + 1, 3), np.int16)
+        return cost[i], back[i]
+
+    def near(rhythm: list[int], step: list[int], a: int, b: int) -> np.ndarray:
+        d = _unlikes(rhythm, step, *(x[a:b] for x in alone))
+        return d if other is None else np.minimum(d, _unlikes(rhythm, step, *(x[a:b] for x in other)))
+
+    def go(i: int, j: np.ndarray, to: int, dj: int, new: np.ndarray, op: str) -> None:
+        """Steps from row i, bars j, to row `to`, dj bars on."""
+        if to > n or not len(j):
+            return
+        c, p = rows_of(to)
+        at = j + dj - low[to]
+        ok = (at >= 0) & (at < len(c)) & (j + dj <= m)
+        at, new = at[ok], new[ok]
+        better = new < c[at]
+        c[at[better]] = new[better]
+        p[at[better]] = (OPS.index(op) + 1, to - i, dj)
+
+    rows_of(0)[0][0 - low[0]] = 0.0
+    for i in range(n + 1):
+        c, p = rows_of(i)
+        for k in range(1, len(c)):
+            if c[k - 1] + COST["missed"] < c[k]:
+                c[k], p[k] = c[k - 1] + COST["missed"], (OPS.index("missed") + 1, 0, 1)
+        j = low[i] + np.flatnonzero(np.isfinite(c))
+        own = c[j - low[i]]
+        if i < n:
+            at, own_at = j[j < m], own[j < m]
+            if len(at):
+                a, b = int(at[0]), int(at[-1]) + 1
+                rhythm, step = z.rhythm[i], z.step[i]
+                # Of equal costs the bar that comes first counts, then the order of OPS: the longest steps go first.
+                if z.rest[i]:
+                    for k in range(int(min(rests_from[a:b].max(), MAX_REST_RUN)), 2, -1):
+                        fit = rests_from[at] >= k
+                        go(i, at[fit], i + 1, k, own_at[fit] + COST["rests"], "rests")
+                fit = at + 1 < m
+                d = _unlikes(rhythm, step, *(x[a:b] for x in both))[at - a]
+                for op, which in (("join", joins[at]), ("two", ~joins[at])):
+                    go(i, at[fit & which], i + 1, 2, (own_at + d + COST["split" if op == "join" else "two"])[fit & which], op)
+                if z.rest[i]:
+                    fit = rests_from[at] >= 2
+                    go(i, at[fit], i + 1, 2, own_at[fit] + COST["rests"], "rests")
+                go(i, at, i + 1, 1, own_at + near(rhythm, step, a, b)[at - a], "one")
+                for k in range(2, int(min(span[a:b].max(), z_rests[i])) + 1):
+                    fit = e.rest[at] & (span[at] >= k)
+                    go(i, at[fit], i + k, 1, own_at[fit] + COST["rests"], "rests")
+                if i + 1 < n and not (z.rest[i] or z.rest[i + 1]):
+                    free = free_z[i] | half[at]
+                    first = (z.length[i] > 0) & ((z.length[i] < e.length[at]) | (half[at] & (z.length[i] == e.length[at])))
+                    fit = first & (z.length[i + 1] > 0) & (z.length[i + 1] < e.length[at]) & (free | (z.length[i] + z.length[i + 1] == e.length[at]))
+                    if fit.any():
+                        d = near(rhythm + z.rhythm[i + 1], step + z.step[i + 1], a, b)[at - a]
+                        fit &= free | (d <= PIECES_LIKE)
+                        go(i, at[fit], i + 2, 1, (own_at + d + np.where(free, COST["split"], COST["pieces"]))[fit], "split")
+            go(i, j, i + 1, 0, own + COST["extra"], "extra")
+        del cost[i]
+    out, i, k = [], n, m
+    while i or k:
+        op, di, dj = (int(x) for x in back[i][k - low[i]])
+        out.append((OPS[op - 1], i - di, i, k - dj, k))
+        i, k = i - di, k - dj
+    for place, step in enumerate(reversed(out)):
+        yield (place, *step)
+
+
+def align_bars(reading: DataFrame, bars: DataFrame, keys: list[str], band: int = BAND) -> DataFrame:
+    """(keys, place, op, first, last, bar_first, bar_last): the cheapest alignment of a part's measures with its bars, in order;
+    ranges are half open, of i and of j.
+
+    reading: keys, i (0, 1, ...), tokens and ends_staff. bars: keys, j (0, 1, ...), tokens, alt (another form of the bar, or
+    null: as like as the liker), span (bars that a rest stands for), half (a repeat splits it) and joins (it and the next are one
+    bar). Steps: one; two (a measure holds two bars), join where they are one bar; rests (a rest of many bars as many, or many
+    bar rests as one); split (two measures of one bar: freely where a staff ends or a repeat splits, else if their lengths add
+    up to the bar's and they are much like it; neither fills the bar alone); extra and missed. One costs the unlikeness, the
+    others a fixed price more. The path stays within `band` of the straight line. Parts with one side only have extras or
+    misses alone.
+    """
+    z = reading.select(*keys, F.lit(0).alias("side"), F.col("i").cast("long").alias("at"), F.struct("tokens", "ends_staff").alias("z"))
+    e = bars.select(*keys, F.lit(1).alias("side"), F.col("j").cast("long").alias("at"), F.struct("tokens", "alt", "span", "half", "joins").alias("e"))
+    made = reading.select(*keys).schema.add("place", "long").add("op", "string")
+    for name in ("first", "last", "bar_first", "bar_last"):
+        made = made.add(name, "long")
+    both = z.unionByName(e, allowMissingColumns=True)
+    return each_part(both, keys, ["side", "at"], made, lambda rows: _aligned([r["z"] for r in rows if r["z"]], [r["e"] for r in rows if r["e"]], band))
+
+
+# -- passes over a path
+
+
+def break_cuts(cases: DataFrame, case: list[str]) -> DataFrame:
+    """(case, cut, fit): where a bar that two pieces share is cut: the onset whose halves are most like the pieces, on average,
+    the first of several; no row where none is within BREAK_FIT.
+
+    cases: case (its key), before and after (tokens of the two pieces; before may be null: the second counts alone) and events
+    (the bar's, as for tokens(), with onset). A grace note goes with the note it leads into.
+    """
+    onsets = F.array_sort(F.array_distinct(F.transform(F.filter("events", lambda e: ~e["grace"]), lambda e: e["onset"])))
+    known = F.forall("events", lambda e: e["onset"].isNotNull()) & (F.size("events") > 0)
+    later = F.array_remove(onsets, F.array_min(F.transform("events", lambda e: e["onset"])))
+    tried = cases.where(known).select(*case, "before", "after", "events", F.explode(later).alias("cut"))
+    half = lambda keep: tokens(F.filter("events", keep))
+    second = unlike(F.col("after"), half(lambda e: e["onset"] >= F.col("cut")))
+    first = unlike(F.col("before"), half(lambda e: e["onset"] < F.col("cut")))
+    fit = F.round(F.when(F.col("before").isNull(), second).otherwise((first + second) / 2), 3)
+    best = tried.withColumn("fit", fit).groupBy(*case).agg(F.min(F.struct("fit", "cut")).alias("b"))
+    return best.where(F.col("b.fit") <= BREAK_FIT).select(*case, "b.cut", "b.fit")
+
+
+def recut(path: DataFrame, reading: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
+    """path (of align_bars) where a bar that a line break splits was paired whole with the measure on one side and the measure on
+    the other left over: the two steps become one split.
+
+    reading: keys, i, tokens, ends_staff and staff; bars: keys, j, tokens, events, half and held (how many bars it is). Done where
+    break_cuts finds a cut, neither measure is a rest, the left-over measure's staff has another paired measure, and the
+    paired measure is more like its piece than like the bar. place keeps its order, with gaps.
+    """
+    w = Window.partitionBy(*keys).orderBy("place")
+    of = lambda c: F.lead(c).over(w).alias(f"next_{c}")
+    steps = path.select("*", of("op"), of("first"), of("last"), of("bar_first"), of("place"))
+    ops = F.array_sort(F.array("op", "next_op")) == F.array(F.lit("extra"), F.lit("one"))
+    near = steps.where(ops & (F.col("last") == F.col("first") + 1) & (F.col("next_last") == F.col("next_first") + 1) & (F.col("next_first") == F.col("last")))
+    near = near.select(*keys, "place", "next_place", F.col("op").alias("step"), F.col("first").alias("i"), F.when(F.col("op") == "one", F.col("bar_first")).otherwise(F.col("next_bar_first")).alias("j"))
+    z = reading.select(*keys, "i", "tokens", "ends_staff", "staff")
+    paired = path.where("op <> 'extra'").select(*keys, F.explode(F.sequence("first", F.greatest("first", F.col("last") - 1))).alias("i"), "first", "last").where("i < last")
+    paired = paired.join(z, [*keys, "i"]).select(*keys, "staff").distinct().withColumn("paired", F.lit(True))
+    both = near.join(z.where("ends_staff").select(*keys, "i", F.col("tokens").alias("before"), F.col("staff").alias("staff_a")), [*keys, "i"])
+    both = both.join(z.select(*keys, (F.col("i") - 1).alias("i"), F.col("tokens").alias("after"), F.col("staff").alias("staff_b")), [*keys, "i"])
+    both = both.withColumn("staff", F.when(F.col("step") == "extra", F.col("staff_a")).otherwise(F.col("staff_b"))).join(paired, [*keys, "staff"])
+    both = both.join(bars.where(~F.col("half") & (F.col("held") == 1)).select(*keys, "j", F.col("tokens").alias("bar"), "events"), [*keys, "j"])
+    both = cut_lineage(both.where(~(is_rest_bar(F.col("before")) | is_rest_bar(F.col("after")))), "recut")
+    cuts = both.join(break_cuts(both, [*keys, "place"]), [*keys, "place"])
+    one_first = F.col("step") == "one"
+    piece = tokens(F.filter("events", lambda e: F.when(one_first, e["onset"] < F.col("cut")).otherwise(e["onset"] >= F.col("cut"))))
+    one = F.when(one_first, F.col("before")).otherwise(F.col("after"))
+    good = cuts.where(unlike(one, piece) < unlike(one, F.col("bar"))).select(*keys, "place", "next_place", "j")
+    # Of cuts that share a step the first is made, as a pass in order makes it.
+    prior = F.lag("next_place").over(w)
+    good = good.withColumn("new", F.when(prior == F.col("place"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    turn = F.row_number().over(Window.partitionBy(*keys, "run").orderBy("place"))
+    good = cut_lineage(good.withColumn("turn", turn).where("turn % 2 = 1").select(*keys, "place", "next_place", F.col("j").alias("cut_j")), "recut")
+    kept = path.join(good.select(*keys, F.col("next_place").alias("place")), [*keys, "place"], "left_anti").join(good, [*keys, "place"], "left")
+    cut = F.col("cut_j").isNotNull()
+    return kept.select(
+        *keys, "place", F.when(cut, "split").otherwise(F.col("op")).alias("op"), "first", F.when(cut, F.col("first") + 2).otherwise(F.col("last")).alias("last"),
+        F.when(cut, F.col("cut_j")).otherwise(F.col("bar_first")).alias("bar_first"), F.when(cut, F.col("cut_j") + 1).otherwise(F.col("bar_last")).alias("bar_last"),
+    )
+
+
+def run_ons(path: DataFrame, reading: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
+    """path with `cut` and `fit`: where a staff's first measure is only the end of its bar, as the reading has no measure for the
+    bar's first piece, its step becomes `tail`, cut where break_cuts finds the second part most like it.
+
+    reading as for recut, and runs_on (the staff's music goes on after its last bar line); bars as for recut, and movement. Done
+    where a staff's last and the next one's first measure are each paired with one whole bar, one after the other in a
+    movement, the last one reads at least RUN_ON of its bar's length and the first one less of its own.
+    """
+    one = path.where("op = 'one'").select(*keys, "place", F.col("first").alias("i"), F.col("bar_first").alias("j"))
+    z = one.join(reading.select(*keys, "i", "tokens", "ends_staff", "runs_on"), [*keys, "i"])
+    z = z.join(bars.select(*keys, "j", F.col("tokens").alias("bar"), "events", "half", "held", "movement"), [*keys, "j"])
+    a = z.where(F.col("ends_staff") & F.col("runs_on") & (F.col("held") == 1) & (rough_length(F.col("tokens")) >= RUN_ON * rough_length(F.col("bar"))))
+    a = a.select(*keys, (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "movement")
+    length = rough_length(F.col("tokens"))
+    b = z.where(~F.col("half") & (F.col("held") == 1) & (length > 0) & (length < RUN_ON * rough_length(F.col("bar"))))
+    cases = b.join(a, [*keys, "i", "j", "movement"]).select(*keys, "place", F.lit(None).cast(f"array<{TOKEN}>").alias("before"), F.col("tokens").alias("after"), "events")
+    cuts = break_cuts(cut_lineage(cases, "run-ons"), [*keys, "place"])
+    out = path.join(cuts, [*keys, "place"], "left")
+    return out.withColumn("op", F.when(F.col("cut").isNotNull(), "tail").otherwise(F.col("op")))
+
+
+def box_bars(path: DataFrame, reading: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, bars, count, is_join, continues, ends_movement): what each measure that a path pairs holds.
+
+    bars here: keys, j, held (array of structs of movement and bar, in order) and uncounted (array of the bars among them that
+    don't count: pickups and second halves). count is how many bars the measure's closing bar line counts, each once: of a split
+    bar its first half, or, where that half ends a staff (continues), its second. ends_movement marks the measure with the end
+    of its movement's last bar.
+    """
+    steps = path.where("op <> 'extra' and op <> 'missed'")
+    told = steps.select(*keys, "place", "op", "first", "last", F.explode(F.sequence("bar_first", F.col("bar_last") - 1)).alias("j"))
+    told = told.join(bars.select(*keys, "j", "held", "uncounted"), [*keys, "j"])
+    item = F.struct("j", "held", "uncounted")
+    told = told.groupBy(*keys, "place", "op", "first", "last").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    told = told.select(*keys, "place", "op", "first", "last", F.flatten(F.transform("b", lambda x: x["held"])).alias("held"), F.flatten(F.transform("b", lambda x: x["uncounted"])).alias("uncounted"))
+    each = (F.col("op") == "rests") & (F.col("last") > F.col("first") + 1) & (F.size("held") == F.col("last") - F.col("first"))
+    rows = told.withColumn("each", each).withColumn("i", F.explode(F.sequence("first", F.col("last") - 1)))
+    k = F.col("i") - F.col("first")
+    rows = rows.withColumn("bars", F.when(F.col("each"), F.array(F.get("held", k.cast("int")))).otherwise(F.col("held")))
+    ends = bars.select(*keys, F.col("j").alias("place"), F.posexplode("held").alias("n", "b")).groupBy(*keys, F.col("b.movement").alias("movement")).agg(F.max_by("b", F.struct("place", "n")).alias("end"))
+    ends = ends.groupBy(*keys).agg(F.collect_list("end").alias("ends"))
+    rows = rows.join(reading.select(*keys, "i", "ends_staff"), [*keys, "i"])
+    first_staff = rows.where("i = first").select(*keys, "place", F.col("ends_staff").alias("first_ends"))
+    rows = rows.join(first_staff, [*keys, "place"]).join(ends, keys)
+    payer = F.when((F.col("op") == "split") & F.col("first_ends"), 1).otherwise(0)
+    counted = F.size(F.filter("bars", lambda b: ~F.array_contains("uncounted", b)))
+    return rows.select(
+        *keys, "i", "bars", F.when(F.col("each") | (k == payer), counted).otherwise(0).alias("count"), (F.col("op") == "join").alias("is_join"),
+        ((F.col("op") == "split") & (k == 0) & F.col("ends_staff")).alias("continues"),
+        (F.arrays_overlap("bars", "ends") & (F.col("i") == F.col("last") - 1)).alias("ends_movement"),
+    )
