@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
+from .parts import each_part
+
 
 def edit_distance(a: Column, b: Column, substitution=None) -> Column:  # noqa: ANN001
     """Edit distance of two token arrays in higher-order functions: one row of the table per token of a.
@@ -141,3 +143,76 @@ def align_arrays(pairs: DataFrame, keys: list[str], a: str, b: str, band: int =
 
     types = [to_arrow_type(f.dataType) for f in schema]
     return pairs.select(*keys, a, b).mapInArrow(run, schema)
+
+
+def heaviest_common(pairs: DataFrame, keys: list[str], i: str, j: str, weight: str) -> DataFrame:
+    """(keys, weight): the most weight of a common subsequence, a chain of pairs with i and j both rising.
+
+    pairs are the places that match, with a positive weight; only they cost, not the product of the lengths: a task sorts a
+    key's pairs by i and keeps prefix maxima over j in a Fenwick tree. Keys without pairs have no row.
+    """
+    made = pairs.select(*keys).schema.add("weight", "double")
+    told = pairs.select(*keys, F.col(i).cast("long").alias("__i"), (-F.col(j)).cast("long").alias("__j"), F.col(weight).cast("double").alias("__w"))
+
+    def best(rows: list[dict]) -> Iterator[tuple]:
+        at = {j: k + 1 for k, j in enumerate(sorted({-r["__j"] for r in rows}))}
+        tree = [0.0] * (len(at) + 1)
+        for r in rows:  # of one i from the last j to the first, so that none follows another
+            k = at[-r["__j"]] - 1
+            total = r["__w"]
+            gained = 0.0
+            while k > 0:
+                gained = max(gained, tree[k])
+                k &= k - 1
+            k, total = at[-r["__j"]], total + gained
+            while k < len(tree):
+                tree[k] = max(tree[k], total)
+                k += k & -k
+        yield (max(tree),)
+
+    return each_part(told, keys, ["__i", "__j"], made, best)
+
+
+def placed(evidence: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, x): a place for each slot, in order, each at least its gap after the one before, with the most evidence.
+
+    slots: keys, slot (0, 1, ...) and gap (whole, at least 1; that of slot 0 isn't used). evidence: keys, slot, x (whole) and
+    value; the places are the whole numbers from the least to the greatest x of the key, where a slot without evidence has 0.
+    Of equal totals the last slot stands as early as it can, and the slots before it as late as they can. Keys where the
+    slots find no room have no rows.
+    """
+    e = evidence.select(*keys, F.lit(1).alias("side"), F.col("slot").cast("long").alias("slot"), F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
+    s = slots.select(*keys, F.lit(0).alias("side"), F.col("slot").cast("long").alias("slot"), F.col("gap").cast("long").alias("x"), F.lit(0.0).alias("value"))
+    made = slots.select(*keys).schema.add("slot", "long").add("x", "long")
+
+    def best(rows: list[dict]) -> Iterator[tuple]:
+        gaps = [max(1, r["x"]) for r in rows if r["side"] == 0]
+        seen = [r for r in rows if r["side"] == 1]
+        if not gaps or not seen:
+            return
+        low = min(r["x"] for r in seen)
+        width = max(r["x"] for r in seen) - low + 1
+        total, back = np.full(width, -np.inf), []
+        own = np.zeros((len(gaps), width))
+        for r in seen:
+            if 0 <= r["slot"] < len(gaps):
+                own[r["slot"], r["x"] - low] += r["value"]
+        total = own[0]
+        for k in range(1, len(gaps)):
+            reach = np.maximum.accumulate(total)
+            last = np.maximum.accumulate(np.where(total == reach, np.arange(width), 0))  # the last place of each prefix's best
+            moved, back_k = np.full(width, -np.inf), np.zeros(width, np.int64)
+            if gaps[k] < width:
+                moved[gaps[k] :], back_k[gaps[k] :] = reach[: -gaps[k]], last[: -gaps[k]]
+            total = moved + own[k]
+            back.append(back_k)
+        x = int(total.argmax())
+        if total[x] == -np.inf:
+            return
+        out = [x]
+        for back_k in reversed(back):
+            x = int(back_k[x])
+            out.append(x)
+        yield from ((k, low + x) for k, x in enumerate(reversed(out)))
+
+    return each_part(e.unionByName(s), keys, ["side", "slot", "x"], made, best)

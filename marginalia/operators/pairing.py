@@ -8,17 +8,15 @@ NumPy rows. What looks at neighbouring steps of a path is DataFrame work again.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
-from ..session import cut_lineage, ship
+from ..session import cut_lineage
 from .alignment import edit_distance
+from .parts import each_part
 
 #: Ticks of a whole note here: a 64th with three dots is whole.
 WHOLE = 2048
@@ -31,39 +29,6 @@ BAND, MAX_REST_RUN, PIECES_LIKE, BREAK_FIT, RUN_ON = 120, 40, 0.25, 0.5, 0.75
 TOKEN = "struct<kind:string,dur:string,dots:int,grace:boolean,step:int>"
 
 
-# -- parts, one at a time
-
-
-def each_part(rows: DataFrame, keys: list[str], order: list[str], made: StructType, work: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
-    """work's rows for each key: keys are dealt by a shuffle and sorted by `order`; work gets the rows of a key as dicts and yields
-    tuples of the columns after the keys. A task holds the rows of one key."""
-    types = [to_arrow_type(f.dataType) for f in made]
-    dealt = rows.select(*keys, *[c for c in rows.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-
-        def batch() -> pa.RecordBatch:
-            cols = zip(*out, strict=True) if out else [[] for _ in types]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=made.names)
-
-        for b in batches:
-            for r in b.to_pylist():
-                key = tuple(r[k] for k in keys)
-                if key != now:
-                    out += [(*now, *x) for x in work(held)] if held else []
-                    now, held = key, []
-                    if len(out) > 5000:
-                        yield batch()
-                        out.clear()
-                held.append(r)
-        out += [(*now, *x) for x in work(held)] if held else []
-        yield batch()
-
-    ship(rows.sparkSession)
-    return dealt.mapInArrow(run, made)
-
-
 def reconcile(measures: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, j, way, first, last, piece): which measures of a reading each bar box holds, [first, last), by lengths alone.
 
