@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,23 +152,28 @@ def step_shift(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(diff) == 1), F.element_at(diff, 1))
 
 
-def bootstrap_interval(rows: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 1) -> DataFrame:
+def bootstrap_interval(rows: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 1) -> DataFrame:
     """(mean, low, high): the mean of b - a over rows where both are there, and its 95 % percentile interval over resamples.
 
-    Paired: a draw takes each row 0, 1, 2 ... times for both columns. The times are Poisson with mean 1, read off a hash of
-    row and draw, so that draws need no shuffle of rows and repeat on recomputation: partial sums of all draws leave a task.
-    Equal rows are drawn apart by their number within a partition.
+    Paired: a draw takes each row 0, 1, 2 ... times for both columns. The times are Poisson with mean 1, drawn by a generator
+    that is seeded by a batch's place and contents, so that they repeat on recomputation. A task keeps two sums a draw and
+    returns them once; the driver gets one row per draw. Without rows all three are null.
     """
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(b) - F.col(a)).cast("double").alias("d"), F.col(a).alias("a"))
-    each = both.withColumn("row", F.monotonically_increasing_id()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.xxhash64(F.lit(seed), "row", "draw").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
-    # Times k where the cumulative Poisson(1) probability first exceeds u; beyond 12 it's under 1e-10.
-    cumulative, term = [], math.exp(-1)
-    for k in range(13):
-        cumulative.append((cumulative[-1] if cumulative else 0.0) + term)
-        term /= k + 1
-    times = F.size(F.filter(F.array(*map(F.lit, cumulative)), lambda c: c <= F.col("u")))
-    drawn = each.select("d", "draw", u).select("d", "draw", times.alias("k"))
-    means = drawn.groupBy("draw").agg((F.sum(F.col("d") * F.col("k")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
-    whole = both.agg(F.avg("d").alias("mean"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).crossJoin(F.broadcast(whole)).select("mean", "low", "high")
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(b) - F.col(a)).cast("double").alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, times, place = np.zeros(draws), np.zeros(draws), 0
+        for batch in batches:
+            d = batch.column(0).to_numpy()
+            gen = np.random.default_rng([seed, TaskContext.get().partitionId(), place, zlib.crc32(d.tobytes())])
+            for at in range(0, len(d), 256):
+                k = gen.poisson(1.0, (min(256, len(d) - at), draws))
+                total += d[at : at + 256] @ k
+                times += k.sum(axis=0)
+            place += 1
+        if place:
+            yield pa.RecordBatch.from_pydict({"draw": np.arange(draws), "s": total, "k": times})
+
+    parts = both.mapInArrow(run, "draw long, s double, k double").groupBy("draw").agg((F.sum("s") / F.nullif(F.sum("k"), F.lit(0.0))).alias("m"))
+    low, high = (F.percentile("m", p).alias(n) for p, n in ((0.025, "low"), (0.975, "high")))
+    return parts.agg(low, high).crossJoin(F.broadcast(both.agg(F.avg("d").alias("mean")))).select("mean", "low", "high")

@@ -70,7 +70,7 @@ def bars_per_page(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.where("kind = 'music'").select(*keys, F.concat(F.lit("p"), "page").alias("where"), count.cast("long").alias("bars"))
 
 
-def page_report(events: DataFrame, pages: DataFrame, keys: list[str], gap: float = activity.GAP, order: str = "event_id") -> DataFrame:
+def page_report(events: DataFrame, pages: DataFrame, keys: list[str], gap: float = activity.GAP, order: str = "event_id", least: float = activity.LEAST) -> DataFrame:
     """A row for each page of each source that has any time or events: seconds, of these first_pass and review, edits,
     corrections, opened, bars, page, status, kind, part, reviewed_at.
 
@@ -79,7 +79,7 @@ def page_report(events: DataFrame, pages: DataFrame, keys: list[str], gap: float
     """
     log = events.withColumn("where", F.coalesce("where", F.lit(""))).withColumn("n", F.coalesce("n", F.lit(1)))
     person = log.where("src = 'labeler'")
-    pieces = activity.segments(person, keys, "where", "kind", AWAY, order=order, gap=gap).withColumnRenamed("place", "where")
+    pieces = activity.segments(person, keys, "where", "kind", AWAY, order=order, gap=gap, least=least).withColumnRenamed("place", "where")
     marked = reviewed_at(log, keys, order)
     timed = pieces.join(marked, [*keys, "where"], "left")
     later = F.coalesce(F.col("start") >= F.col("reviewed_at"), F.lit(False))
@@ -100,17 +100,67 @@ def page_report(events: DataFrame, pages: DataFrame, keys: list[str], gap: float
     return out.select(*keys, "where", number, *zero("seconds", "first_pass", "review", "edits", "corrections", "opened", "bars"), "status", "kind", "part", "reviewed_at")
 
 
-def source_report(report: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seconds, pages, bars, edits, per_100_bars): each source's pages added up; minutes per 100 bars of pages with
-    time, null without bars. Longest first within an order by seconds."""
+def by_source(report: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seconds, pages, bars, edits, per_100_bars): each source's pages (of page_report) added up; minutes per 100 bars of
+    pages with time, null without bars."""
     timed = F.col("seconds") > 0
     out = report.groupBy(*keys).agg(
         F.sum("seconds").alias("seconds"), F.count_if(timed).alias("pages"), F.sum(F.when(timed, F.col("bars")).otherwise(0)).alias("bars"), F.sum("edits").alias("edits")
     )
-    return out.withColumn("per_100_bars", F.when(F.col("bars") > 0, F.col("seconds") / 60 / F.col("bars") * 100)).orderBy(F.desc("seconds"), *keys)
+    return out.withColumn("per_100_bars", F.when(F.col("bars") > 0, F.col("seconds") / 60 / F.col("bars") * 100))
 
 
-def days(events: DataFrame, keys: list[str], gap: float = activity.GAP, order: str = "event_id") -> DataFrame:
-    """(keys, day, seconds): a person's time by the day, in the session's time zone, on which each piece of it begins."""
-    pieces = activity.segments(events.where("src = 'labeler'"), keys, "where", "kind", AWAY, order=order, gap=gap)
-    return pieces.groupBy(*keys, F.to_date(F.timestamp_micros((F.col("start") * 1_000_000).cast("long"))).alias("day")).agg(F.round(F.sum("seconds"), 1).alias("seconds"))
+def days(events: DataFrame, keys: list[str], gap: float = activity.GAP, order: str = "event_id", least: float = activity.LEAST, per_second: int = 1) -> DataFrame:
+    """(keys, day, seconds): a person's time by the day, in the session's time zone, on which each piece of it begins; without
+    keys over the whole log. Times are in units of which per_second make a second."""
+    pieces = activity.segments(events.where("src = 'labeler'"), keys, "where", "kind", AWAY, order=order, gap=gap, least=least)
+    day = F.to_date(F.timestamp_micros((F.col("start") * (1_000_000 // per_second)).cast("long")))
+    return pieces.groupBy(*keys, day.alias("day")).agg(F.round(F.sum("seconds") / per_second, 1).alias("seconds"))
+
+
+def source_report(events: DataFrame, pages: DataFrame, keys: list[str], gap: float = activity.GAP, order: str = "event_id", least: float = activity.LEAST) -> DataFrame:
+    """A row for each source with pages or events: seconds, stretches, bars, pages_total, music_pages, reviewed and first_logged.
+
+    events and pages as for page_report. seconds is the person's time, bars what all music pages' bar lines count. Days are
+    in `days`, pages in `page_report`, counters in `tallies`, stretches in `timeline`.
+    """
+    person = events.where("src = 'labeler'").withColumn("where", F.coalesce("where", F.lit("")))
+    spent = activity.segments(person, keys, "where", "kind", AWAY, order=order, gap=gap, least=least).groupBy(*keys).agg(
+        F.round(F.sum("seconds"), 1).alias("seconds"), F.count_distinct("stretch").alias("stretches")
+    )
+    first = events.groupBy(*keys).agg(F.round(F.min("t"), 1).alias("first_logged"))
+    labels = pages.groupBy(*keys).agg(
+        F.count("*").alias("pages_total"), F.count_if(F.col("kind") == "music").alias("music_pages"), F.count_if(F.col("status") == "reviewed").alias("reviewed")
+    )
+    bars = bars_per_page(pages, keys).groupBy(*keys).agg(F.sum("bars").alias("bars"))
+    out = labels.join(first, keys, "full").join(spent, keys, "left").join(bars, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*keys, zero("seconds"), zero("stretches"), zero("bars"), zero("pages_total"), zero("music_pages"), zero("reviewed"), "first_logged")
+
+
+def timeline(events: DataFrame, keys: list[str], gap: float = activity.GAP, order: str = "event_id", least: float = activity.LEAST) -> tuple[DataFrame, DataFrame]:
+    """(stretches, items) of each source: stretches with start and end; their items, a row each: stretch, item, from, to, kind,
+    where, what, n.
+
+    Items: a piece of time on a page; a wait, a server's event (none that runs ahead) that begins in the stretch or at most
+    `least` after it; a mark, an edit or an opening up to the stretch's end. A stretch ends with its last event, piece or wait.
+    What belongs to which stretch is a lookup in time, so no stretch is gathered.
+    """
+    log = events.withColumn("where", F.coalesce("where", F.lit("")))
+    person = log.where("src = 'labeler'")
+    runs = activity.stretches(person, keys, order=order, gap=gap).groupBy(*keys, "stretch").agg(F.min("t").alias("lo"), F.max("t_end").alias("hi"))
+    none = lambda kind: F.lit(None).cast(kind)
+    piece = activity.segments(person, keys, "where", "kind", AWAY, order=order, gap=gap, least=least)
+    piece = piece.select(*keys, "stretch", F.lit("piece").alias("item"), F.col("start").alias("from"), F.col("end").alias("to"), none("string").alias("kind"), F.col("place").alias("where"), none("string").alias("what"), none("long").alias("n"))
+    # The stretch that began last, at or before an event.
+    begun = runs.select(*keys, F.col("lo").alias("t"), F.lit(0).alias("side"), F.struct("stretch", "lo", "hi").alias("run"))
+    asked = log.where((F.col("src") == "labeler-server") & ~F.col("kind").endswith("-ahead") | F.col("kind").isin("edit", "open")).withColumn("side", F.lit(1))
+    w = Window.partitionBy(*keys).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(begun, allowMissingColumns=True).withColumn("at", F.last("run", ignorenulls=True).over(w)).where("side = 1 and at is not null")
+    found = found.withColumn("n", F.coalesce(F.col("n").cast("long"), F.lit(1)))
+    item = lambda rows, name, to: rows.select(*keys, F.col("at.stretch").alias("stretch"), F.lit(name).alias("item"), F.col("t").alias("from"), to.alias("to"), "kind", "where", "what", "n")
+    wait = item(found.where((F.col("src") == "labeler-server") & (F.col("t") <= F.col("at.hi") + least) & ~F.col("kind").endswith("-ahead")), "wait", F.col("t_end"))
+    reach = piece.unionByName(wait).groupBy(*keys, "stretch").agg(F.max("to").alias("far"))
+    ends = runs.join(reach, [*keys, "stretch"], "left").select(*keys, "stretch", F.col("lo").alias("start"), F.greatest("hi", "far").alias("end"))
+    mark = item(found.where(F.col("kind").isin("edit", "open")), "mark", F.col("t")).join(ends, [*keys, "stretch"]).where(F.col("from") <= F.col("end")).drop("start", "end")
+    return ends, piece.unionByName(wait).unionByName(mark)

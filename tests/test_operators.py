@@ -291,7 +291,31 @@ def test_versions_refuse_a_stale_writer(spark, tmp_path):
     documents.write_version(df, str(tmp_path / "v"), None, "e1")
     with pytest.raises(RuntimeError):
         documents.write_version(df, str(tmp_path / "v"), None, "e2")
-    documents.write_version(df, str(tmp_path / "v"), "e1", "e2")
+    documents.write_version(df.selectExpr("a + 1 as a"), str(tmp_path / "v"), "e1", "e2")
+    etag, folder = documents.current_version(spark, str(tmp_path / "v"))
+    assert etag == "e2" and spark.read.parquet(folder).first().a == 2
+    (tmp_path / "v" / "log" / "00000003").write_text("")  # a writer just ahead
+    with pytest.raises(RuntimeError):
+        documents.write_version(df, str(tmp_path / "v"), "e2", "e3")
+    assert len(list((tmp_path / "v").glob("version=*"))) == 2
+
+
+def test_saves_are_judged_backed_up_and_rounded(spark):
+    doc = lambda schema, top="0.1": f'{{"schema":{schema},"source":{{"pdf":"1.23456e0"}},"pages":{{"1":{{"status":"edited","kind":"blank","part":null,"corners":{{"points":[[{top},0.00001],[1.5e-1,1],[1.0,2.34565],[0,0]],"auto":true}}}}}}}}'
+    etag = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    old = {"a": doc(5), "b": doc(5), "c": doc(9), "d": doc(5)}
+    current = spark.createDataFrame(list(old.items()), "file string, raw string")
+    backups = spark.createDataFrame([("a", 1000.0, "x"), ("b", 10.0, "y"), *(("b", float(-k), "z") for k in range(100))], "file string, at double, raw string")
+    sent = [("a", doc(5, "0.12346"), etag(old["a"])), ("b", doc(3, "0.7"), etag(old["b"])), ("c", doc(5), etag(old["c"])), ("d", doc(5), "stale"), ("e", doc(2), "none"), ("f", doc(8), "none"), ("g", doc(5).replace("blank", "cover"), "none"), ("h", "no document", "none")]
+    after, copies, told = documents.saved(current, backups, spark.createDataFrame(sent, "file string, raw string, if_match string"), 1050)
+    outcome = {r.file: r for r in told.collect()}
+    assert {f: r.outcome for f, r in outcome.items()} == {"a": "saved", "b": "saved", "c": "newer", "d": "conflict", "e": "saved", "f": "invalid", "g": "invalid", "h": "invalid"}
+    now = {r.file: r.raw for r in after.collect()}
+    assert set(now) == {*"abcde"} and now["c"] == old["c"] and now["d"] == old["d"] and all(outcome[f].etag == etag(now[f]) for f in "abcde")
+    page = json.loads(now["a"])
+    assert page["pages"]["1"]["corners"]["points"] == [[0.1235, 0.0], [0.15, 1.0], [1.0, 2.3457], [0.0, 0.0]] and page["source"]["pdf"] == "1.23456e0" and json.loads(now["b"])["schema"] == 5
+    kept = sorted((r.file, r.at, r.raw) for r in copies.collect())
+    assert [k for k in kept if k[0] == "a"] == [("a", 1000.0, "x")] and kept[-1] == ("b", 1050.0, old["b"]) and len(kept) == 101 and ("b", -98.0, "z") not in kept
 
 
 def test_stream_equals_batch(spark, tmp_path):
