@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks
+from .common import byte_chunks, lean
 
 NONE = np.int64(1) << np.int64(60)
 #: Matches of up to so many bytes are merged side by side.
@@ -266,7 +266,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
                     made.append(binary_column(*bpe.decode(ids, ends)))
                 yield pa.RecordBatch.from_arrays([*b.slice(start, len(raw)).columns, *made], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def binary_column(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -296,4 +296,4 @@ def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
                 column = binary_column(*bpe.decode(values.to_numpy(), np.cumsum(sizes)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

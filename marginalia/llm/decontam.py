@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, materialize, text_key
+from .common import byte_chunks, lean, materialize, text_key
 
 WINDOW = 13
 #: Bytes of distinct windows that one automaton may hold; it takes some ten times that in memory.
@@ -50,7 +50,7 @@ def window_table(benchmark: DataFrame, id_col: str, text: str, size: int) -> Dat
                     wins.append(win)
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(wins, pa.binary())], names=["item", "win"])
 
-    return benchmark.select(F.col(id_col).cast("string"), text).mapInArrow(run, "item string, win binary")
+    return benchmark.select(F.col(id_col).cast("string"), text).mapInArrow(lean(run), "item string, win binary")
 
 
 def automaton(key: str, wins: list[bytes]) -> ahocorasick.Automaton:
@@ -121,7 +121,7 @@ def scanned(docs: DataFrame, id_col: str, text: str, wins: list[bytes], items: l
                     names=["id", "text_key", "n_words", "n_hit", "spans", "words", "items"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text, text_key(F.col(text))).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), text, text_key(F.col(text))).mapInArrow(lean(run), schema)
 
 
 def _joined(spans: Column) -> Column:

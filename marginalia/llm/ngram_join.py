@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, byte_chunks, materialize, text_key, with_unique
+from .common import LOWER_ASCII, byte_chunks, lean, materialize, text_key, with_unique
 from .components import forest, labelled
 
 TABLE_BITS = 20
@@ -135,10 +135,10 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, in
             {"block": pa.array([block], pa.int32()), "cells": [level.tobytes()], "total": [int(total.sum())]}
         )
 
-    parts = docs.select(text).mapInArrow(count, "block int, cells binary")
+    parts = docs.select(text).mapInArrow(lean(count), "block int, cells binary")
     sums = parts.repartition(BLOCKS, "block").sortWithinPartitions("block")
     levels, total = np.zeros(size, np.uint8), 0
-    for row in sums.mapInArrow(add, "block int, cells binary, total long").collect():  # BLOCKS rows, 1 MB in all
+    for row in sums.mapInArrow(lean(add), "block int, cells binary, total long").collect():  # BLOCKS rows, 1 MB in all
         levels[row["block"] * part : (row["block"] + 1) * part] = np.frombuffer(row["cells"], np.uint8)
         total += row["total"]
     least = max(FREQUENT_LEAST, FREQUENT_TIMES * total / size)
@@ -222,7 +222,7 @@ def indexed(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int)
                     names=["id", "n_shingles", "set_key", "text_key", "sigs", "places"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text), text_key(F.col(text))).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text), text_key(F.col(text))).mapInArrow(lean(run), schema)
 
 
 def whole_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -239,7 +239,7 @@ def whole_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
                     [keys, pa.ListArray.from_arrays(offsets, values)], names=["set_key", "shingles"]
                 )
 
-    return docs.select(text).mapInArrow(run, "set_key long, shingles array<long>")
+    return docs.select(text).mapInArrow(lean(run), "set_key long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -362,7 +362,7 @@ def cell_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                 parts.append((side[r], key[r], values[ends[r] : ends[r + 1]], weight[r], own))
         yield from close()
 
-    return dealt.mapInArrow(run, "key long, links long, other long")
+    return dealt.mapInArrow(lean(run), "key long, links long, other long")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, crc_bucket, materialize, text_key
+from .common import byte_chunks, crc_bucket, lean, materialize, text_key
 
 FEATURES, RIDGE, SEED, BINS, BLOCKS = 256, 1e-3, 7, 400, 16
 #: Rows that are scored together.
@@ -71,7 +71,7 @@ def measured(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), stats], names=["id", "text_key", "stats"])
 
     rows = docs.select(F.col(id_col).cast("long"), text, text_key(F.col(text)))
-    return rows.mapInArrow(run, "id long, text_key long, stats array<double>")
+    return rows.mapInArrow(lean(run), "id long, text_key long, stats array<double>")
 
 
 def fourier(stats: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def added(parts: DataFrame, width: int) -> np.ndarray:
         if block is not None:
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "cells": [total.tobytes()]})
 
-    sums = parts.repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(add, "block int, cells binary")
+    sums = parts.repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(lean(add), "block int, cells binary")
     rows = {r["block"]: np.frombuffer(r["cells"]) for r in sums.collect()}  # BLOCKS rows of a fixed size
     flat = np.concatenate([rows[k] for k in sorted(rows)]) if rows else np.zeros(0)
     return flat[:width] if len(flat) else np.zeros(width)
@@ -135,7 +135,7 @@ def normal_equations(rows: DataFrame, mean: np.ndarray, sd: np.ndarray) -> tuple
             cells = [flat[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)]
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "cells": cells})
 
-    total = added(rows.select("stats", "y").mapInArrow(run, "block int, cells binary"), d * (d + 1)).reshape(d, d + 1)
+    total = added(rows.select("stats", "y").mapInArrow(lean(run), "block int, cells binary"), d * (d + 1)).reshape(d, d + 1)
     return total[:, :d], total[:, d]
 
 
@@ -160,7 +160,7 @@ def scored(stats: DataFrame, mean: np.ndarray, sd: np.ndarray, weights: np.ndarr
             score = np.clip(np.interp(raw, *knots), 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["id", "text_key", "score"])
 
-    return stats.select("id", "text_key", "stats").mapInArrow(run, "id long, text_key long, score double")
+    return stats.select("id", "text_key", "stats").mapInArrow(lean(run), "id long, text_key long, score double")
 
 
 def quality_scores(
@@ -209,7 +209,7 @@ def _with_label(rows: DataFrame, mean: np.ndarray, sd: np.ndarray, weights: np.n
             x = b.column(0).flatten().to_numpy().reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([pa.array(predicted(x, mean, sd, weights)), b.column(1)], names=["raw", "y"])
 
-    return rows.select("stats", "y").mapInArrow(run, "raw double, y double")
+    return rows.select("stats", "y").mapInArrow(lean(run), "raw double, y double")
 
 
 def not_in_fold(id_col: str, modulus: int) -> Column:
