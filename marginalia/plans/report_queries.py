@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bars, proposals, reports, selection
+from ..operators import bars, proposals, reports, selection, tuning, twins
 from ..session import cut_lineage
 from ..sources import documents
 from .queries import SEGMENTS, US, log, query, read
@@ -222,3 +222,36 @@ def bars_export_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", F.col("order").cast("long").alias("order"), F.col("page").cast("long").alias("page"), "barline", F.col("bar").cast("long").alias("bar"), F.array_join(F.transform("marks", number), " ").alias("marks"),
         F.array_join("clefs", " ").alias("clefs"), "key", "time", corner(0, 0).alias("x0"), corner(2, 0).alias("x1"), corner(0, 1).alias("y0"), corner(2, 1).alias("y1"),
     )
+
+
+@query()
+def twin_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as profiles: of each 64 in a row, the even ones are one copy's pages of four lines, the odd ones the other's."""
+    v = read(spark, sf_dir, "embeddings").where("vec_id is not null")
+    i = F.col("vec_id")
+    lines = v.select(F.floor(i / 64).alias("copies"), (F.floor(i / 8) % 8).alias("page"), (F.floor(i / 2) % 4).alias("place"), (i % 2).alias("side"), F.col("embedding").alias("profile"))
+    lines = cut_lineage(lines, "profiles")
+    _, staves = twins.twins(lines.where("side = 0").drop("side"), lines.where("side = 1").drop("side"), ["copies"])
+    return staves.withColumn("r", F.round("r", 6)).withColumn("next", F.round("next", 6))
+
+
+@query()
+def tuned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least quantity, greatest tax and greatest discount that find returned line items best, and the score."""
+    li = read(spark, sf_dir, "lineitem")
+    grid = {"quantity": [1.0, 10.0, 20.0, 30.0, 40.0], "tax": [0.02, 0.04, 0.06, 0.08], "discount": [0.02, 0.05, 0.08, 0.1]}
+    accept = lambda p: (F.col("l_quantity") >= p["quantity"]) & (F.col("l_tax") <= p["tax"]) & (F.col("l_discount") <= p["discount"])
+    best, score, rounds = tuning.tuned(li, grid, accept, F.col("l_returnflag") == "R", {"quantity": 20.0, "tax": 0.04, "discount": 0.05}, 0.5)
+    found = li.agg(F.count_if(accept({k: F.lit(v) for k, v in best.items()})).alias("found"))
+    return found.select(*[F.lit(v).alias(k) for k, v in best.items()], F.lit(score).alias("score"), F.lit(rounds).alias("rounds"), "found")
+
+
+@query("""WITH s AS (SELECT l_suppkey % 5 AS f, count(*) AS n, sum(l_quantity) AS x, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy FROM lineitem GROUP BY 1),
+  o AS (SELECT a.f, sum(b.n) AS n, sum(b.x) AS x, sum(b.y) AS y, sum(b.xx) AS xx, sum(b.xy) AS xy FROM s a JOIN s b ON a.f <> b.f GROUP BY a.f),
+  m AS (SELECT f, (n * xy - x * y) / (n * xx - x * x) AS k, (y - k * x) / n AS c FROM o)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(c + k * l_quantity, 3) AS score FROM lineitem JOIN m ON f = l_suppkey % 5""")
+def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price that a line item's quantity suggests, learnt from the suppliers of other folds."""
+    li = read(spark, sf_dir, "lineitem").withColumn("f", F.col("l_suppkey") % 5)
+    scored = tuning.out_of_fold(li, ["l_quantity"], "l_extendedprice", "f", 0.0)
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("score", 3).alias("score"))
