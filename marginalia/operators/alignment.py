@@ -100,30 +100,43 @@ def align_sequences(left: DataFrame, right: DataFrame, keys: list[str], order: s
 
 
 def _path(x: list, y: list, band: int, gap: float) -> list[tuple[str, int | None, int | None]]:
-    """(op, place in x, place in y) of the cheapest alignment, as in align_sequences."""
+    """(op, place in x, place in y) of the cheapest alignment, as in align_sequences: a row of the table at once, in the band only.
+
+    Costs are whole numbers of 2**-20, so that equal costs are equal however they add up.
+    """
     n, m = len(x), len(y)
+    number: dict = {}
+    a, b = (np.array([number.setdefault(t, len(number)) for t in s], np.int64) for s in (x, y))
+    whole, step, far = 1 << 20, round(gap * (1 << 20)), np.int64(1) << 60
     reach = max(band, abs(n - m) + 1)
-    far, before, back = float("inf"), [], []
+    middle = [i * m // max(n, 1) for i in range(n + 1)]
+    low, high = [max(0, c - reach) for c in middle], [min(m, c + reach) for c in middle]
+    back: list[np.ndarray] = []
+    before = np.zeros(0, np.int64)
     for i in range(n + 1):
-        middle = i * m // max(n, 1)
-        row, ops = [far] * (m + 1), bytearray(m + 1)
-        for j in range(max(0, middle - reach), min(m, middle + reach) + 1):
-            if not i and not j:
-                row[0] = 0.0
-                continue
-            best, op = far, 0
-            if i and j and (cost := before[j - 1] + (x[i - 1] != y[j - 1])) < best:
-                best, op = cost, 1
-            if i and (cost := before[j] + gap) < best:
-                best, op = cost, 2
-            if j and (cost := row[j - 1] + gap) < best:
-                best, op = cost, 3
-            row[j], ops[j] = best, op
-        before = row
+        width = high[i] - low[i] + 1
+        row, ops = np.full(width, far), np.zeros(width, np.int8)
+        if i:
+            last = np.full(width + 1, far)  # the row above at places low[i] - 1 .. high[i]
+            left, right = max(low[i] - 1, low[i - 1]), min(high[i], high[i - 1])
+            last[left - low[i] + 1 : right - low[i] + 2] = before[left - low[i - 1] : right - low[i - 1] + 1]
+            extra = last[1:] + step
+            one = last[:-1].copy()
+            at = np.arange(low[i], high[i] + 1)
+            one[at > 0] += np.where(b[at[at > 0] - 1] == a[i - 1], 0, whole)
+            one[at == 0] = far
+            row = np.minimum(one, extra)
+            ops = np.where(one <= extra, 1, 2).astype(np.int8)
+        elif not low[0]:
+            row[0] = 0
+        missed = np.arange(width) * step
+        run = np.minimum.accumulate(row - missed) + missed
+        ops[run < row] = 3
+        before = run
         back.append(ops)
     out, i, j = [], n, m
     while i or j:
-        op = back[i][j]
+        op = back[i][j - low[i]]
         i, j = i - (op != 3), j - (op != 2)
         out.append((("one", "extra", "missed")[op - 1], i if op != 3 else None, j if op != 2 else None))
     return out[::-1]
