@@ -5,7 +5,9 @@ its pairs, writes them as a sorted array of 64-bit hashes with counts, and passe
 how many different words precede it, how many of its successors occur once, twice or more. Word shards add that up and
 write sorted arrays in turn. Shards are uniform whatever the corpus, so no word is hot, and they grow in number with it.
 The files lie in the shared folder; scoring workers map them and look up sorted queries, so a machine holds the pages in
-use once. A lost task writes the same file again under the same name.
+use once. A lost task writes the same file again under the same name. Where there are more shards than a worker can keep
+mapped, the distinct queries of some MB of text are sent to the shards instead, so that each shard is opened once and by one
+task, and what it answers is sent back to the texts.
 
 p(w | v) = (c(v w) - D) / c(v) + gamma(v) p1(w),  p1(w) = (k(w) - D') / K + gamma' / (V + 1), where k(w) counts the
 different words before w, K their sum, and D and D' depend on whether the count is 1, 2 or more.
@@ -16,7 +18,6 @@ from __future__ import annotations
 import mmap
 import os
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,13 @@ from .ngram_join import MULT, mix
 
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-#: Bytes of text for each pair shard; tokens that a task counts at once; word shards at most.
-SHARD_BYTES, AT_ONCE, WORD_SHARDS = 16 << 20, 2_000_000, 256
-#: Shards of a kind that a worker keeps open; queries come sorted, so a batch opens each shard once.
-OPEN = 4096
+#: Bytes of text for each pair shard; tokens that a task counts at once; words of tallies that are held before they are added up.
+SHARD_BYTES, AT_ONCE, HELD_WORDS = 16 << 20, 2_000_000, 4_000_000
+#: Bits of word shards: as many as of pair shards up to the first, one more for each doubling beyond 1024 pair shards, up to the last.
+WORD_BITS = 8, 12
+#: With more pair shards than this, queries are sent to the shards; below, workers map them all. The second is for folders that
+#: can't be mapped, whose files take a worker's own memory.
+OPEN, FETCHED = 4096, 8
 
 
 @dataclass(frozen=True)
@@ -238,9 +243,12 @@ def pair_shards(rows: DataFrame, folder: str, bits: int, word_bits: int) -> Data
 def word_shards(rows: DataFrame, folder: str, bits: int, discounts: tuple[float, float, float]) -> DataFrame:
     """Write words-<shard>; return per shard: tokens, words, begins, and counts of counts of the words' predecessors."""
 
-    def close(shard: int, held: list[tuple]) -> pa.RecordBatch:
+    def summed(held: list[tuple]) -> tuple:
         words, where = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        c, k, n1, n2, n3 = (np.bincount(where, np.concatenate([x[1][i] for x in held]), len(words)).astype(np.int64) for i in range(5))
+        return words, [np.bincount(where, np.concatenate([x[1][i] for x in held]), len(words)).astype(np.int64) for i in range(5)]
+
+    def close(shard: int, held: list[tuple]) -> pa.RecordBatch:
+        words, (c, k, n1, n2, n3) = summed(held)
         seen = c > 0  # all but BEGIN
         weight = discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3
         head = np.array([len(words)], np.uint64)
@@ -250,12 +258,15 @@ def word_shards(rows: DataFrame, folder: str, bits: int, discounts: tuple[float,
         return pa.RecordBatch.from_pydict(row | {f"k{i + 1}": [int(x)] for i, x in enumerate(of)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size = None, [], 0
         for b in batches:
             for shard, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if shard != now and held:
                     yield close(now, held)
-                    held = []
+                    held, size = [], 0
+                elif held and size > HELD_WORDS + 2 * len(held[0][0]):
+                    held = [summed(held)]
+                    size = len(held[0][0])
                 now = shard
                 view = memoryview(raw)
                 n, *sizes = np.frombuffer(view[:24], "<u4").tolist()
@@ -264,6 +275,7 @@ def word_shards(rows: DataFrame, folder: str, bits: int, discounts: tuple[float,
                     tally.append(unsmall(view[at : at + size])[0])
                     at += size
                 held.append((np.frombuffer(view[24 : 24 + 8 * n], "<u8"), tally))
+                size += n
         if held:
             yield close(now, held)
 
@@ -286,7 +298,7 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
     """A model of all rows of docs; null texts count as empty, which have one token, their end."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     bits = max(4, (size // SHARD_BYTES).bit_length())
-    word_bits = min(bits, WORD_SHARDS.bit_length() - 1)
+    word_bits = min(bits, WORD_BITS[0] + max(0, bits - 10), WORD_BITS[1])
     folder = f"{shared_dir(docs.sparkSession)}/kneser-ney-{uuid.uuid4().hex}"
     remove_at_exit(docs.sparkSession, folder)
     sent = materialize(pair_shards(pair_rows(docs, text, bits), folder, bits, word_bits), "word-tallies")
@@ -302,25 +314,23 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
 
 
 class Arrays:
-    """The mapped arrays of a model, opened shard by shard; the shards used last stay open, OPEN of each kind at most."""
+    """The mapped arrays of a model, opened shard by shard as they are asked for."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.pairs: OrderedDict[int, tuple | None] = OrderedDict()
-        self.words: OrderedDict[int, tuple | None] = OrderedDict()
+        self.held: dict[str, tuple | None] = {}
         fs, root = _shared(model.folder)
         found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
         self.names = {info.base_name for info in found}
 
-    def _kept(self, held: OrderedDict, s: int, name: str, parsed) -> tuple | None:  # noqa: ANN001
-        """A shard's arrays; a map is closed when nothing refers to it any more."""
-        if s in held:
-            held.move_to_end(s)
-        else:
-            held[s] = parsed(_mapped(self.model.folder, name)) if name in self.names else None
-            if len(held) > OPEN:
-                held.popitem(last=False)
-        return held[s]
+    def _kept(self, name: str, parsed) -> tuple | None:  # noqa: ANN001
+        if name not in self.held:
+            self.held[name] = parsed(_mapped(self.model.folder, name)) if name in self.names else None
+        return self.held[name]
+
+    def closed(self) -> None:
+        """Let go of all maps; a map is closed when nothing refers to it any more."""
+        self.held.clear()
 
     def _looked_up(self, keys: np.ndarray, bits: int, get) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:  # noqa: ANN001
         """For sorted keys, by shard: the keys' range, places in the shard's arrays, and the arrays."""
@@ -338,7 +348,7 @@ class Arrays:
             at = 16 + 8 * n
             return raw[16:at].view(np.uint64), raw[at + 16 * big :], raw[at : at + 8 * big].view(np.uint64), raw[at + 8 * big : at + 16 * big].view(np.uint64)
 
-        return self._kept(self.pairs, s, f"pairs-{s}", parsed)
+        return self._kept(f"pairs-{s}", parsed)
 
     def word_shard(self, s: int) -> tuple | None:
         def parsed(raw: np.ndarray) -> tuple:
@@ -346,7 +356,7 @@ class Arrays:
             cols = [raw[8 + 8 * n * i : 8 + 8 * n * (i + 1)] for i in range(4)]
             return (*(c.view(np.uint64) for c in cols[:3]), cols[3].view(np.float64))
 
-        return self._kept(self.words, s, f"words-{s}", parsed)
+        return self._kept(f"words-{s}", parsed)
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
@@ -376,20 +386,27 @@ def opened(model: Model) -> Arrays:
     return _opened[model.folder]
 
 
-def log_probabilities(model: Model, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 p of each token, occurrences of each token in training)."""
-    arrays = opened(model)
+def queries(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the scores of texts ask: sorted distinct words with the places of tokens and then of contexts in them, and sorted
+    distinct pair keys with the tokens' places in them."""
     before = contexts(tokens, counts)
     words, where = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    c, k, weight = arrays.word_values(words)
-    own, ahead = where[: len(tokens)], where[len(tokens) :]
+    keys, place = np.unique(pair_key(before, tokens), return_inverse=True)
+    return words, where, keys, place
+
+
+def log_probabilities(model: Model, asked: tuple, values: tuple, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 p of each token, occurrences of each token in training), from the answers to queries: the words' values and the
+    pairs' counts."""
+    words, where, _, place = asked
+    c, k, weight = values
+    n = len(place)
+    own, ahead, pair = where[:n], where[n:], pair[place]
     low = np.array([0.0, *model.word_discounts])
     p1 = np.maximum(k - low[np.minimum(k, 3)], 0) / max(1, model.word_total) + model.word_gamma / (model.words + 1)
-    keys, place = np.unique(pair_key(before, tokens), return_inverse=True)
-    pair = arrays.pair_counts(keys)[place]
     high = np.array([0.0, *model.discounts])
     total = c.copy()
-    total[words == BEGIN] = arrays.word_values(np.array([END], np.uint64))[0][0]  # as many begins as ends
+    total[words == BEGIN] = c[words == END]  # as many begins as ends; every text has both
     of = total[ahead]
     known = of > 0
     p = p1[own]
@@ -398,6 +415,23 @@ def log_probabilities(model: Model, tokens: np.ndarray, counts: np.ndarray) -> t
     return np.log10(p), c[own]
 
 
+#: The columns of a scored row after its id.
+SCORES = "n_tokens long, n_known long, base_score double, score double, perplexity double"
+
+
+def _rows(model: Model, ids: pa.Array, counts: np.ndarray, logp: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    base = np.log10((c + 1) / (model.tokens + model.words + 1))
+    first = np.cumsum(counts) - counts
+    score = np.add.reduceat(logp, first)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, pa.array(counts), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
+            pa.array(np.add.reduceat(base, first)), pa.array(score), pa.array(10 ** np.minimum(-score / counts, 300)),
+        ],
+        names=["id", "n_tokens", "n_known", "base_score", "score", "perplexity"],
+    )
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score, perplexity), one row per row of docs.
 
@@ -406,22 +440,93 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
     10 ** (-score / n_tokens). base_score adds up log10((c + 1) / (N + V + 1)) with c, N and V the token's, all and the
     distinct training tokens. With an empty training table every probability is 1. Repeated rows score alike.
     """
-    schema = "id long, n_tokens long, n_known long, base_score double, score double, perplexity double"
+    rows = docs.select(F.col(id_col).cast("long"), text)
+    mapped = isinstance(_shared(model.folder)[0], pyarrow.fs.LocalFileSystem)
+    if 1 << model.pair_bits > (OPEN if mapped else FETCHED):
+        return _scored_by_shards(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = opened(model)
         for b in batches:
             for start, texts in byte_chunks(b.column(1)):
                 tokens, counts = token_hashes(texts)
-                logp, c = log_probabilities(model, tokens, counts)
-                base = np.log10((c + 1) / (model.tokens + model.words + 1))
-                first = np.cumsum(counts) - counts
-                score = np.add.reduceat(logp, first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(start, len(texts)), pa.array(counts), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
-                        pa.array(np.add.reduceat(base, first)), pa.array(score), pa.array(10 ** np.minimum(-score / counts, 300)),
-                    ],
-                    names=["id", "n_tokens", "n_known", "base_score", "score", "perplexity"],
-                )
-
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, schema)
+                asked = queries(tokens, counts)
+                logp, c = log_probabilities(model, asked, arrays.word_values(asked[0]), arrays.pair_counts(asked[2]))
+                yield _rows(model, b.column(0).slice(start, len(texts)), counts, logp, c)
+
+    return rows.mapInArrow(run, f"id long, {SCORES}")
+
+
+#: Kinds of rows that chunks of texts send: questions to pair and word shards, and what puts the answers together.
+PAIRS, WORDS, FRAME = 0, 1, 2
+
+
+def _scored_by_shards(rows: DataFrame, model: Model) -> DataFrame:
+    """scored, with the queries sent to the shards. A chunk of texts, named by its task and number, asks each shard for its
+    distinct sorted keys; shards are uniform, so no task gets more than a few of them; the answers of a chunk meet its frame."""
+    schema = "chunk long, kind int, shard int, blob binary"
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["chunk", "kind", "shard", "blob"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for start, texts in byte_chunks(b.column(1)):
+                tokens, counts = token_hashes(texts)
+                words, where, keys, place = queries(tokens, counts)
+                out = []
+                for kind, sorted_keys, bits in ((PAIRS, keys, model.pair_bits), (WORDS, words, model.word_bits)):
+                    cuts = np.searchsorted(sorted_keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+                    out += [(chunk, kind, s, sorted_keys[i:j].tobytes()) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+                ids = b.column(0).slice(start, len(texts)).to_pylist()
+                parts = [np.array([x is None for x in ids]), np.array([x or 0 for x in ids], np.int64), counts.astype(np.int64), words, where.astype(np.int32), place.astype(np.int32)]
+                head = np.array([len(ids), len(words), len(tokens)], np.int64)
+                out.append((chunk, FRAME, -1, head.tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)))
+                yield batch(out)
+                chunk += 1
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, now = Arrays(model), None
+        for b in batches:
+            out = []
+            for chunk, kind, shard, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (kind, shard) != now:
+                    arrays.closed()
+                    now = kind, shard
+                keys = np.frombuffer(blob, np.uint64)
+                found = [arrays.pair_counts(keys)] if kind == PAIRS else arrays.word_values(keys)
+                out.append((chunk, kind, shard, b"".join(x.tobytes() for x in found)))
+            yield batch(out)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs, words = None, [], []
+        for b in batches:
+            for chunk, kind, _, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != now:
+                    now, pairs, words = chunk, [], []
+                if kind == PAIRS:
+                    pairs.append(np.frombuffer(blob, np.int64))
+                elif kind == WORDS:
+                    third = len(blob) // 3
+                    words.append((np.frombuffer(blob[:third], np.int64), np.frombuffer(blob[third : 2 * third], np.int64), np.frombuffer(blob[2 * third :])))
+                else:  # the frame comes last, shards in the order of their keys before it
+                    n, w, t = np.frombuffer(blob[:24], np.int64).tolist()
+                    sizes = [(n, np.bool_), (n, np.int64), (n, np.int64), (w, np.uint64), (2 * t, np.int32), (t, np.int32)]
+                    at, parts = 24, []
+                    for k, kind_of in sizes:
+                        size = k * np.dtype(kind_of).itemsize
+                        parts.append(np.frombuffer(blob[at : at + size], kind_of))
+                        at += size
+                    none, ids, counts, keys, where, place = parts
+                    values = tuple(np.concatenate([x[k] for x in words]) for k in range(3))
+                    logp, c = log_probabilities(model, (keys, where, None, place), values, np.concatenate(pairs))
+                    yield _rows(model, pa.array(ids, mask=none), counts, logp, c)
+
+    sent = materialize(rows.mapInArrow(ask, schema), "questions")
+    asked = sent.where(F.col("kind") < FRAME).repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    back = asked.mapInArrow(answer, schema).unionByName(sent.where(F.col("kind") == FRAME))
+    met = back.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard")
+    return met.mapInArrow(put_together, f"id long, {SCORES}")

@@ -116,15 +116,17 @@ def test_base_score_by_the_contract(spark):
     assert len(got) == len(text) and sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_few_maps_stay_open(spark, monkeypatch):
+def test_queries_sent_to_shards_score_alike(spark, monkeypatch):
+    texts = [(i % 37 if i % 5 else None, " ".join(f"w{j * j % 97}" for j in range(i, i + rng.randrange(80)))) for i in range(80)] + [(1, None), (1, ""), (2, "w1"), (2, "w1")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    model = kneser_ney.trained(docs.where("doc_id % 3 > 0"))
+    rows = lambda: sorted((tuple(r) for r in kneser_ney.scored(docs, model).collect()), key=repr)
+    mapped = rows()
     monkeypatch.setattr(kneser_ney, "OPEN", 2)
-    docs = spark.createDataFrame([(i, " ".join(f"w{j % 97}" for j in range(i, i + 60))) for i in range(40)], "doc_id long, text string")
-    model = kneser_ney.trained(docs)
-    arrays = kneser_ney.Arrays(model)
-    hashes, counts = kneser_ney.token_hashes([b"w1 w2 w3", b"w4"])
-    keys = np.unique(kneser_ney.pair_key(kneser_ney.contexts(hashes, counts), hashes))
-    assert (arrays.pair_counts(keys) >= 0).all() and len(arrays.pairs) <= 2
-    assert model.tokens == 40 * 61
+    sent = rows()
+    assert len(mapped) == len(texts) and [r[:3] for r in sent] == [r[:3] for r in mapped]
+    assert all(abs(x - y) < 1e-9 for r, q in zip(sent, mapped, strict=True) for x, y in zip(r[3:], q[3:], strict=True))
+    assert kneser_ney.scored(docs.limit(0), model).count() == 0
 
 
 def test_the_winning_language_equals_brute_force(spark):

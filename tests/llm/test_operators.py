@@ -225,7 +225,8 @@ def test_kneser_ney_sums_to_one_and_counts_exactly(docs, empty):
     for before in (b"the", b"nowhere"):
         h = kneser_ney.token_hashes([before])[0][0]
         seq = np.stack([np.full(len(words), h), words], axis=1).ravel()
-        p = kneser_ney.log_probabilities(model, seq, np.full(len(words), 2))[0][1::2]
+        asked, arrays = kneser_ney.queries(seq, np.full(len(words), 2)), kneser_ney.Arrays(model)
+        p = kneser_ney.log_probabilities(model, asked, arrays.word_values(asked[0]), arrays.pair_counts(asked[2]))[0][1::2]
         assert abs((10**p).sum() - 1) < 1e-9
     got = kneser_ney.scored(docs, model).collect()
     assert len(got) == len(rows) and all(r.score < 0 and r.perplexity > 1 for r in got) and {r.n_tokens for r in got if r.id == 0} == {1}
