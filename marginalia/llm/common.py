@@ -71,7 +71,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str
     return docs.join(side, same, "left_anti")
 
 
-def with_unique(left: DataFrame, right: DataFrame, key: str, size: int, how: str = "inner") -> DataFrame:
+def with_unique(left: DataFrame, right: DataFrame, key: str | list[str], size: int, how: str = "inner") -> DataFrame:
     """left joined with right, which is unique by key and whose column `rows` tells how many of left's `size` rows have it.
 
     Keys of over size / HOT rows, fewer than HOT of them, are broadcast; a shuffle deals the others only, so no task gets a

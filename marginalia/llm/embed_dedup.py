@@ -25,8 +25,6 @@ from .components import forest, labelled
 
 TABLES, AXES, PROBES, RUNNERS_UP = 8, 2, 4, 3
 BLOCK = 1024
-#: So many hot cells at most are broadcast (some MB); more are joined by a shuffle.
-BROADCAST_CELLS = 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -93,15 +91,15 @@ def keyed(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def hashed(distinct: DataFrame, kind: str, tables: int, axes: int, probes: int) -> DataFrame:
-    """A row for each vector, table and probed cell: dim, t, cell, own, key, weight, raw."""
-    schema = "dim int, t int, cell long, own boolean, key long, weight long, raw binary"
+    """A row for each vector, table and probed cell: dim, t, cell, own, key. The vectors themselves stay behind."""
+    schema = "dim int, t int, cell long, own boolean, key long"
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                raw = part.column(2).to_pylist()
+                raw = part.column(1).to_pylist()
                 dims = np.array([len(x) // width for x in raw])
                 for d in np.unique(dims):
                     rows = np.flatnonzero(dims == d)
@@ -116,13 +114,11 @@ def hashed(distinct: DataFrame, kind: str, tables: int, axes: int, probes: int)
                             pa.array(code.ravel()),
                             pa.array(np.tile(np.arange(probes) == 0, len(rows) * tables)),
                             part.column(0).take(pa.array(take)),
-                            part.column(1).take(pa.array(take)),
-                            part.column(2).take(pa.array(take)),
                         ],
-                        names=["dim", "t", "cell", "own", "key", "weight", "raw"],
+                        names=["dim", "t", "cell", "own", "key"],
                     )
 
-    return distinct.select("key", "weight", "raw").mapInArrow(run, schema)
+    return distinct.select("key", "raw").mapInArrow(run, schema)
 
 
 def first_meeting(pa_: np.ndarray, pb: np.ndarray, t: int, cell: int) -> np.ndarray:
@@ -175,13 +171,14 @@ def compared(cell: tuple, keys: np.ndarray, weights: np.ndarray, own: np.ndarray
     )
 
 
-def meetings(rows: DataFrame, kind: str, least: float, shape: tuple[int, int, int]) -> DataFrame:
-    """key, links, other: parts of the degrees, and a forest's edges, of vectors that meet in a cell."""
+def meetings(rows: DataFrame, distinct: DataFrame, kind: str, least: float, shape: tuple[int, int, int]) -> DataFrame:
+    """key, links, other: parts of the degrees, and a forest's edges, of vectors that meet in a cell.
+
+    rows are keys by cell; cells without two vectors, one of them its own, are dropped before the vectors are fetched."""
     place = ["dim", "t", "cell"]
-    hot = rows.groupBy(place).count().where(F.col("count") > BLOCK)
-    hot = materialize(hot.select(*place, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-cells")
-    dealt = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_CELLS else hot, place, "left")
-    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = rows.groupBy(place).agg(F.count("*").alias("rows"), F.max("own").alias("own"))
+    sizes = materialize(sizes.where("rows > 1 and own").select(*place, "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "cells")
+    dealt = with_unique(rows, sizes, place, rows.count()).join(distinct.select("key", "weight", "raw"), "key")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi")
@@ -244,8 +241,8 @@ def near_duplicates(
     )
     distinct = materialize(distinct, "vectors")
     kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
-    dealt = hashed(distinct, kind, tables, axes, probes)
-    met = materialize(meetings(dealt, kind, least, (tables, axes, probes)), "meetings")
+    probed = materialize(hashed(distinct, kind, tables, axes, probes), "probed")
+    met = materialize(meetings(probed, distinct, kind, least, (tables, axes, probes)), "meetings")
     links = met.groupBy("key").agg(F.sum("links").alias("links"))
     reach = labelled(distinct.select("key", "rep", "weight"), met.select(F.col("key").alias("a"), F.col("other").alias("b")), "key", "rep")
     of_key = reach.join(links, "key", "left").select(

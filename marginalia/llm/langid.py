@@ -168,8 +168,15 @@ def learned_samples(labelled: DataFrame, id_col: str, text: str, lang: str) -> D
     """
     known = labelled.where(F.col(lang).isNotNull() & F.length(text).between(1, SAMPLE_TEXT))
     rows = known.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
-    by = Window.partitionBy("lang").orderBy("h", "t")
-    # The limit of rows is taken before the shuffle too, so a language with many rows is no hot key.
+    rows = rows.withColumn("u", F.pmod("h", F.lit(1 << 32)))
+    # Of languages with over a thousandth of all rows, fewer than a thousand, only rows whose hash is low enough to be among the
+    # first are sent on, five times as many as are taken; that fewer than those taken are among them doesn't happen.
+    counts = materialize(known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = counts.where(F.col("n") > max(5 * SAMPLE_ROWS, total / 1000)).select("lang", (5 * SAMPLE_ROWS * (1 << 32) / F.col("n")).alias("below"))
+    rows = rows.join(F.broadcast(many), "lang", "left").where("below is null or u < below").drop("below")
+    by = Window.partitionBy("lang").orderBy("u", "h", "t")
+    # The limit of rows is taken before the shuffle too.
     rows = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS)
     so_far = F.sum(F.length("t")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     taken = rows.withColumn("so_far", so_far).where((F.col("so_far") <= SAMPLE_CHARS) | (F.col("r") == 1))
