@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bars, proposals, reports, selection, tuning, twins
+from ..operators import bars, proposals, reports, review, selection, tuning, twins
 from ..session import cut_lineage
 from ..sources import documents
 from .queries import SEGMENTS, US, log, query, read
@@ -255,3 +255,96 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").withColumn("f", F.col("l_suppkey") % 5)
     scored = tuning.out_of_fold(li, ["l_quantity"], "l_extendedprice", "f", 0.0)
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("score", 3).alias("score"))
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as pages, line items as staves with two bar lines each; some staves are cues, some were edited."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = read(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(w))
+    p, u = F.col("l_partkey"), F.col("l_suppkey")
+    line = lambda k: F.struct(F.concat_ws("-", F.lit("b"), "i", F.lit(str(k))).alias("id"), (F.lit(k) / 10).alias("x0"), (F.lit(k) / 10).alias("x1"), ((p + k) % 3 > 0).alias("auto"))
+    some = lambda c, n: F.transform(F.sequence(F.lit(1), (c % n + 1).cast("int")), lambda x: x / 10)
+    staff = F.struct(
+        "i", F.concat_ws("-", F.lit("s"), "i").alias("id"), (F.col("i") / 10).alias("top"), F.when(u % 4 == 0, "cue").alias("role"), (p % 5 > 0).alias("auto"), F.when(u % 3 == 0, F.lit(2.0)).alias("above"),
+        F.when(u % 2 == 0, F.lit(2.0)).alias("below"), F.when(u % 5 == 0, some(p, 3)).alias("rejected"), F.array(line(1), line(2)).alias("barlines"),
+    )
+    held = li.groupBy("l_orderkey").agg(F.from_json(F.to_json(F.array_sort(F.collect_list(staff))), f"array<struct<{documents.SYSTEM}>>").alias("systems"))
+    o = read(spark, sf_dir, "orders").join(held, F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select(
+        "o_custkey", F.col("o_orderkey").alias("page"), F.when(F.col("o_orderstatus") == "F", "reviewed").otherwise("edited").alias("status"), F.when(F.col("o_orderkey") % 7 > 0, "music").otherwise("title").alias("kind"),
+        F.lit("va").alias("part"), F.when(F.col("o_orderkey") % 2 == 0, some(F.col("o_orderkey"), 4)).alias("rejected_staves"), "systems",
+    )
+
+
+@query("""WITH s AS (SELECT o_custkey AS c, o_orderkey AS o, l_partkey AS p, l_suppkey AS u FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderkey % 7 > 0),
+  t AS (SELECT c, o, count(*) FILTER (u % 4 > 0) AS staves, count(*) FILTER (u % 4 > 0 AND p % 5 = 0) AS staves_changed, 2 * count(*) FILTER (u % 4 > 0) AS lines,
+    sum(CASE WHEN u % 4 > 0 THEN CAST((p + 1) % 3 > 0 AS INT) + CAST((p + 2) % 3 > 0 AS INT) ELSE 0 END) AS kept, sum(CASE WHEN u % 4 > 0 AND u % 5 = 0 THEN p % 3 + 1 ELSE 0 END) AS deleted FROM s GROUP BY ALL)
+  SELECT c AS o_custkey, count(*) AS pages, CAST(sum(staves) AS BIGINT) AS staves, CAST(sum(staves_changed) AS BIGINT) AS staves_changed, CAST(sum(CASE WHEN o % 2 = 0 THEN o % 4 + 1 ELSE 0 END) AS BIGINT) AS staves_deleted,
+    CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(lines - kept) AS BIGINT) AS changed, CAST(sum(deleted) AS BIGINT) AS deleted, round(CASE WHEN sum(lines) > 0 THEN sum(kept) / sum(lines) ELSE 0 END, 9) AS kept_share FROM t GROUP BY c""")
+def edit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = review.edit_report(review.edit_counts(order_pages(spark, sf_dir), ["o_custkey"]), ["o_custkey"])
+    return out.withColumn("kept_share", F.round("kept_share", 9))
+
+
+@query("""SELECT o_custkey, o_orderkey AS page FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 > 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 6 = 0)""")
+def edited_crop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.edited_crops(order_pages(spark, sf_dir)).select("o_custkey", "page")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey AS page, o_orderstatus = 'F' AND o_orderkey % 7 > 0 AS there, bool_or(l_partkey % 50 = 0) AS moved FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+  SELECT o_custkey, bool_or(moved OR page % 41 = 0) AS changed FROM o WHERE there GROUP BY o_custkey""")
+def truth_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose reviewed truth differs in a version with other staves for some parts and without some pages."""
+    pages = cut_lineage(order_pages(spark, sf_dir), "pages")
+    moved = read(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_orderkey").alias("page")).distinct().withColumn("moved", F.lit(True))
+    new = pages.where("page % 41 > 0").join(moved, "page", "left")
+    new = new.withColumn("systems", F.when(F.col("moved"), F.transform("systems", lambda s: s.withField("top", s["top"] + 1))).otherwise(F.col("systems")))
+    return review.truth_changed(review.bar_line_truth(pages, ["o_custkey"]), review.bar_line_truth(new, ["o_custkey"]), ["o_custkey"])
+
+
+@query("""WITH b AS (SELECT o_custkey AS c, CASE WHEN l_suppkey % 2 = 0 THEN 'va' ELSE 'vc' END AS part, CASE l_partkey % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'II' ELSE 'III' END AS m, l_linenumber AS bar, CAST(l_quantity AS BIGINT) % 3 AS n,
+    CASE WHEN l_returnflag = 'R' THEN 'repeat_end' ELSE 'single' END AS kind, l_linestatus = 'F' AS ends FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  r AS (SELECT c, part, m, sum(n) AS bars, bool_or(n = 0 AND bar = 0) AS pickup, bool_or(ends) AS ended, coalesce(string_agg(bar + n - 1, ' ' ORDER BY bar + n - 1) FILTER (kind = 'repeat_end' AND n > 0), '') AS repeats,
+    coalesce(string_agg(bar, ' ' ORDER BY bar) FILTER (kind = 'repeat_end' AND n = 0), '') AS on_pickup FROM b GROUP BY ALL),
+  e AS (SELECT c, part, m, CASE WHEN m <> 'IV' THEN c % 9 + 2 END AS total FROM (SELECT DISTINCT c, part FROM r), (VALUES ('I'), ('II'), ('IV')) x(m))
+  SELECT coalesce(r.c, e.c) AS o_custkey, coalesce(r.part, e.part) AS part, coalesce(r.m, e.m) AS movement, CAST(coalesce(bars, 0) AS BIGINT) AS bars, total,
+    CASE WHEN coalesce(bars, 0) = total THEN 'ok' WHEN coalesce(bars, 0) <> total AND coalesce(ended, false) THEN 'bad' END AS verdict, coalesce(pickup, false) AS pickup, coalesce(ended, false) AS ended, coalesce(repeats, '') AS repeats, coalesce(on_pickup, '') AS on_pickup
+  FROM r FULL JOIN e ON r.c = e.c AND r.part = e.part AND r.m = e.m""")
+def counts_against_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    movement = F.element_at(F.array(*map(F.lit, ("I", "II", "III"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    bars_ = li.select(
+        "o_custkey", F.when(F.col("l_suppkey") % 2 == 0, "va").otherwise("vc").alias("part"), movement.alias("movement"), F.col("l_linenumber").cast("long").alias("bar"), (F.col("l_quantity").cast("long") % 3).alias("count"),
+        F.when(F.col("l_returnflag") == "R", "repeat_end").otherwise("single").alias("kind"), (F.col("l_linestatus") == "F").alias("ends"),
+    )
+    held = bars_.select("o_custkey").distinct()
+    expected = held.select("o_custkey", F.explode(F.array(*map(F.lit, ("I", "II", "IV")))).alias("movement"), (F.col("o_custkey") % 9 + 2).alias("total")).withColumn("template", F.col("movement") == "IV")
+    out = review.counts_against_expected(bars_, expected, ["o_custkey"])
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return out.select("o_custkey", "part", "movement", "bars", "total", "verdict", "pickup", "ended", joined("repeats"), joined("on_pickup"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_partkey % 3 > 0 AS kept, p_partkey % 7 = 0 AS known, p_partkey % 4 = 0 AS in_set, CASE WHEN p_partkey % 5 = 0 THEN 'late' WHEN p_partkey % 10 = 1 THEN 'early' END AS reason FROM part)
+  SELECT p_partkey, CASE WHEN kept THEN CASE WHEN in_set THEN 'set' ELSE 'paired' END WHEN known THEN 'unpaired' ELSE 'unknown' END AS status,
+    CASE WHEN NOT kept AND known THEN 'faint' WHEN kept AND NOT in_set THEN coalesce(reason, '') ELSE '' END AS why FROM s""")
+def staff_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as staves: which are paired, in a set, or left out, and why; the second set's reasons hold over the first one's."""
+    p = read(spark, sf_dir, "part").select("p_partkey")
+    left = p.where("p_partkey % 5 = 0").select("p_partkey", F.lit(2).alias("set_order"), F.lit("late").alias("reason"))
+    left = left.unionByName(p.where("p_partkey % 5 = 0 or p_partkey % 10 = 1").select("p_partkey", F.lit(1).alias("set_order"), F.lit("early").alias("reason")))
+    out = review.standing(p, p.where("p_partkey % 3 > 0"), p.where("p_partkey % 7 = 0").withColumn("why", F.array(F.lit("faint"))), p.where("p_partkey % 4 = 0"), left, ["p_partkey"])
+    return out.select("p_partkey", "status", F.array_join("why", ";").alias("why"))
+
+
+@query()
+def staff_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as staves on a page 1,000 wide: their line items' places are their own bar lines, and up to four detectors' proposals."""
+    li = read(spark, sf_dir, "lineitem")
+    staves = read(spark, sf_dir, "orders").select("o_orderkey", F.lit(100.0).alias("left"), F.lit(900.0).alias("right"), F.lit(20.0).alias("gap"), F.lit(915.0).alias("paper"), F.lit(1000.0).alias("width"))
+    x = (F.col("l_partkey") % 900 + 100).cast("double")
+    own = li.where("l_suppkey % 3 > 0").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("line"), x.alias("x"))
+    four = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    readers = staves.select("o_orderkey", four.alias("d")).where("(o_orderkey + d) % 5 > 0").select("o_orderkey", F.concat(F.lit("d"), F.col("d").cast("string")).alias("detector"), F.lit(0.3).alias("threshold"))
+    said = li.select(F.col("l_orderkey").alias("o_orderkey"), four.alias("d"), x.alias("x"), "l_suppkey", "l_tax")
+    said = said.select("o_orderkey", F.concat(F.lit("d"), F.col("d").cast("string")).alias("detector"), (F.col("x") + (F.col("l_suppkey") + F.col("d")) % 9 - 4).alias("x"), (F.col("l_tax") * 10 + F.col("d") / 10).alias("sure"))
+    return review.staff_votes(staves, own, readers, said, ["o_orderkey"]).withColumn("x", F.round("x", 6))
