@@ -21,7 +21,8 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Suffixes of two labels under which anyone may register a name (the common ones; pass a longer list if needed).
+#: Suffixes of two labels under which anyone may register a name (the common ones; pass a longer list of rules if
+#: needed: see suffix_labels).
 SUFFIXES = [
     "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
     "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl",
@@ -55,19 +56,43 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
+def suffix_labels(name: Column, suffixes: list[str]) -> Column:
+    """How many labels of a host name, without a port, make its public suffix: by the longest rule that fits, 1 without any.
+
+    Rules are suffixes of any depth (co.uk); `*.` before one stands for any label there, `!` makes an exception from that: its
+    suffix is a label shorter. An exception holds before all other rules.
+    """
+    plain = [r for r in suffixes if r[0] not in "*!"]
+    wild = [r.removeprefix("*.") for r in suffixes if r.startswith("*.")]
+    exempt = [r[1:] for r in suffixes if r.startswith("!")]
+    depth = lambda rules: max((r.count(".") + 1 for r in rules), default=0)
+    tail = lambda k: F.substring_index(name, ".", -k)
+    size = F.size(F.split(name, r"\."))
+    out = F.lit(1)
+    for k in range(1, max(depth(plain), depth(wild) + 1) + 1):
+        fits = tail(k).isin(*[r for r in plain if r.count(".") + 1 == k]) if plain else F.lit(False)
+        if k > 1 and wild:
+            fits = fits | tail(k - 1).isin(*[r for r in wild if r.count(".") + 2 == k])
+        out = F.when((size >= k) & fits, k).otherwise(out)
+    for k in range(2, depth(exempt) + 1):
+        out = F.when((size >= k) & tail(k).isin(*[r for r in exempt if r.count(".") + 1 == k]), k - 1).otherwise(out)
+    return out
+
+
 def suffix_of(host: Column, suffixes: list[str]) -> Column:
-    """The last two labels of a host name, without its port, if they are a suffix under which names are registered, else the
-    last; `ip` for numeric addresses."""
+    """The public suffix of a host name, without its port; `ip` for numeric addresses."""
     name = F.regexp_replace(host, r":\d*$", "")
-    two = F.substring_index(name, ".", -2)
-    return F.when(_numeric(name), "ip").when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(_numeric(name), "ip").otherwise(_last_labels(name, suffix_labels(name, suffixes)))
 
 
 def domain_of(host: Column, suffixes: list[str]) -> Column:
     """The registered domain of a host name, without its port: its suffix and one label more; a numeric address is its own."""
     name = F.regexp_replace(host, r":\d*$", "")
-    two = F.substring_index(name, ".", -2)
-    return F.when(_numeric(name), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
+    return F.when(_numeric(name), name).otherwise(_last_labels(name, suffix_labels(name, suffixes) + 1))
+
+
+def _last_labels(name: Column, k: Column) -> Column:
+    return F.call_function("substring_index", name, F.lit("."), -k)
 
 
 def _numeric(name: Column) -> Column:
@@ -107,8 +132,8 @@ def host_reputation(outcomes: DataFrame, suffixes: list[str] = SUFFIXES) -> Data
     """(host, a, b, rows): beta posteriors of the good rate per host, and how many rows of outcomes it has.
 
     outcomes: host, good (1, 0, or null where a page has no label). Every host is returned, those without labels with
-    their domain's posterior mean as prior. Null hosts are left out; an empty table gives an empty result. suffixes: those
-    of two labels; a host's registered domain is the label before its suffix with it.
+    their domain's posterior mean as prior. Null hosts are left out; an empty table gives an empty result. suffixes: rules
+    of suffix_labels; a host's registered domain is the label before its suffix with it.
     """
     counts = outcomes.where("host is not null").groupBy("host").agg(
         F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"), F.count("*").alias("rows")

@@ -356,6 +356,20 @@ def test_url_rules_and_reputation(spark):
     assert got[5]._bound > got[7]._bound and url_filter.judged(df.limit(0)).count() == 0
 
 
+def test_registered_domains_by_rules(spark):
+    rules = ["co.uk", "uk", "*.ck", "!www.ck", "a.b.example", "*.kobe.jp", "jp", "!city.kobe.jp"]
+    hosts = {
+        "www.shop.co.uk:80": ("co.uk", "shop.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.uk": ("uk", "x.uk"), "y.x.uk": ("uk", "x.uk"), "deep.x.any.ck": ("any.ck", "x.any.ck"), "any.ck": ("any.ck", "any.ck"),
+        "q.www.ck": ("ck", "www.ck"), "z.q.a.b.example": ("a.b.example", "q.a.b.example"), "q.b.example": ("example", "b.example"), "p.q.c.kobe.jp": ("c.kobe.jp", "q.c.kobe.jp"), "p.city.kobe.jp": ("kobe.jp", "city.kobe.jp"),
+        "10.0.0.1": ("ip", "10.0.0.1"), "lone": ("lone", "lone"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = {r.h: (r.s, r.d) for r in df.select("h", url_filter.suffix_of(F.col("h"), rules).alias("s"), url_filter.domain_of(F.col("h"), rules).alias("d")).collect()}
+    assert got == hosts
+    few = {r.h: r.d for r in df.select("h", url_filter.domain_of(F.col("h"), []).alias("d")).collect()}
+    assert few["www.shop.co.uk:80"] == "co.uk"
+
+
 def test_digest_queries_have_the_contract_columns(spark):
     d = "/root/testdata/sf0.001"
     want = {
