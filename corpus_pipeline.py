@@ -68,13 +68,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the hash of the bytes that they decode to, which is that of its text."""
+    """Token ids of every document, and the hash of the bytes that they decode to, which is that of its text.
+
+    Of the documents' columns doc_id, lang, source and n_chars stay, where they are there; the text and all others go."""
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encoded(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, pattern, back="bytes")
-    return coded.select(
-        "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256")
-    )
+    kept = [c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns]
+    coded = bpe.encoded(docs.select(*kept, "text"), path, pattern, back="bytes")
+    return coded.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -147,8 +147,17 @@ def boxes_one_to_one(pairs: DataFrame, keys: list[str], a: str, b: str, least: f
     return greedy_pairs(pairs.where(F.col(overlap) >= least), keys, a, b, [-F.col(overlap), F.col(a), F.col(b)])
 
 
+def _cut(rows: DataFrame, keys: list[str], at: str, far: Callable[[Column], Column]) -> DataFrame:
+    """rows with `__run`: a key is cut wherever far(gap to the row before) holds, so that only rows that may meet are gathered."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    cut = rows.withColumn("__new", F.coalesce(far(F.col(at) - F.lag(at).over(w)).cast("long"), F.lit(0)))
+    return cut.withColumn("__run", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
 def suppressed(rows: DataFrame, keys: list[str], row_id: str, at: str, strength: str, apart: float) -> DataFrame:
-    """Non-maximum suppression: rows, strongest first (ties: least row_id), at least `apart` from all kept before them."""
+    """Non-maximum suppression: rows, strongest first (ties: least row_id), at least `apart` from all kept before them.
+
+    A key is cut where rows are `apart` or more from the next; what lies closer together is one group."""
     cols = [c for c in rows.columns if c not in keys]
     weak = F.struct((-F.col(strength)).alias("__weak"), F.col(row_id).alias("__tie"), *cols)
     queue = F.array_sort(F.collect_list(weak))
@@ -159,7 +168,8 @@ def suppressed(rows: DataFrame, keys: list[str], row_id: str, at: str, strength:
         near = F.exists(kept, lambda k: F.abs(k[at] - r[at]) < apart)
         return F.when(near, kept).otherwise(F.concat(kept, F.array(r)))
 
-    chosen = rows.groupBy(*keys).agg(queue.alias("__q")).select(*keys, F.explode(F.aggregate("__q", none, step)).alias("r"))
+    runs = _cut(rows, keys, at, lambda gap: gap >= apart)
+    chosen = runs.groupBy(*keys, "__run").agg(queue.alias("__q")).select(*keys, F.explode(F.aggregate("__q", none, step)).alias("r"))
     return chosen.select(*keys, *[F.col(f"r.{c}") for c in cols])
 
 
@@ -174,7 +184,10 @@ def anchored_groups(rows: DataFrame, keys: list[str], at: str, tol: float) -> Da
         return F.when(F.size(acc) == 0, F.array(F.array(x))).when(fits, grown).otherwise(F.concat(acc, F.array(F.array(x))))
 
     points = F.array_sort(F.collect_list(F.col(at).cast("double")))
-    return rows.groupBy(*keys).agg(points.alias("__p")).select(*keys, F.aggregate("__p", empty, step).alias("groups"))
+    runs = _cut(rows, keys, at, lambda gap: gap > tol).groupBy(*keys, "__run").agg(points.alias("__p"))
+    parts = runs.select(*keys, "__run", F.aggregate("__p", empty, step).alias("g"))
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__run", "g"))).alias("parts"))
+    return whole.select(*keys, F.flatten(F.transform("parts", lambda p: p["g"])).alias("groups"))
 
 
 def vote(rows: DataFrame, keys: list[str], at: str, voter: str, tol: float, need: int) -> DataFrame:
@@ -194,7 +207,8 @@ def vote(rows: DataFrame, keys: list[str], at: str, voter: str, tol: float, need
         return F.when(F.size(acc) == 0, F.array(new)).when(fits, F.concat(head, F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
     points = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("x"), F.col(voter).cast("string").alias("v"))))
-    groups = rows.groupBy(*keys).agg(points.alias("__p")).select(*keys, F.explode(F.aggregate("__p", empty, step)).alias("g"))
+    runs = _cut(rows, keys, at, lambda gap: gap > tol).groupBy(*keys, "__run").agg(points.alias("__p"))
+    groups = runs.select(*keys, F.explode(F.aggregate("__p", empty, step)).alias("g"))
     mean = F.aggregate("g.xs", F.lit(0.0), lambda a, x: a + x) / F.size("g.xs")
     return groups.where(F.size("g.who") >= need).select(*keys, mean.alias("at"), F.size("g.who").cast("long").alias("voters"))
 
