@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bars, proposals, reports, review, selection, tuning, twins
+from ..operators import bars, proposals, reports, review, selection, tuning, twins, widths
 from ..session import cut_lineage
 from ..sources import documents
 from .queries import SEGMENTS, US, log, query, read
@@ -348,3 +348,25 @@ def staff_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = li.select(F.col("l_orderkey").alias("o_orderkey"), four.alias("d"), x.alias("x"), "l_suppkey", "l_tax")
     said = said.select("o_orderkey", F.concat(F.lit("d"), F.col("d").cast("string")).alias("detector"), (F.col("x") + (F.col("l_suppkey") + F.col("d")) % 9 - 4).alias("x"), (F.col("l_tax") * 10 + F.col("d") / 10).alias("sure"))
     return review.staff_votes(staves, own, readers, said, ["o_orderkey"]).withColumn("x", F.round("x", 6))
+
+
+@query("""WITH li AS (SELECT l_orderkey AS o, (l_partkey % 997) / 1000.0::DOUBLE AS m, CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 1 END AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+  s AS (SELECT l.*, o_orderkey % 9 = 0 AS cue, o_orderkey % 4 = 0 AS runs_on, o_orderstatus = 'F' AS reviewed, (o_custkey % 300 + 700) / 1000.0::DOUBLE AS "right" FROM li l JOIN orders ON o_orderkey = o),
+  b AS (SELECT *, row_number() OVER w AS place, m - lag(m) OVER w AS w FROM s WHERE NOT cue WINDOW w AS (PARTITION BY o ORDER BY m, i)),
+  g AS (SELECT o, any_value("right") AS r, any_value(runs_on) AS runs_on, max(m) AS far, count(*) AS n FROM b GROUP BY o),
+  f AS (SELECT o, n, CASE WHEN r - (far + 0.5::DOUBLE * 0.01::DOUBLE) > 0.01::DOUBLE THEN (r - far) / 0.01::DOUBLE WHEN (r - far) / 0.01::DOUBLE < -0.25 THEN (r - far) / 0.01::DOUBLE ELSE 0 END AS off, runs_on FROM g),
+  e AS (SELECT o, n, CASE WHEN runs_on THEN least(off, 0.0) ELSE off END AS off FROM f),
+  d AS (SELECT o, median(w) AS med, count(*) AS k FROM b WHERE n = 1 AND w >= 0.5::DOUBLE * 0.01::DOUBLE GROUP BY o)
+  SELECT o AS l_orderkey, 'stacked' AS kind, CAST(place AS INTEGER) AS place, 0.0::DOUBLE AS ratio FROM b WHERE w < 0.5::DOUBLE * 0.01::DOUBLE
+  UNION ALL SELECT o, CASE WHEN off > 0 THEN 'past' ELSE 'short' END, CAST(n + 1 AS INTEGER), round(abs(off), 6) FROM e WHERE off <> 0
+  UNION ALL SELECT b.o, CASE WHEN w > med THEN 'wide' ELSE 'narrow' END, CAST(place AS INTEGER), round(w / med, 6) FROM b JOIN d ON d.o = b.o WHERE NOT reviewed AND k >= 3 AND n = 1 AND w >= 0.5::DOUBLE * 0.01::DOUBLE AND (w > 1.8::DOUBLE * med OR w < 0.4::DOUBLE * med)""")
+def odd_bars_of_staves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as staves, their line items as bar lines: stacked ones, ends off their place, and bars of odd width."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(
+        (F.col("l_partkey") % 997 / 1000.0).alias("x0"), (F.col("l_partkey") % 997 / 1000.0).alias("x1"), F.when(F.col("l_suppkey") % 5 == 0, 2).alias("bar_count")).alias("b"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["b"]).alias("barlines"))
+    o = read(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    n = F.col("o_orderkey")
+    staff = F.struct(F.lit(0.2).alias("top"), F.lit(0.24).alias("bottom"), F.lit(0.0).alias("start"), ((F.col("o_custkey") % 300 + 700) / 1000.0).alias("right"), F.when(n % 9 == 0, "cue").alias("role"), (n % 4 == 0).alias("runs_on"), "barlines")
+    out = widths.odd_bars(o.select("l_orderkey", "o_orderstatus", staff.alias("s")), ["l_orderkey"], "s", F.lit(0.01), F.col("o_orderstatus") == "F")
+    return out.withColumn("ratio", F.round("ratio", 6))
