@@ -48,6 +48,23 @@ def reconcile(measures: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFra
     return each_part(both, keys, ["side", "at"], made, lambda rows: _reconciled([r["x0"] for r in rows if r["x0"]], [r["x1"] for r in rows if r["x1"]]))
 
 
+def wanted_lengths(boxes: DataFrame, staff: list[str], order: str, place: list[str], bar: Column) -> DataFrame:
+    """boxes with j (their place on a staff, from 0), ticks, bar_ticks (a bar's), exact, joins_next and count as reconcile takes them:
+    what each bar box of a staff should hold, by the time in force.
+
+    place: part, movement and bar of a box; count: bars it counts; bar: a bar's ticks there. A pickup (count 0), or one of
+    several boxes of a bar, is shorter than a bar, and joins the next box of the staff if that is of its bar.
+    """
+    w = Window.partitionBy(*staff).orderBy(order)
+    several = F.count("*").over(Window.partitionBy(*place)) > 1
+    rows = boxes.withColumn("__part", (F.col("count") == 0) | several).withColumn("bar_ticks", bar)
+    n = F.greatest(F.col("count"), F.lit(1))
+    same = F.lead(F.struct(*place)).over(w).eqNullSafe(F.struct(*place))
+    return rows.select(
+        *staff, *place, (F.row_number().over(w) - 1).alias("j"), (F.col("bar_ticks") * n).alias("ticks"), F.col("bar_ticks"), (~F.col("__part")).alias("exact"), n.alias("count"), (F.col("__part") & same).alias("joins_next")
+    )
+
+
 def _ways(i: int, j: int, z: list[dict], b: list[dict]) -> Iterator[tuple[str, int, int, int]]:
     """(way, measures, boxes, cost in twentieths) of the steps from measure i and box j."""
     more, left = len(z) - i, len(b) - j

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import diatonic
-from ..functions.notation import lookup
+from ..functions.notation import lookup, meter, pitch_name
 
 #: Ticks of a whole note here: note values down to a 64th with four dots, in tuplets of 3, 5, 6, 7, 9, 10, 11, 12 and 13.
 WHOLE = 2**10 * 3**2 * 5 * 7 * 11 * 13
@@ -146,3 +146,33 @@ def voice_lines(events: DataFrame, bar: list[str]) -> DataFrame:
     after = Window.partitionBy(*bar, "voice").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
     return out.select(*bar, "n", F.coalesce("line", F.first("line", ignorenulls=True).over(after), F.lit(1)).alias("line"))
 
+
+#: Clef tokens by the clefs' names.
+CLEF_TOKENS = {"treble": "clef:G2", "alto": "clef:C3", "tenor": "clef:C4", "bass": "clef:F4"}
+
+
+def in_clef(events: Column, middle: Column) -> Column:
+    """Read events (structs of kind, pos, dur, dots, grace, bar_rest and acc) as they are compared, at the pitches they have in a clef
+    whose middle line is `middle` (a diatonic number): a rest that fills the bar, or a whole one, has the length `bar`."""
+
+    def one(e: Column) -> Column:
+        rest = e["kind"] == "rest"
+        fills = rest & (F.coalesce(e["bar_rest"], F.lit(False)) | F.coalesce(e["dur"] == "whole", F.lit(False)))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            e["kind"].alias("kind"), F.when(rest, none).otherwise(F.array_sort(F.transform(e["pos"], lambda p: pitch_name(middle + p)))).alias("pitches"),
+            F.when(fills, "bar").otherwise(e["dur"]).alias("dur"), F.when(fills, 0).otherwise(e["dots"]).alias("dots"), e["grace"].alias("grace"),
+            F.when(rest, none).otherwise(F.array_sort(e["acc"])).alias("acc"),
+        )
+
+    return F.transform(events, one)
+
+
+def opening_tokens(key: Column, clef: Column, starts: Column, time: Column) -> Column:
+    """The tokens that a staff's reading begins with: its key (fifths); with a clef also the time, where the staff starts a movement,
+    and the clef."""
+    m = meter(time)
+    timed = F.array(F.lit("time"), F.concat(F.lit("beats:"), F.get(m, F.lit(0)).cast("string")), F.concat(F.lit("beat-type:"), F.get(m, F.lit(1)).cast("string")))
+    none = F.array().cast("array<string>")
+    head = F.array(F.lit("measure"), F.concat(F.lit("key:fifths:"), key.cast("string")))
+    return F.when(clef.isNull(), head).otherwise(F.concat(head, F.when(starts, timed).otherwise(none), F.array(lookup(CLEF_TOKENS, clef))))

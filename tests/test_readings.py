@@ -6,6 +6,8 @@ import itertools
 import random
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from marginalia.operators import alignment, readings
 
 STEPS = "CDEFGAB"
@@ -210,3 +212,14 @@ def test_placements_have_the_most_evidence(spark):
         p = tuple(x for _, x in sorted(got[k].items()))
         assert p in best and p[-1] == min(q[-1] for q in best)
     assert alignment.placed(e.limit(0), s, ["k"]).count() == 0
+
+
+def test_events_in_a_clef_and_how_staves_open(spark):
+    events = [("note", [2, 0], "8th", 1, False, None, ["sharp", "flat"]), ("rest", [], "whole", 1, False, False, []), ("rest", [], "half", 1, False, True, ["flat"]), ("rest", [], "8th", 0, False, None, [])]
+    df = spark.createDataFrame([(events,)], "e array<struct<kind:string,pos:array<int>,dur:string,dots:int,grace:boolean,bar_rest:boolean,acc:array<string>>>")
+    got = [tuple(e) for e in df.select(readings.in_clef(F.col("e"), F.lit(number("B4"))).alias("x")).first().x]
+    assert got == [("note", ["B4", "D5"], "8th", 1, False, ["flat", "sharp"]), ("rest", [], "bar", 0, False, []), ("rest", [], "bar", 0, False, []), ("rest", [], "8th", 0, False, [])]
+    rows = [(2, "alto", True, "C"), (-1, "bass", False, "3/4"), (0, None, True, "C/")]
+    opens = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k int, c string, s boolean, t string").orderBy("i")
+    got = [r.o for r in opens.select(readings.opening_tokens(F.col("k"), F.col("c"), F.col("s"), F.col("t")).alias("o")).collect()]
+    assert got == [["measure", "key:fifths:2", "time", "beats:4", "beat-type:4", "clef:C3"], ["measure", "key:fifths:-1", "clef:F4"], ["measure", "key:fifths:0"]]
