@@ -86,7 +86,7 @@ def whole_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
   waits AS (SELECT s.user_id, r.stretch, s.t_end FROM server s ASOF JOIN spans r ON s.user_id = r.user_id AND s.t >= r.lo WHERE s.t <= r.hi + 60000000),
   tops AS (SELECT s.user_id, s.stretch, lo, greatest(hi, coalesce((SELECT max(e) FROM pieces p WHERE p.user_id = s.user_id AND p.stretch = s.stretch), hi), coalesce((SELECT max(t_end) FROM waits w WHERE w.user_id = s.user_id AND w.stretch = s.stretch), hi)) AS hi FROM spans s),
   marks AS (SELECT l.user_id, r.stretch, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS n FROM log l ASOF JOIN tops r ON l.user_id = r.user_id AND l.t >= r.lo WHERE l.t <= r.hi AND event_type IN ('view', 'click'))
-  SELECT e.user_id, e.stretch, e.lo AS start, e.hi AS "end", coalesce(p.n, 0) AS pieces, coalesce(w.n, 0) AS waits, CAST(coalesce(m.n, 0) AS BIGINT) AS marks FROM tops e
+  SELECT e.user_id, e.stretch, e.lo AS start, CAST(e.hi AS BIGINT) AS "end", coalesce(p.n, 0) AS pieces, coalesce(w.n, 0) AS waits, CAST(coalesce(m.n, 0) AS BIGINT) AS marks FROM tops e
   LEFT JOIN (SELECT user_id, stretch, count(*) AS n FROM pieces GROUP BY ALL) p ON p.user_id = e.user_id AND p.stretch = e.stretch
   LEFT JOIN (SELECT user_id, stretch, count(*) AS n FROM waits GROUP BY ALL) w ON w.user_id = e.user_id AND w.stretch = e.stretch
   LEFT JOIN (SELECT user_id, stretch, sum(n) AS n FROM marks GROUP BY ALL) m ON m.user_id = e.user_id AND m.stretch = e.stretch""")
