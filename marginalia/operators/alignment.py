@@ -73,9 +73,20 @@ def whole_unlikeness(a: pd.Series, b: pd.Series, kinds_a: pd.Series, kinds_b: pd
     return pd.Series([None if r[0] is None or r[1] is None else _distance(*r) / max(len(r[0]), len(r[1]), 1) for r in rows], dtype="float64")
 
 
-def symbol_errors(a: Column, b: Column) -> Column:
-    """Unit edit distance of two token arrays, counted at most as twice the first one's length."""
-    return F.least(edit_distance(a, b), 2.0 * F.size(a))
+def symbol_error_rate(rows: DataFrame, keys: list[str], wanted: str, got: str) -> DataFrame:
+    """(keys, rows, symbols, errors, rate, cut_errors, cut_rate, exact, runaways) of readings (token arrays) against what is wanted.
+
+    errors are edits, rate their share of the wanted symbols. A runaway, a reading of over twice the wanted length, can swamp
+    a rate: cut_errors take readings cut at that length. Rates without symbols are null; rows with a null array are left out.
+    """
+    told = rows.where(F.col(wanted).isNotNull() & F.col(got).isNotNull())
+    n = F.size(wanted)
+    each = told.select(*keys, n.alias("n"), whole_distance(F.col(wanted), F.col(got)).alias("e"), whole_distance(F.col(wanted), F.slice(got, F.lit(1), 2 * n)).alias("c"), (F.size(got) > 2 * n).alias("far"))
+    out = each.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.sum("n").alias("symbols"), F.sum("e").cast("long").alias("errors"), F.sum("c").cast("long").alias("cut_errors"), F.count_if(F.col("e") == 0).alias("exact"), F.count_if("far").alias("runaways")
+    )
+    rate = lambda c: F.when(F.col("symbols") > 0, F.col(c) / F.col("symbols"))
+    return out.select(*keys, "rows", "symbols", "errors", rate("errors").alias("rate"), "cut_errors", rate("cut_errors").alias("cut_rate"), "exact", "runaways")
 
 
 def align_sequences(left: DataFrame, right: DataFrame, keys: list[str], order: str, token: str, band: int = 64, gap: float = 0.45) -> DataFrame:

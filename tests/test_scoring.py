@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from marginalia.operators import scoring
+from marginalia.operators import alignment, scoring
+from marginalia.streaming import sessions
 
 EVENT = "struct<kind:string,pitches:array<string>,dur:string,dots:int,grace:boolean,acc:array<string>>"
 ORDER = "CDEFGAB"
@@ -105,3 +106,34 @@ def test_the_clef_with_most_hits(spark):
     df = spark.createDataFrame([("a", 0, 28), ("a", 1, 29), ("a", 2, 36), ("b", 0, 5), ("c", 0, 34), ("c", 0, 28)], "staff string, place int, encoded int")
     got = {r.staff: (r.clef, r.hits) for r in scoring.clef_votes(df, ["staff"], {"treble": 34, "alto": 28, "tenor": 26, "bass": 22}).collect()}
     assert got == {"a": ("alto", 2), "b": ("treble", 0), "c": ("treble", 1)}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_symbol_errors_with_and_without_runaways(spark):
+    rng = random.Random(3)
+    word = lambda n: [rng.choice("abc") for _ in range(n)]
+    rows = [(k % 3, w, w if rng.random() < 0.2 else word(rng.randrange(30))) for k in range(60) for w in [word(rng.randrange(9))]] + [(0, None, ["a"]), (1, ["a"], None), (7, [], ["a"])]
+    got = {r.k: tuple(r)[1:] for r in alignment.symbol_error_rate(spark.createDataFrame(rows, "k int, a array<string>, b array<string>"), ["k"], "a", "b").collect()}
+    for k in range(3):
+        own = [(a, b) for key, a, b in rows if key == k and a is not None and b is not None]
+        n, e, c = sum(len(a) for a, _ in own), sum(edits(a, b) for a, b in own), sum(edits(a, b[: 2 * len(a)]) for a, b in own)
+        assert got[k] == (len(own), n, e, e / n, c, c / n, sum(a == b for a, b in own), sum(len(b) > 2 * len(a) for a, b in own))
+    assert got[7] == (1, 0, 1, None, 0, None, 0, 1)
+
+
+def test_events_sent_again_count_once(spark, tmp_path):
+    rows = [("2026-01-01 10:00:00", "a"), ("2026-01-01 10:00:00", "a"), ("2026-01-01 10:10:00", "b"), ("2026-01-01 10:20:00", "a")]
+    spark.createDataFrame(rows, "ts string, k string").write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, k string").json(f"{tmp_path}/in")
+    q = sessions.distinct_events(stream, "ts", ["ts", "k"]).writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((str(r.ts), r.k) for r in spark.table("once").collect()) == sorted(set(rows))
