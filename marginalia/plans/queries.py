@@ -177,8 +177,10 @@ def part_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_suppkey, l_orderkey, arg_max(l_returnflag <> 'N', l_linenumber) AND bool_and(l_linestatus = 'F')
   AND count(DISTINCT l_linenumber) = max(l_linenumber) AS complete FROM lineitem GROUP BY l_suppkey, l_orderkey""")
 def complete_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").withColumn("ends", F.col("l_returnflag") != "N").withColumn("seen", F.col("l_linestatus") == "F")
-    return numbering.complete_runs(li, ["l_suppkey", "l_orderkey"], "l_linenumber", ["l_linenumber", "l_partkey"], "ends", "seen")
+    """Of line items of one number the first in the table counts."""
+    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_name", "row_index")]
+    li = read(spark, sf_dir, "lineitem").select("*", *place).withColumn("ends", F.col("l_returnflag") != "N").withColumn("seen", F.col("l_linestatus") == "F")
+    return numbering.complete_runs(li, ["l_suppkey", "l_orderkey"], "l_linenumber", ["file_name", "row_index"], "ends", "seen")
 
 
 @query("""SELECT c_nationkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL

@@ -88,6 +88,21 @@ def test_greedy_takes_the_nearest_pair_first(spark):
     assert rows(matching.nearest_within(a, b, ["k"], "t_id", "f_id", "t", "f", 1.0).select("t_id", "f_id")) == [(1, 7), (2, 7)]
 
 
+def test_of_rows_of_the_last_page_the_first_tells_whether_a_run_is_complete(spark):
+    df = spark.createDataFrame([(1, 1, 1, True), (1, 1, 0, False), (2, 1, 0, True), (2, 1, 1, False), (2, None, 2, True)], "k int, page int, place int, ends boolean").withColumn("seen", F.lit(True))
+    assert rows(numbering.complete_runs(df, ["k"], "page", ["place"], "ends", "seen")) == [(1, False), (2, True)]
+
+
+def test_nearest_within_looks_up_places_instead_of_pairing_rows(spark):
+    rng = random.Random(5)
+    left = [(rng.randint(0, 2), i, rng.randint(0, 300) / 4) for i in range(300)] + [(None, 900, 1.0), (0, 901, None), (0, 902, float("nan")), (5, 903, 1.0)]
+    right = [(rng.randint(0, 2), i, rng.randint(0, 300) / 4) for i in range(200)] + [(None, 900, 1.0), (0, 901, None), (0, 902, float("nan"))]
+    found = matching.nearest_within(spark.createDataFrame(left, "k int, t_id int, t double"), spark.createDataFrame(right, "k int, f_id int, f double"), ["k"], "t_id", "f_id", "t", "f", 0.5)
+    near = {(k, i): min(((abs(x - y), j) for n, j, y in right if n == k and y is not None and abs(x - y) <= 0.5), default=None) for k, i, x in left if k is not None and x is not None}
+    assert {((r.k, r.t_id), (r.distance, r.f_id)) for r in found.collect()} == {p for p in near.items() if p[1]}
+    assert "__bin" not in found._jdf.queryExecution().toString()  # cells in which all rows of both sides meet
+
+
 def test_matchings_equal_brute_force(spark):
     rng = random.Random(2)
     t = [(i, rng.randrange(60) / 4, rng.random()) for i in range(40)]
