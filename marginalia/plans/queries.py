@@ -382,14 +382,10 @@ def interval_join_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM b a JOIN b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id)
   SELECT a, b, round(i / (200 - i), 6) AS iou FROM p WHERE i / (200 - i) > 0.25""")
 def box_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    side = lambda k: p.select(
-        "p_brand", "p_type", F.col("p_partkey").alias(k), F.col("p_size").cast("double").alias(f"{k}l"), (F.col("p_retailprice") % 50).alias(f"{k}t"),
-        (F.col("p_size") + 10.0).alias(f"{k}r"), (F.col("p_retailprice") % 50 + 10).alias(f"{k}d"),
-    )
-    both = side("a").join(side("b"), ["p_brand", "p_type"]).where("a < b")
-    box = lambda k: [F.col(f"{k}{c}") for c in "ltrd"]
-    return both.withColumn("iou", matching.iou(box("a"), box("b"))).where("iou > 0.25").select("a", "b", F.round("iou", 6).alias("iou"))
+    t = F.col("p_retailprice") % 50
+    p = read(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", F.col("p_size").cast("double").alias("l"), t.alias("t"), (F.col("p_size") + 10.0).alias("r"), (t + 10).alias("d"))
+    out = matching.overlapping(p, ["p_brand", "p_type"], "p_partkey", ["l", "t", "r", "d"], 0.25, 10.0, 10.0)
+    return out.select("a", "b", F.round("iou", 6).alias("iou"))
 
 
 @query("""SELECT 'all' AS level, 'all' AS key, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) FILTER (l_discount > 0.05) AS cheap FROM lineitem

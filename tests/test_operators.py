@@ -103,6 +103,22 @@ def test_nearest_within_looks_up_places_instead_of_pairing_rows(spark):
     assert "__bin" not in found._jdf.queryExecution().toString()  # cells in which all rows of both sides meet
 
 
+def test_overlapping_boxes_equal_brute_force(spark):
+    rng = random.Random(7)
+    made = [(rng.randint(0, 1), float(rng.randint(-9, 9)), float(rng.randint(-9, 9)), rng.randint(0, 7), rng.randint(0, 7)) for _ in range(60)]
+    boxes = [(k, i, x, y, x + w, y + h) for i, (k, x, y, w, h) in enumerate(made + made[:20])]
+    df = spark.createDataFrame(boxes, "k int, id int, l double, t double, r double, d double")
+    found = matching.overlapping(df, ["k"], "id", ["l", "t", "r", "d"], 0.25, 3.0, 2.0)
+
+    def iou(a, b):
+        w, h = max(min(a[4], b[4]) - max(a[2], b[2]), 0), max(min(a[5], b[5]) - max(a[3], b[3]), 0)
+        union = (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - w * h
+        return w * h / union if union > 0 else 0.0
+
+    want = [(a[0], a[1], b[1], iou(a, b)) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and iou(a, b) > 0.25]
+    assert rows(found) == sorted(want)
+
+
 def test_matchings_equal_brute_force(spark):
     rng = random.Random(2)
     t = [(i, rng.randrange(60) / 4, rng.random()) for i in range(40)]
