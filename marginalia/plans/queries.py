@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notation
 from ..operators import activity, alignment, bars, comparison, evaluation, matching, numbering, reports
-from ..session import ship
+from ..session import ship, spread
 from ..sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    spread(spark, path)
+    return spark.read.parquet(path)
 
 
 def micros(ts: Column) -> Column:

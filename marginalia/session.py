@@ -31,6 +31,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Bytes of stored input for each partition of a shuffle, and of a shuffle for each task that reads it.
+INPUT_BYTES, TASK_BYTES = 2 << 20, 8 << 20
+_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def spread(spark: SparkSession, path: str) -> None:
+    """Let shuffles have as many partitions as the table at path asks for, never fewer than they had, and tasks read no more than
+    TASK_BYTES of them at once, where the session leaves that to Spark's default: a task's memory then doesn't grow with the input."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if stored // INPUT_BYTES > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", stored // INPUT_BYTES)
+    if spark.conf.get(_ADVISED) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(_ADVISED, TASK_BYTES)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
