@@ -27,6 +27,35 @@ def ticks(dur: Column, dots: Column) -> Column:
     return (unit * 2 - F.floor(unit / F.pow(F.lit(2), F.coalesce(dots, F.lit(0))))).cast("long")
 
 
+#: A token that begins an event.
+HEAD = r"(?:[A-G][0-9]|rest)(?!\S)"
+
+
+def _count(text: Column, of: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(of)))
+
+
+def _has(text: Column, token: str, at: int | None = None) -> Column:
+    """Whether text has a token, or begins with it (at 1); each follows one blank."""
+    if at:
+        return F.startswith(text, F.lit(f" {token}")) & ~text.rlike(rf"^ {token}\S")
+    return F.contains(text, F.lit(f" {token}")) & text.rlike(rf" {token}(?!\S)")
+
+
+def _last(text: Column, name: str) -> Column:
+    """What follows `name:` in the last such token of text, else null."""
+    return F.when(F.contains(text, F.lit(f" {name}:")), F.substring(F.regexp_extract(text, rf"(?s).* {name}:(\S*)", 1), 1, 100))
+
+
+def _first_value(text: str | Column) -> Column:
+    return F.nullif(F.regexp_extract(text, rf" ({'|'.join(SIXTY_FOURTHS)})(?!\S)", 1), F.lit(""))
+
+
+def _dots(text: str | Column) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.contains(text, F.lit(" dot")), F.regexp_count(text, F.lit(r" dot(?!\S)"))).otherwise(0)
+
+
 def read_events(readings: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, DataFrame]:
     """(events, measures) of token strings, tokens separated by blanks. Keys must be unique.
 
@@ -38,61 +67,69 @@ def read_events(readings: DataFrame, keys: list[str], text: str) -> tuple[DataFr
     after `chord` joins the note before it in the measure; note values, `dot` and AinB (A in the time of B) then tell its
     length, of chords the first head's. `grace` makes the next event take no time. `backup` and `forward` move the time by
     the length that follows; voice:N holds on, clef:X too. Unknown tokens are passed over, as are tuplets of nothing and
-    lengths that follow no event. Empty measures at the end are left out; null and empty texts have none.
+    lengths that follow no event. Empty measures at the end are left out; null and empty texts have none. Rows are events,
+    never tokens: patterns part a measure's text into them, windows over them carry what holds on.
     """
-    t = F.col("t")
-    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    rows = readings.select(*keys, F.posexplode(split).alias("i", "t"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    head = t.rlike("^[A-G][0-9]$") | (t == "rest")
-    rows = rows.withColumn("measure", F.sum((t == "measure").cast("int")).over(up_to) - 1).where("measure >= 0").withColumn("head", head)
-    rows = rows.withColumn("value", t.isin(*SIXTY_FOURTHS)).withColumn("move", t.isin("backup", "forward"))
-    # What was flagged since the head before.
-    last = F.coalesce(F.max(F.when(F.col("head"), F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    since = lambda flag: F.coalesce(F.max(F.when(t == flag, F.col("i"))).over(up_to), F.lit(-1))
-    rows = rows.withColumn("chorded", since("chord") > last).withColumn("graced", since("grace") > last)
-    inside = Window.partitionBy(*keys, "measure").orderBy("i")
-    before = F.last(F.when(F.col("head"), t), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("member", F.col("head") & (t != "rest") & F.col("chorded") & F.coalesce(before != "rest", F.lit(False)))
-    made = F.col("head") & ~F.col("member")
-    rows = rows.withColumn("made", made).withColumn("segment", F.sum((made | F.col("move") | (t == "measure")).cast("int")).over(up_to))
-    rows = rows.withColumn("event", F.last(F.when(F.col("made"), F.col("i")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("clef", F.coalesce(F.last(F.when(t.startswith("clef:"), F.substring(t, 6, 100)), ignorenulls=True).over(up_to), F.lit("G2")))
-    rows = rows.withColumn("voice", F.coalesce(F.last(F.when(t.startswith("voice:"), F.substring(t, 7, 100)), ignorenulls=True).over(up_to), F.lit("1")))
-    piece = Window.partitionBy(*keys, "segment").orderBy("i")
-    rows = rows.withColumn("closed", F.max(F.col("member")).over(piece.rowsBetween(Window.unboundedPreceding, 0)))
-    step = diatonic(t) - diatonic(F.coalesce(lookup(MIDDLE, F.col("clef")), F.lit("B4")))
-    rows = rows.withColumn("step", F.when(F.col("head") & (t != "rest"), step))
-
-    # A segment is an event, a move of the time or a measure's beginning, with the tokens that tell of it.
-    open_ = ~F.col("closed")
-    first = lambda c, when: F.min_by(c, F.when(when, F.col("i")))
-    final = lambda c, when: F.max_by(c, F.when(when, F.col("i")))
-    tuplet = open_ & t.rlike("^[1-9][0-9]{0,8}in[1-9][0-9]{0,8}$")
-    parts = rows.groupBy(*keys, "measure", "segment").agg(
-        F.min("i").alias("i"), F.min_by(t, F.col("i")).alias("starts"), F.min_by("made", "i").alias("made"), F.min_by("graced", "i").alias("grace"),
-        F.min_by("move", "i").alias("moves"), first("t", F.col("value") & (open_ | F.col("move"))).alias("dur"), first("t", F.col("value")).alias("any_dur"),
-        F.count_if(open_ & (t == "dot")).alias("dots"), F.count_if(t == "dot").alias("any_dots"), final("t", tuplet).alias("tuplet"), F.max(t == "rest:measure").alias("full"),
-        final("t", t.rlike("^multirest:[0-9]{1,9}$")).alias("many"), F.transform(F.array_sort(F.collect_list(F.when(t.isin(*ACCIDENTALS), F.struct("i", "t")))), lambda x: x["t"]).alias("acc"),
-        F.min_by("clef", "i").alias("clef"), final("voice", open_).alias("voice"),
+    # A measure is a text in which every token follows one blank; line feeds part its events, a tab stands before a chord's other
+    # heads and a carriage return before a move of the time. Rows are events with what follows them, and what opens a measure.
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    held = F.split(F.regexp_replace(plain, r" measure(?!\S)", "\n"), "\n")
+    measures = readings.select(*keys, F.posexplode(held).alias("__m", "__t"), _count(held[0], " ").alias("__skipped")).where("__m > 0")
+    parted = F.split(F.regexp_replace(F.regexp_replace("__t", r" (?=(?:backup|forward)(?!\S))", "\r "), rf" (?={HEAD})", "\n "), "\n")
+    measures = measures.select(*keys, (F.col("__m") - 1).cast("long").alias("measure"), "__skipped", parted.alias("__by_head"))
+
+    def mark(x: Column, k: Column) -> Column:
+        before = F.get("__by_head", k - 1)
+        joins = (k > 1) & ~_has(x, "rest", 1) & ~_has(before, "rest", 1) & _has(before, "chord")
+        return F.when(joins, F.concat(F.lit("\t"), x)).when(k > 0, F.concat(F.lit("\n"), x)).otherwise(x)
+
+    whole = F.when(F.size("__by_head") > 2, F.split(F.array_join(F.transform("__by_head", mark), ""), "\n")).otherwise(F.col("__by_head"))
+    rows = measures.select(*keys, "measure", "__skipped", F.posexplode(whole).alias("__k", "__t"))
+
+    t, made = F.col("__t"), F.col("__k") > 0
+    rows = rows.withColumn("__own", F.substring_index("__t", "\r", 1)).withColumn("__open", F.substring_index("__own", "\t", 1))
+    graced = _has(F.substring_index("__t", "\t", -1), "grace")
+    rows = rows.select(
+        *keys, "measure", "__k", "__skipped", "__t", "__own", "__open", (_count(t, " ") + F.when(made, 0).otherwise(1)).alias("__tokens"), _last(t, "clef").alias("__clef_after"), _last(t, "voice").alias("__voice_after"),
+        F.when(made | graced, graced).alias("__grace_after"), F.when(made, _first_value("__open")).alias("dur"), F.when(made, _dots("__open")).alias("dots"),
+        F.when(F.contains("__open", F.lit("in")), F.nullif(F.regexp_extract("__open", r"(?s).* ([1-9][0-9]{0,8}in[1-9][0-9]{0,8})(?!\S)", 1), F.lit(""))).alias("__tuplet"),
+    )
+    ratio = lambda n: F.regexp_extract("__tuplet", r"(\d+)in(\d+)", n).cast("long")
+    length = F.when(F.col("__tuplet").isNull(), ticks(F.col("dur"), F.col("dots"))).otherwise(F.round(ticks(F.col("dur"), F.col("dots")) * ratio(2) / ratio(1)).cast("long"))
+    sign = lambda x: F.when(F.startswith(x, F.lit(" backup")), -1).otherwise(1)
+    moves = F.transform(F.slice(F.split("__t", "\r"), 2, 1 << 30), lambda x: sign(x) * ticks(_first_value(x), _dots(x)))
+    reach = lambda s, x: F.struct((s["at"] + x).alias("at"), F.greatest(s["top"], s["at"] + x).alias("top"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("top"))
+    moved = F.when(F.contains("__t", F.lit("\r")), F.aggregate(moves, none, reach)).otherwise(none)
+    rows = rows.withColumn("length", F.when(made, length)).withColumn("__moved", moved)
+
+    # What was read before, in the whole text and in the measure: two windows of one order.
+    before = Window.partitionBy(*keys).orderBy("measure", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "measure").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    in_force = lambda c, first: F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(first))
+    rows = rows.select(
+        *keys, "measure", "__k", "__t", "__own", "dur", "dots", "length", "__moved", (F.col("__skipped") + F.coalesce(F.sum("__tokens").over(before), F.lit(0))).cast("int").alias("n"),
+        in_force("__clef_after", "G2").alias("clef"), F.coalesce(_last(F.col("__open"), "voice"), in_force("__voice_after", "1")).alias("voice"), in_force("__grace_after", False).alias("grace"),
     )
-    ratio = lambda n: F.regexp_extract("tuplet", r"(\d+)in(\d+)", n).cast("long")
-    length = F.when(F.col("tuplet").isNull(), ticks(F.col("dur"), F.col("dots"))).otherwise(F.round(ticks(F.col("dur"), F.col("dots")) * ratio(2) / ratio(1)).cast("long"))
-    parts = parts.withColumn("length", F.when(F.col("made"), length))
-    sign = F.when(F.col("starts") == "backup", -1).otherwise(1)
-    shift = F.when(F.col("moves"), sign * ticks(F.col("any_dur"), F.col("any_dots"))).when(F.col("made") & ~F.col("grace"), F.col("length")).otherwise(0)
-    run = Window.partitionBy(*keys, "measure").orderBy("i")
-    parts = parts.withColumn("shift", shift.cast("long")).withColumn("end", F.sum("shift").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = rows.where("head").groupBy(*keys, F.col("event").alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "step"))), lambda x: x["step"]).alias("pos"))
-    events = parts.where("made").join(heads, [*keys, "i"], "left")
-    rest = F.col("starts") == "rest"
-    events = events.select(
-        *keys, "measure", F.col("i").alias("n"), (F.col("end") - F.col("shift")).alias("onset"), "length", F.when(rest, "rest").otherwise("note").alias("kind"),
-        F.when(rest, F.array().cast("array<int>")).otherwise(F.col("pos").cast("array<int>")).alias("pos"), "acc", F.coalesce(lookup(COMPARED, F.col("dur")), "dur").alias("dur"),
-        F.col("dots").cast("int").alias("dots"), "grace", (rest & F.col("full")).alias("bar_rest"), F.when(rest, F.split_part("many", F.lit(":"), F.lit(2)).cast("int")).alias("bars"), "voice", "clef",
+    rows = rows.withColumn("__taken", F.when(made & ~F.col("grace"), F.col("length")).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("onset", F.coalesce(F.sum(F.col("__taken") + F.col("__moved.at")).over(inside), F.lit(0)).cast("long"))
+
+    rest = _has(t, "rest", 1)
+    step = lambda pitch, clef: (diatonic(pitch) - diatonic(F.coalesce(lookup(MIDDLE, clef), F.lit("B4")))).cast("int")
+    heads = F.split("__t", "\t")
+    clef_at = lambda k: F.coalesce(_last(F.array_join(F.slice(heads, 1, k), ""), "clef"), F.col("clef"))
+    pitch = lambda x: F.substring(x, 2, 2)
+    chord = F.when(F.contains("__t", F.lit(" clef:")), F.transform(heads, lambda x, k: step(pitch(x), clef_at(k)))).otherwise(F.transform(heads, lambda x: step(pitch(x), F.col("clef"))))
+    pos = F.when(rest, F.array().cast("array<int>")).when(F.contains("__t", F.lit("\t")), chord).otherwise(F.array(step(pitch(t), F.col("clef"))))
+    altered = F.contains("__own", F.lit("sharp")) | F.contains("__own", F.lit("flat")) | F.contains("__own", F.lit("natural"))
+    acc = F.when(altered, F.regexp_extract_all("__own", F.lit(rf" ({'|'.join(ACCIDENTALS)})(?!\S)"), 1)).otherwise(F.array().cast("array<string>"))
+    many = F.when(F.contains("__own", F.lit(" multirest:")), F.nullif(F.regexp_extract("__own", r"(?s).* multirest:([0-9]{1,9})(?!\S)", 1), F.lit("")))
+    events = rows.where(made).select(
+        *keys, "measure", "n", "onset", "length", F.when(rest, "rest").otherwise("note").alias("kind"), pos.alias("pos"), acc.alias("acc"), F.coalesce(lookup(COMPARED, F.col("dur")), "dur").alias("dur"),
+        F.col("dots").cast("int").alias("dots"), "grace", (rest & _has(F.col("__own"), "rest:measure")).alias("bar_rest"), F.when(rest, many.cast("int")).alias("bars"), "voice", "clef",
     )
-    measures = parts.groupBy(*keys, "measure").agg(F.greatest(F.max("end"), F.lit(0)).alias("ticks"), F.count_if(F.col("made")).alias("events"))
+    end = F.col("onset") + F.col("__taken") + F.col("__moved.top")
+    measures = rows.groupBy(*keys, "measure").agg(F.greatest(F.max(end), F.lit(0)).alias("ticks"), F.count_if(made).alias("events"))
     kept = F.max(F.when(F.col("events") > 0, F.col("measure"))).over(Window.partitionBy(*keys))
     measures = measures.withColumn("kept", kept).where("measure <= kept").drop("kept")
     return events, measures
@@ -104,19 +141,19 @@ def voices_merged(events: DataFrame, bar: list[str], lists: tuple[str, ...] = ("
 
     events: bar (keys), n (unique in a bar), onset, voice, kind, dur, dots, grace and the arrays `lists`, which are joined and
     sorted. The first such note in order of n takes those of other voices in; later ones of its own voice stay. Grace notes
-    stay as they are. All is windows and one group-by: no bar is gathered.
+    stay as they are. All is windows over one order: no bar is gathered.
     """
     note = (F.col("kind") == "note") & ~F.col("grace")
-    alike = Window.partitionBy(*bar, "onset", F.when(note, F.struct("dur", "dots")), F.when(~note, F.col("n"))).orderBy("n")
-    ranked = events.withColumn("__n", F.first("n").over(alike)).withColumn("__v", F.first("voice").over(alike))
-    into = F.when(F.col("__v").eqNullSafe(F.col("voice")), F.col("n")).otherwise(F.col("__n"))
-    ranked = ranked.withColumn("__into", into)
-    others = [c for c in events.columns if c not in {*bar, *lists, "n"}]
-    own = lambda c: F.max_by(c, F.when(F.col("n") == F.col("__into"), F.lit(1)))
-    several = F.count("*") > 1
-    merged = ranked.groupBy(*bar, F.col("__into").alias("n")).agg(
-        *[own(c).alias(c) for c in others], *[F.when(several, F.array_sort(F.flatten(F.collect_list(c)))).otherwise(own(c)).alias(c) for c in lists]
-    )
+    # One order serves all: by onset, then by what makes notes alike.
+    alike = Window.partitionBy(*bar, "onset", F.when(note, F.col("dur")), F.when(note, F.col("dots")), F.when(~note, F.col("n"))).orderBy("n")
+    all_alike = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = events.withColumn("__n", F.first("n").over(all_alike)).withColumn("__v", F.first("voice").over(all_alike))
+    gone = (F.col("n") != F.col("__n")) & ~F.col("__v").eqNullSafe(F.col("voice"))
+    taken = F.collect_list(F.when(gone, F.struct(*lists))).over(all_alike)
+    ranked = ranked.withColumn("__taken", taken).where(~gone)
+    several = (F.col("n") == F.col("__n")) & (F.size("__taken") > 0)
+    joined = lambda c: F.array_sort(F.concat(F.coalesce(c, F.array()), F.flatten(F.filter(F.transform("__taken", lambda x: x[c]), lambda x: x.isNotNull()))))
+    merged = ranked.select(*[F.when(several, joined(c)).otherwise(F.col(c)).alias(c) if c in lists else c for c in events.columns])
     at = Window.partitionBy(*bar, "onset")
     sung = F.when(F.col("kind") == "note", F.col("voice"))
     merged = merged.withColumn("__lo", F.min(sung).over(at)).withColumn("__hi", F.max(sung).over(at))
