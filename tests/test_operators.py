@@ -356,3 +356,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q = sessions.sessions(stream, "user_id", "ts").writeStream.format("memory").queryName("got").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("got")) == rows(sessions.sessions(src, "user_id", "ts"))
+
+
+def test_migration_is_one_pass(spark):
+    df = spark.createDataFrame([(1, '{"schema": 2, "pages": {"1": {"marks": [{"kind": "clef"}]}}}'), (2, '{"schema": 6, "pages": {}}'), (3, "{}"), (4, None)], "k int, raw string")
+    both = documents.lifted(df.withColumn("doc", F.from_json("raw", documents.DOCUMENT)))
+    got = {r.k: (r.known, r.doc and r.doc.schema, [m.kind for p in (r.doc and r.doc.pages or {}).values() for m in p.marks]) for r in both.collect()}
+    assert got == {1: (True, documents.SCHEMA, ["signature"]), 2: (False, 6, []), 3: (False, None, []), 4: (False, None, [])}
