@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .parts import each_part
 
@@ -169,6 +169,33 @@ def align_arrays(pairs: DataFrame, keys: list[str], a: str, b: str, band: int =
     return pairs.select(*keys, a, b).mapInArrow(run, schema)
 
 
+def align_whole(pairs: DataFrame, keys: list[str], a: str, b: str, band: int = 64, gap: float = 0.45) -> DataFrame:
+    """(keys, steps): align_arrays with the steps (op, l, r) of each row in one array, for pairs as short as bars."""
+    schema = pairs.select(*keys).schema.add("steps", ArrayType(StructType().add("op", "string").add("l", "long").add("r", "long")))
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[dict]] = {}  # a path depends on which tokens are equal alone; short bars have few such patterns
+
+        def path(x: list, y: list) -> list[dict]:
+            number: dict = {}
+            pattern = len(x), *(number.setdefault(t, len(number)) for t in (*x, *y))
+            steps = known.get(pattern)
+            if steps is None:
+                steps = [{"op": op, "l": l, "r": r} for op, l, r in _path(x, y, band, gap)]  # noqa: E741
+                if len(pattern) <= 32 and len(known) < 10_000:
+                    known[pattern] = steps
+            return steps
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            steps = [path(x[a] or [], x[b] or []) for x in rows]
+            cols = [*([x[k] for x in rows] for k in keys), steps]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+
+    return pairs.select(*keys, a, b).mapInArrow(run, schema)
+
+
 def heaviest_common(pairs: DataFrame, keys: list[str], i: str, j: str, weight: str) -> DataFrame:
     """(keys, weight): the most weight of a common subsequence, a chain of pairs with i and j both rising.
 

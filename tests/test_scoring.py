@@ -137,3 +137,15 @@ def test_events_sent_again_count_once(spark, tmp_path):
     q = sessions.distinct_events(stream, "ts", ["ts", "k"]).writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((str(r.ts), r.k) for r in spark.table("once").collect()) == sorted(set(rows))
+
+
+def test_equal_bars_are_not_aligned_and_a_bar_is_one_row(spark):
+    event = lambda p, acc=(): ("note", [p], "8th", 0, False, list(acc))
+    e = "array<struct<kind:string,pitches:array<string>,dur:string,dots:int,grace:boolean,acc:array<string>>>"
+    same, other = [event("C4", ["#"]), event("D4")], [event("C4"), event("E4"), event("D4")]
+    df = spark.createDataFrame([(1, same, same, same, True), (2, same, other, same, True), (3, [], [], [], True)], f"k int, encoded {e}, read {e}, written {e}, comparable boolean")
+    out = scoring.compared_bars(df, ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    got = {r.k: (r.exact, r.kinds, r.errors, r.notes_right, r.accidentals_right) for r in out.collect()}
+    assert got == {1: (True, ["right", "right"], [], 2, 2), 2: (False, ["right", "extra", "right"], ["extra"], 2, 1), 3: (True, [], [], 0, 0)}
