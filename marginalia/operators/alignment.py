@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .parts import each_part
+from .parts import each_block, each_part
 
 
 def edit_distance(a: Column, b: Column, substitution=None) -> Column:  # noqa: ANN001
@@ -236,34 +236,48 @@ def placed(evidence: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
     s = slots.select(*keys, F.lit(0).alias("side"), F.col("slot").cast("long").alias("slot"), F.col("gap").cast("long").alias("x"), F.lit(0.0).alias("value"))
     made = slots.select(*keys).schema.add("slot", "long").add("x", "long")
 
-    def best(rows: list[dict]) -> Iterator[tuple]:
-        gaps = [max(1, r["x"]) for r in rows if r["side"] == 0]
-        seen = [r for r in rows if r["side"] == 1]
-        if not gaps or not seen:
-            return
-        low = min(r["x"] for r in seen)
-        width = max(r["x"] for r in seen) - low + 1
-        total, back = np.full(width, -np.inf), []
-        own = np.zeros((len(gaps), width))
-        for r in seen:
-            if 0 <= r["slot"] < len(gaps):
-                own[r["slot"], r["x"] - low] += r["value"]
-        total = own[0]
-        for k in range(1, len(gaps)):
-            reach = np.maximum.accumulate(total)
-            last = np.maximum.accumulate(np.where(total == reach, np.arange(width), 0))  # the last place of each prefix's best
-            moved, back_k = np.full(width, -np.inf), np.zeros(width, np.int64)
-            if gaps[k] < width:
-                moved[gaps[k] :], back_k[gaps[k] :] = reach[: -gaps[k]], last[: -gaps[k]]
-            total = moved + own[k]
-            back.append(back_k)
-        x = int(total.argmax())
-        if total[x] == -np.inf:
-            return
-        out = [x]
-        for back_k in reversed(back):
-            x = int(back_k[x])
-            out.append(x)
-        yield from ((k, low + x) for k, x in enumerate(reversed(out)))
-
-    return each_part(e.unionByName(s), keys, ["side", "slot", "x"], made, best)
+    return each_block(e.unionByName(s), keys, ["side", "slot", "x"], made, _places)
+
+
+def _places(rows: dict[str, np.ndarray], starts: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(key, [slot, x]), as in placed; tables of one shape are worked out together, up to so many cells."""
+    n = len(starts)
+    key, side, slot, x = np.repeat(np.arange(n), np.diff([*starts, len(rows["side"])])), rows["side"], rows["slot"], rows["x"]
+    seen = side == 1
+    slots, first = np.bincount(key[~seen], minlength=n), starts
+    seen_key, seen_slot, seen_x, value = key[seen], slot[seen], x[seen], rows["value"][seen]
+    there, begin = np.unique(seen_key, return_index=True)  # rows are in order of their keys, slots before evidence
+    low, width = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if len(there):
+        low[there] = np.minimum.reduceat(seen_x, begin)
+        width[there] = np.maximum.reduceat(seen_x, begin) - low[there] + 1
+    shapes, which = np.unique(np.stack([slots, width], axis=1), axis=0, return_inverse=True)
+    out: list[tuple[np.ndarray, ...]] = []
+    for shape, (s, w) in enumerate(shapes.tolist()):
+        if not s or not w:
+            continue
+        same, many = np.flatnonzero(which.reshape(-1) == shape), max(1, cells // (s * w))
+        for held in (same[at : at + many] for at in range(0, len(same), many)):
+            own, each, place = np.zeros((len(held), s, w)), np.arange(len(held)), np.arange(w)
+            local = np.full(n, -1)
+            local[held] = each
+            told = np.flatnonzero((local[seen_key] >= 0) & (seen_slot >= 0) & (seen_slot < s))
+            np.add.at(own, (local[seen_key[told]], seen_slot[told], seen_x[told] - low[seen_key[told]]), value[told])
+            gaps = np.maximum(1, x[first[held][:, None] + np.arange(s)])
+            total, back = own[:, 0], []
+            for k in range(1, s):
+                reach = np.maximum.accumulate(total, axis=1)
+                last = np.maximum.accumulate(np.where(total == reach, place, 0), axis=1)  # the last place of each prefix's best
+                before = place - gaps[:, k, None]
+                at = np.maximum(before, 0)
+                total = np.where(before < 0, -np.inf, np.take_along_axis(reach, at, axis=1)) + own[:, k]
+                back.append(np.where(before < 0, 0, np.take_along_axis(last, at, axis=1)))
+            best = total.argmax(axis=1)
+            fits, found = total[each, best] > -np.inf, [best]
+            for b in reversed(back):
+                found.append(b[each, found[-1]])
+            xs = (np.stack(found[::-1], axis=1) + low[held][:, None])[fits]
+            out.append((np.repeat(held[fits], s), np.tile(np.arange(s), len(xs)), xs.reshape(-1)))
+    none = np.zeros(0, np.int64)
+    made, at, xs = (np.concatenate([none, *c]) for c in zip(*out, strict=True)) if out else (none, none, none)
+    return made, [at, xs]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..session import ship
 
 #: Rows of keys that are worked on together, so far as a key has fewer.
-TOGETHER = 2000
+TOGETHER = 8192
 
 
 def values(col: pa.Array) -> list:
@@ -71,3 +72,39 @@ def each_parts(rows: DataFrame, keys: list[str], order: list[str], made: StructT
 
     ship(rows.sparkSession)
     return dealt.mapInArrow(run, made)
+
+
+def each_block(rows: DataFrame, keys: list[str], order: list[str], made: StructType, work: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
+    """each_parts by whole columns of numbers: work gets the columns of several keys and where each key begins, and gives, of each
+    row that it makes, the place of its key and the columns after the keys."""
+    types = [to_arrow_type(f.dataType) for f in made]
+    dealt = rows.select(*keys, *[c for c in rows.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(len(table) - 1, 0), bool)
+        for c in (table.column(k) for k in keys):
+            a, b = c.slice(0, len(new)), c.slice(1)
+            differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(a.is_null(), b.is_null()))
+            new |= differs.to_numpy().astype(bool)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])[: len(table)]
+
+    def worked(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, cols = work({c: table.column(c).to_numpy() for c in table.column_names if c not in keys}, starts)
+        held = table.select(keys).take(pa.array(starts[key])).combine_chunks()
+        arrays = [*held.columns, *(pa.chunked_array([pa.array(c)]) for c in cols)]
+        yield from pa.Table.from_arrays([c.cast(t) for c, t in zip(arrays, types, strict=True)], names=made.names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            starts = begins(held)
+            if len(held) >= TOGETHER and len(starts) > 1:  # the last key may go on
+                yield from worked(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None and len(held):
+            yield from worked(held, begins(held))
+
+    ship(rows.sparkSession)
+    return dealt.mapInArrow(run, made)
