@@ -297,6 +297,27 @@ def test_every_rule_of_validation(spark):
     assert documents.problems(docs.limit(0), ["i"]).count() == 0
 
 
+ODD = [
+    (broken([*P, "systems"], {"id": "s1"}), []), (broken([*P, "marks"], 3), []), (broken([*P, "systems"], None), []), (broken(["schema"], 5.0), []), (broken(["schema"], "5"), ["schema must be 5"]),
+    (broken([*P, "systems"], [STAFF, 3, {**STAFF, "id": "s2", "barlines": {"id": "b1"}}]), [f"page 1 system None: {t}" for t in (*(f"{f} must be a number" for f in ("bottom", "left")), "missing id", *(f"{f} must be a number" for f in ("right", "top")))]),
+    (broken([*S, "barlines"], [None]), [f"page 1 system s1 barline None: {t}" for t in ("bad kind", "missing id", "x0 and x1 must be numbers")]),
+    (broken([*P, "status"], "sauto"), ["page 1: bad status"]), (broken([*P, "part"], "ns"), ["page 1: bad part"]), (broken([*P, "clef"], "null"), ["page 1: bad clef"]),
+    (broken([*S, "id"], 's"1\\": null, "é\n'), []), (broken([*S, "id"], ""), ["page 1 system : missing id"]), (broken([*B, "id"], 7), ["page 1 system s1 barline 7: missing id"]),
+    (broken([*M, "id"], {"b": "x", "a": None}), ['page 1 mark {"a":null,"b":"x"}: missing id']), (broken([*S, "runs_on"], "true"), ["page 1 system s1: runs_on must be true or false"]),
+    (broken([*S, "top"], -0.5), []), (broken([*S, "top"], "0.5"), ["page 1 system s1: top must be a number"]), (broken([*S, "rejected"], []), []), (broken([*S, "rejected"], [1, None]), ["page 1 system s1: rejected must be a list of numbers"]),
+    (broken([*S, "bar_count"], "odd"), []), (broken([*P, "corners"], [[0, 0]] * 4), ["page 1: corners.points must be 4 [x, y] pairs"]), (broken([*P, "corners"], {"points": [[0, -1], [1, 0.5], [1e3, 1], [0, 1]]}), []),
+]
+
+
+def test_validation_of_odd_values_in_one_pass(spark, monkeypatch):
+    docs = [(i, json.dumps(d)) for i, (d, _) in enumerate(ODD)] + [(900, ' {"schema": 5, "schema": 5, "source": {}, "pages": {}}'), (901, '\n{"schema": 5, "source": {}, "pages": {}} '), (902, "{'schema': 5}")]
+    docs.append((903, json.dumps(sound()).replace('"top": 0.2', '"top": 1e999').replace('"marks"', '"m\\u0061rks"').replace('"text"', '"tex"')))
+    monkeypatch.setattr(documents, "cut_lineage", None)  # nothing is written and read back on the way
+    got = {r.i: r.problems for r in documents.problems(spark.createDataFrame(docs, "i int, raw string"), ["i"]).collect()}
+    bad = ["document is not an object"]
+    assert got == {**{i: w for i, (_, w) in enumerate(ODD)}, 900: bad, 901: [], 902: bad, 903: ["page 1 mark m1: bad kind"]}
+
+
 def test_documents_migrate_and_refuse(spark, tmp_path):
     page = {**PAGE, "marks": [{**MARK, "kind": "clef"}]}
     for name, doc in {"old": {"schema": 2, "pages": {"1": page, "x": {"status": "odd", "kind": "music"}}}, "new": {"schema": 9, "pages": {}}, "none": {"pages": {}}, "zero": {"schema": 0, "pages": {}}}.items():
