@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+from marginalia import session
 from marginalia.operators import redetect
+from marginalia.plans import notation_queries
 
 SHAPE = "struct<left:double,bend:array<double>>"
 
@@ -77,3 +79,31 @@ def test_redetected_pages_equal_a_plain_loop(spark):
     assert got == want
     empty = redetect.redetected(*[f.limit(0) for f in frames], ["p"])
     assert [x.count() for x in empty] == [0, 0]
+
+
+def test_merged_pages_are_dealt_out_once(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, tag="table"):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return session.cut_lineage(df, tag)
+
+    held = {n: spark.conf.get(n, None) for n in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for module in (notation_queries, redetect):
+        monkeypatch.setattr(module, "cut_lineage", seen)
+    merged = notation_queries.overlap_merge(spark, "/root/testdata/sf0.001")
+    assert {n: spark.conf.get(n, None) for n in held} == held and not spark.catalog.listTables()
+    assert not merged.isEmpty()
+    # Only what was written on the way is shuffled again, and what two joins bring together (lines of both origins, what blocks them).
+    shuffled = {tag: plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") for tag, plan in plans.items()}
+    assert shuffled["staves"] <= 4 and shuffled["merged"] <= 8
+    assert "BroadcastExchange" not in plans["staves"] + plans["merged"]
+
+
+def test_tables_dealt_out_join_where_they_are(spark):
+    table = session.cut_dealt(spark.range(200).selectExpr("id % 7 AS k", "id AS i", "id % 3 AS v"), ["k"])
+    with session.dealt_joins(spark):
+        both = table.where("v > 0").select("k", "i").join(table.select("k", "i", "v"), ["k", "i"])
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.i for r in both.collect()) == [i for i in range(200) if i % 3]
+    assert table.count() == 200
