@@ -305,7 +305,7 @@ ODD = [
     (broken([*S, "id"], 's"1\\": null, "é\n'), []), (broken([*S, "id"], ""), ["page 1 system : missing id"]), (broken([*B, "id"], 7), ["page 1 system s1 barline 7: missing id"]),
     (broken([*M, "id"], {"b": "x", "a": None}), ['page 1 mark {"a":null,"b":"x"}: missing id']), (broken([*S, "runs_on"], "true"), ["page 1 system s1: runs_on must be true or false"]),
     (broken([*S, "top"], -0.5), []), (broken([*S, "top"], "0.5"), ["page 1 system s1: top must be a number"]), (broken([*S, "rejected"], []), []), (broken([*S, "rejected"], [1, None]), ["page 1 system s1: rejected must be a list of numbers"]),
-    (broken([*S, "bar_count"], "odd"), []), (broken([*P, "corners"], [[0, 0]] * 4), ["page 1: corners.points must be 4 [x, y] pairs"]), (broken([*P, "corners"], {"points": [[0, -1], [1, 0.5], [1e3, 1], [0, 1]]}), []),
+    (broken([*S, "bar_count"], "odd"), []), (broken([*S, "key"], 1.0), ["page 1 system s1: bad key"]), (broken([*B, "bar_count"], 2.0), ["page 1 system s1 barline b1: bar_count must be a whole number >= 0"]), (broken([*P, "corners"], [[0, 0]] * 4), ["page 1: corners.points must be 4 [x, y] pairs"]), (broken([*P, "corners"], {"points": [[0, -1], [1, 0.5], [1e3, 1], [0, 1]]}), []),
 ]
 
 
