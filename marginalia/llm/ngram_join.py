@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, byte_chunks, lean, materialize, text_key, with_unique
 from .components import forest, labelled
 
-TABLE_BITS = 20
+TABLE_BITS = 22
 #: Entries of so many sets at most are joined pair by pair; sets in a block of a cell; columns of an incidence matrix.
 SMALL, BLOCK, COLUMNS = 32, 512, 2048
 #: Shingles in a block of a cell, about: long sets make smaller blocks.
@@ -47,6 +47,9 @@ BROADCAST_IDS = 200_000
 BLOCKS = 16
 #: A frequency-table cell is frequent from this count, and from this many times the mean cell.
 FREQUENT_LEAST, FREQUENT_TIMES = 64, 8
+#: Levels of the frequency table for each doubling. Most cells hold a like number of shingles, the more the larger the corpus;
+#: coarse levels would take them for equal, and shingles that many documents share for rare ones.
+FINE = 256
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,29 +100,45 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(np.array([folded], np.uint64)).view(np.int64)[0])
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, most of which are small, then places and rests of those of 255 and more, compressed."""
+    over = np.flatnonzero(counts >= 255)
+    rest = np.stack([over, counts[over].astype(np.int64) - 255])
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + rest.tobytes(), 1)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    counts = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    over, rest = np.frombuffer(raw, np.int64, offset=size).reshape(2, -1)
+    counts[over] += rest
+    return counts
+
+
 def frequency_levels(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, int]:
-    """log2 levels (one byte a cell) of a table of 2**TABLE_BITS shingle counts over all texts, and the frequent level.
+    """log2 levels (FINE for each doubling, two bytes a cell) of a table of 2**TABLE_BITS shingle counts over all texts, and the
+    frequent level.
 
-    Tasks sum whole tables; cells of all tasks are added in BLOCKS streams, so what reaches the driver has a fixed size.
+    Tasks sum whole tables, sent as a byte a cell and what is above that; cells of all tasks are added in BLOCKS streams, so what
+    reaches the driver has a fixed size.
     """
     size = 1 << TABLE_BITS
     part = size // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.int64)
+        table = np.zeros(size, np.uint32)
         for b in batches:
             for _, texts in byte_chunks(b.column(0), 1 << 20):
                 cells = np.concatenate([s >> np.uint64(64 - TABLE_BITS) for s in shingle_sets(texts, n)])
-                table += np.bincount(cells.astype(np.int64), minlength=size)
+                np.add.at(table, cells.astype(np.int64), np.uint32(1))
         if table.any():
-            packed = [zlib.compress(table[i * part : (i + 1) * part].tobytes(), 1) for i in range(BLOCKS)]
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "cells": packed})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "cells": [packed(x) for x in np.split(table, BLOCKS)]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
         for b in batches:
             for k, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(cells), np.int64)
+                own = unpacked(cells, part)
                 if k == block:
                     total = total + own
                     continue
@@ -130,19 +149,19 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, in
             yield summed(block, total)
 
     def summed(block: int, total: np.ndarray) -> pa.RecordBatch:
-        level = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        level = (np.log2(np.maximum(total, 1)) * FINE).astype(np.uint16)
         return pa.RecordBatch.from_pydict(
             {"block": pa.array([block], pa.int32()), "cells": [level.tobytes()], "total": [int(total.sum())]}
         )
 
     parts = docs.select(text).mapInArrow(lean(count), "block int, cells binary")
     sums = parts.repartition(BLOCKS, "block").sortWithinPartitions("block")
-    levels, total = np.zeros(size, np.uint8), 0
-    for row in sums.mapInArrow(lean(add), "block int, cells binary, total long").collect():  # BLOCKS rows, 1 MB in all
-        levels[row["block"] * part : (row["block"] + 1) * part] = np.frombuffer(row["cells"], np.uint8)
+    levels, total = np.zeros(size, np.uint16), 0
+    for row in sums.mapInArrow(lean(add), "block int, cells binary, total long").collect():  # BLOCKS rows, 8 MB in all
+        levels[row["block"] * part : (row["block"] + 1) * part] = np.frombuffer(row["cells"], np.uint16)
         total += row["total"]
     least = max(FREQUENT_LEAST, FREQUENT_TIMES * total / size)
-    return levels, math.ceil(math.log2(least))
+    return levels, FINE * (math.ceil(math.log2(least)) - 1)
 
 
 def band(n: int, t: float) -> int:
@@ -195,7 +214,7 @@ def entries(s: np.ndarray, levels: np.ndarray, frequent: int, num: int, den: int
 def indexed(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """Per document: id, n_shingles, set_key, and its index entries."""
     levels, frequent = frequency_levels(docs, text, n)
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2**TABLE_BITS bytes, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2**TABLE_BITS levels, whatever the input
     schema = "id long, n_shingles int, set_key long, text_key long, sigs array<long>, places array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,6 +107,17 @@ def test_entries_of_any_similar_sets_meet():
             assert x & y
 
 
+def test_shared_shingles_come_last_within_a_doubling_too(spark):
+    own, common = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("own", 60), ("common", 24)))
+    df = spark.createDataFrame([(own,)] * 17 + [(common,)] * 30, "text string")
+    levels, frequent = ngram_join.frequency_levels(df, "text", 5)
+    both, shared = (set(ngram_join.shingle_sets([t.encode()], 5)[0].tolist()) for t in (f"{own} {common}", common))
+    sigs, places = ngram_join.entries(np.array(sorted(both), np.uint64), levels, frequent, 4, 5)
+    assert len(sigs) == ngram_join.needed(80, 4, 5) and (places >= 0).all() and not shared & set(sigs.tolist())
+    counts = np.array([0, 254, 255, 2**32 - 1], np.uint32)
+    assert (ngram_join.unpacked(ngram_join.packed(counts), 4) == counts).all()
+
+
 def test_cells_find_the_pairs_that_sets_do():
     gen = np.random.default_rng(1)
     base = gen.integers(0, 2**62, 60)
